@@ -42,9 +42,13 @@ COMMIT = (
 RESULT = "rewritten_data_files_count bigint, added_data_files_count bigint"
 
 
-def file_inventory(df: DataFrame) -> DataFrame:
-    """Path, size and rows of each data file of a scan; reads footers only."""
+def file_inventory(df: DataFrame, *by: str) -> DataFrame:
+    """Path, size and rows of each data file of a scan; reads footers only.
+
+    ``by`` adds columns that are the same for all rows of a file.
+    """
     return df.groupBy(
+        *by,
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_size").alias("file_size_in_bytes"),
     ).agg(F.count(F.lit(1)).alias("record_count"))
@@ -76,13 +80,21 @@ def _commits(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(COMMIT).parquet(_log_path(root))
 
 
-def _commit(spark: SparkSession, root: str, run_id: int | None = None) -> Row:
-    commits = _commits(spark, root)
-    if run_id is None:
-        run_id = commits.agg(F.max("run_id")).first()[0]
-    found = commits.filter(F.col("run_id") == run_id).first()
+def _last_run(spark: SparkSession, root: str) -> int | None:
+    try:
+        return _commits(spark, root).agg(F.max("run_id")).first()[0]
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _commit(spark: SparkSession, root: str, run_id: int | None) -> Row:
+    found = None
+    if run_id is not None:
+        found = _commits(spark, root).filter(F.col("run_id") == run_id).first()
     if found is None:
-        raise ValueError(f"{root} has no run {run_id}")
+        raise ValueError(f"{root} has no run {run_id}" if run_id else f"nothing was published at {root}")
     return found
 
 
@@ -140,15 +152,6 @@ def _parts_of(spark: SparkSession, root: str, path: str, schema: StructType) ->
     )
 
 
-def has_history(spark: SparkSession, root: str) -> bool:
-    try:
-        return not _commits(spark, root).select("run_id").isEmpty()
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-
-
 def publish(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> int:
     """Append ``df`` as a new state and return its run id.
 
@@ -156,7 +159,8 @@ def publish(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> int:
     splits a partition that is large and joins small ones into one task.
     """
     spark = df.sparkSession
-    last = _commit(spark, root) if has_history(spark, root) else None
+    last_run = _last_run(spark, root)
+    last = _commit(spark, root, last_run) if last_run else None
     if last is not None:
         schema = StructType.fromJson(json.loads(last["row_schema"]))
         partition_by = last["partition_by"]
@@ -167,7 +171,7 @@ def publish(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> int:
         raise ValueError("a published table cannot have a column named run")
     else:
         schema = df.schema
-    run_id = last["run_id"] + 1 if last else 1
+    run_id = (last_run or 0) + 1
     path = f"{root}/run={run_id}"
     rows = df.hint("rebalance", *partition_by) if partition_by else df
     # A directory of this id can only be left from a write that never finished.
@@ -181,7 +185,7 @@ def publish(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> int:
 
 def read_state(spark: SparkSession, root: str, run_id: int | None = None) -> DataFrame:
     """The rows of a published table, as of a run or as of now."""
-    commit = _commit(spark, root, run_id)
+    commit = _commit(spark, root, run_id or _last_run(spark, root))
     schema = StructType.fromJson(json.loads(commit["row_schema"]))
     if not commit["parts"]:
         return spark.createDataFrame([], schema)
@@ -190,14 +194,9 @@ def read_state(spark: SparkSession, root: str, run_id: int | None = None) -> Dat
 
 def state_files(spark: SparkSession, root: str, run_id: int | None = None) -> DataFrame:
     """The file inventory of a state, with its partition columns."""
-    commit = _commit(spark, root, run_id)
+    commit = _commit(spark, root, run_id or _last_run(spark, root))
     schema = StructType.fromJson(json.loads(commit["row_schema"]))
-    scan = _scan(spark, root, schema, commit["parts"])
-    return scan.groupBy(
-        *commit["partition_by"],
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_size").alias("file_size_in_bytes"),
-    ).agg(F.count(F.lit(1)).alias("record_count"))
+    return file_inventory(_scan(spark, root, schema, commit["parts"]), *commit["partition_by"])
 
 
 def history(spark: SparkSession, root: str) -> DataFrame:
@@ -233,7 +232,7 @@ def compact(
     ``min_input_files`` of them and would end with fewer. Returns one row of
     counts, both 0 when there was nothing to do.
     """
-    last = _commit(spark, root)
+    last = _commit(spark, root, _last_run(spark, root))
     schema = StructType.fromJson(json.loads(last["row_schema"]))
     keys = list(last["partition_by"])
     limit = int(target_bytes * SMALL_SHARE)
@@ -243,22 +242,13 @@ def compact(
     candidates = [p for p in last["parts"] if p["min_bytes"] < limit]
     taken = []
     if candidates:
-        files = (
-            _scan(spark, root, schema, candidates)
-            .filter(is_small)
-            .groupBy(
-                *keys,
-                F.col("_metadata.file_path").alias("_file"),
-                F.col("_metadata.file_size").alias("_bytes"),
-            )
-            .agg(F.count(F.lit(1)).alias("_records"))
-        )
+        files = file_inventory(_scan(spark, root, schema, candidates).filter(is_small), *keys)
         taken = (
-            files.groupBy(*keys, directory_of(F.col("_file")).alias("_path"))
+            files.groupBy(*keys, directory_of(F.col("file_path")).alias("_path"))
             .agg(
                 F.count(F.lit(1)).alias("_files"),
-                F.sum("_bytes").alias("_bytes"),
-                F.sum("_records").alias("_records"),
+                F.sum("file_size_in_bytes").alias("_bytes"),
+                F.sum("record_count").alias("_records"),
             )
             .collect()
         )

@@ -8,7 +8,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from tablewright.functions.columns import load_time
 
@@ -51,67 +51,68 @@ def map_batches(
 # -- joins --------------------------------------------------------------------
 
 
-def hot_keys(df: DataFrame, on: str) -> DataFrame:
-    """Values of ``on`` that hold a large share of the rows: at most HOT_KEYS rows.
+def hot_keys(df: DataFrame, on: str) -> list:
+    """Values of ``on``, NULL among them, that hold a large share of the rows.
 
-    Only the key column is read. Sketches are merged within SKETCH_GROUPS groups
-    of input partitions first, so the last task sees a bounded number of them.
-    The sketch may miss or add a value near the limit; the joins below are exact
-    either way.
+    At most HOT_KEYS values. Only the key column is read. Input partitions are
+    summarised in SKETCH_GROUPS groups, each by a sketch of bounded size, whose
+    largest counts are then added up. The sketches may miss or add a value near
+    the limit; the joins below are exact either way.
     """
-    sketches = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("slice")).agg(
-        F.expr(f"approx_top_k_accumulate(`{on}`, {TRACKED_KEYS})").alias("sketch"),
+    groups = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("slice")).agg(
+        F.expr(f"approx_top_k(`{on}`, {HOT_KEYS}, {TRACKED_KEYS})").alias("top"),
         F.count(F.lit(1)).alias("held"),
     )
-    totals = sketches.agg(
-        F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch), {HOT_KEYS})").alias("top"),
-        F.sum("held").alias("total"),
-    )
-    return (
-        totals.select(F.inline("top"), "total")
-        .filter(F.col("item").isNotNull() & (F.col("count") * HOT_KEYS >= F.col("total")))
-        .select(F.col("item").alias(on))
-        .distinct()  # 0.0 and -0.0 are one join key
-    )
-
-
-def _marked(left: DataFrame, right: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
-    """``left`` with ``_known`` and ``_spread``, and the keys to match it against.
-
-    ``_known`` answers for hot keys whether ``right`` has them, so those rows need
-    no partner from the shuffle. They are spread over it by the input partition
-    they come from, which a rerun task reproduces; rows with a NULL key likewise.
-    All other rows meet their key at ``_spread = 0``.
+    listed = F.transform("top", lambda t: F.struct(F.lit(False).alias("all"), t["item"].alias("item"), t["count"].alias("n")))
+    no_item = F.lit(None).cast(df.schema[on].dataType)
+    whole = F.struct(F.lit(True).alias("all"), no_item.alias("item"), F.col("held").alias("n"))
+    counts = groups.select(F.inline(F.array_append(listed, whole))).groupBy("all", "item").agg(F.sum("n").alias("n"))
+    largest = counts.orderBy(F.col("n").desc(), F.col("all").desc()).limit(HOT_KEYS + 1).collect()
+    total = max((row["n"] for row in largest if row["all"]), default=0)
+    return [row["item"] for row in largest if not row["all"] and row["n"] * HOT_KEYS >= total]
+
+
+def _matched(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
+    """``left`` against the keys of ``right``, with ``_known`` and, if joined, ``_met``.
+
+    ``_known`` answers for hot keys whether ``right`` has them (NULL: not a hot
+    key), so their rows need no partner from the shuffle. They are spread over it
+    by the input partition they come from, which a rerun task reproduces; rows
+    with a NULL key likewise. All other rows meet their key at ``_spread = 0``.
+    An aggregate makes that 0 on the right: a plain constant would be taken out
+    of the join key, and hot rows would meet in one task after all.
     """
     keys = right.select(on).filter(F.col(on).isNotNull())
+    met = F.lit(True).alias("_met")
     hot = hot_keys(left, on)
-    found = keys.join(F.broadcast(hot), on, "left_semi").distinct().withColumn("_found", F.lit(True))
-    known = hot.join(F.broadcast(found), on, "left").select(
-        F.col(on), F.coalesce("_found", F.lit(False)).alias("_known")
-    )
-    marked = left.join(F.broadcast(known), on, "left").withColumn(
-        "_spread",
-        F.when(F.col("_known").isNotNull() | F.col(on).isNull(), F.spark_partition_id() + 1).otherwise(0),
-    )
-    return marked, keys.distinct().withColumn("_spread", F.lit(0))
+    if not hot:
+        known = left.withColumn("_known", F.lit(None).cast("boolean"))
+        return known.join(keys.distinct().select(on, met), on, how)
+    key_type = StructType([StructField(on, left.schema[on].dataType)])
+    values = left.sparkSession.createDataFrame([(v,) for v in hot if v is not None], key_type).distinct()
+    found = keys.join(F.broadcast(values), on, "left_semi").distinct().withColumn("_found", F.lit(True))
+    known = values.join(F.broadcast(found), on, "left").select(on, F.coalesce("_found", F.lit(False)).alias("_known"))
+    spread = F.when(F.col("_known").isNotNull() | F.col(on).isNull(), F.spark_partition_id() + 1).otherwise(0)
+    marked = left.join(F.broadcast(known), on, "left").withColumn("_spread", spread)
+    if how == "left_anti":
+        marked = marked.filter(~F.coalesce("_known", F.lit(False)))
+    at_zero = keys.groupBy(on).agg(F.min(F.lit(0)).alias("_spread")).select(on, "_spread", met)
+    return marked.join(at_zero, [on, "_spread"], how)
 
 
 def anti_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Rows of ``left`` whose ``on`` value is not in ``right``; ``on`` comes first.
 
-    A NULL key matches nothing, so its row stays.
+    A NULL key matches nothing, so its row stays. Finds the hot keys of ``left``
+    when it is called.
     """
-    marked, keys = _marked(left, right, on)
-    kept = marked.filter(~F.coalesce("_known", F.lit(False)))
-    rest = [c for c in left.columns if c != on]
-    return kept.join(keys, [on, "_spread"], "left_anti").select(on, *rest)
+    return _matched(left, right, on, "left_anti").select(on, *[c for c in left.columns if c != on])
 
 
 def flag_present(left: DataFrame, right: DataFrame, on: str, name: str) -> DataFrame:
     """All rows of ``left`` and whether ``right`` has their ``on`` value."""
-    marked, keys = _marked(left, right, on)
-    matched = marked.join(keys.withColumn("_met", F.lit(True)), [on, "_spread"], "left")
-    return matched.select(*left.columns, F.coalesce("_known", "_met", F.lit(False)).alias(name))
+    present = F.coalesce("_known", "_met", F.lit(False)).alias(name)
+    return _matched(left, right, on, "left").select(*left.columns, present)
 
 
 def missing(desired: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -333,14 +333,13 @@ def day_partitions(spark: SparkSession, folder: str) -> DataFrame:
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """Data files and rows of every table."""
 
-    def of(table: str) -> DataFrame:
-        files = maintenance.file_inventory(scan(spark, folder, table))
-        return files.agg(
-            F.count(F.lit(1)).alias("data_files"),
-            F.coalesce(F.sum("record_count"), F.lit(0)).alias("record_count"),
-        ).select(F.lit(table).alias("table_name"), "data_files", "record_count")
-
-    return reduce(DataFrame.unionAll, [of(table) for table in TABLES])
+    scans = [
+        scan(spark, folder, table).select(F.lit(table).alias("table_name"), "_metadata") for table in TABLES
+    ]
+    files = maintenance.file_inventory(reduce(DataFrame.unionAll, scans), "table_name")
+    return files.groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("data_files"), F.sum("record_count").alias("record_count")
+    )
 
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
