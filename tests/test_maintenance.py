@@ -1,0 +1,203 @@
+import glob
+import os
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from tablewright.operators import maintenance as m
+
+
+def frame(spark, first, last):
+    return spark.range(first, last, 1, 1).select(
+        F.col("id").alias("order_id"), F.concat(F.lit("customer-"), F.col("id") % 7).alias("customer")
+    )
+
+
+def counts(df):
+    return tuple(df.first())
+
+
+def same_rows(a, b):
+    return m.row_differences(a, b).isEmpty() and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_four_files_become_one_and_eight_rows_stay(spark, root):
+    for i in range(4):
+        m.publish(frame(spark, 2 * i, 2 * i + 2), root)
+    before = m.read_state(spark, root)
+    assert before.count() == 8
+    assert m.file_inventory(before).count() == 4
+    assert counts(m.compact(spark, root, min_input_files=2)) == (4, 1)
+    after = m.read_state(spark, root)
+    assert m.file_inventory(after).count() == 1
+    assert same_rows(before, after)
+    assert after.columns == ["order_id", "customer"]
+
+
+def test_too_few_files_change_nothing(spark, root):
+    for i in range(4):
+        m.publish(frame(spark, i, i + 1), root)
+    assert counts(m.compact(spark, root)) == (0, 0)
+    assert m.history(spark, root).count() == 4
+    m.publish(frame(spark, 4, 5), root)
+    assert counts(m.compact(spark, root)) == (5, 1)
+    assert counts(m.compact(spark, root)) == (0, 0)
+
+
+def test_history_and_earlier_states(spark, root):
+    m.publish(frame(spark, 0, 10).repartition(2), root)
+    m.publish(frame(spark, 10, 25).repartition(2), root)
+    m.compact(spark, root, min_input_files=2)
+    log = m.history(spark, root).collect()
+    assert [(r["run_id"], r["operation"]) for r in log] == [(1, "append"), (2, "append"), (3, "replace")]
+    assert [r["committed_at"] for r in log] == sorted(r["committed_at"] for r in log)
+    assert [r["summary"] for r in log] == [
+        {"total-data-files": "2", "total-records": "10", "added-data-files": "2", "deleted-data-files": "0"},
+        {"total-data-files": "4", "total-records": "25", "added-data-files": "2", "deleted-data-files": "0"},
+        {"total-data-files": "1", "total-records": "25", "added-data-files": "1", "deleted-data-files": "4"},
+    ]
+    assert m.history(spark, root).select(F.col("summary")["none"]).first()[0] is None
+    assert same_rows(m.read_state(spark, root, 1), frame(spark, 0, 10))
+    assert same_rows(m.read_state(spark, root, 2), frame(spark, 0, 25))
+    assert same_rows(m.read_state(spark, root), frame(spark, 0, 25))
+
+
+def test_large_files_stay_where_they_are(spark, root):
+    big = frame(spark, 0, 20_000).withColumn("customer", F.sha2(F.col("customer"), 256)).withColumn("x", F.rand(3))
+    m.publish(big.repartition(1), root)
+    for i in range(3):
+        m.publish(big.limit(50), root)
+    before = m.read_state(spark, root)
+    big_file = max(m.file_inventory(before).collect(), key=lambda r: r["file_size_in_bytes"])
+    target = big_file["file_size_in_bytes"]
+    assert counts(m.compact(spark, root, target_bytes=target, min_input_files=2)) == (3, 1)
+    kept = {r["file_path"] for r in m.state_files(spark, root).collect()}
+    assert big_file["file_path"] in kept and len(kept) == 2
+    assert same_rows(before, m.read_state(spark, root))
+
+
+def test_a_directory_can_lose_its_small_files_only(spark, root):
+    """One run with a large and small files: the small ones go, the large one is kept."""
+    spread = F.when(F.col("order_id") < 18_000, 0).otherwise((F.col("order_id") % 6 + 1).cast("int"))
+    rows = frame(spark, 0, 20_000).withColumn("x", F.rand(3)).repartitionById(7, spread)
+    m.publish(rows, root)
+    before = m.read_state(spark, root)
+    sizes = sorted(r["file_size_in_bytes"] for r in m.file_inventory(before).collect())
+    assert counts(m.compact(spark, root, target_bytes=sizes[-1])) == (6, 1)
+    assert m.state_files(spark, root).count() == 2
+    assert same_rows(before, m.read_state(spark, root))
+    assert same_rows(before, m.read_state(spark, root, 1))
+    # A larger target takes both; a smaller one finds nothing.
+    assert counts(m.compact(spark, root, target_bytes=sizes[0], min_input_files=2)) == (0, 0)
+    assert counts(m.compact(spark, root, target_bytes=10 * sizes[-1], min_input_files=2)) == (2, 1)
+    assert same_rows(before, m.read_state(spark, root))
+    totals = [r["summary"]["total-data-files"] for r in m.history(spark, root).collect()]
+    assert totals == ["7", "2", "1"]
+
+
+def test_large_files_are_not_opened(spark, root):
+    for i in range(3):
+        m.publish(frame(spark, i, i + 1), root)
+    folder = glob.glob(f"{root}/run=1")[0]
+    with open(os.path.join(folder, "part-broken.parquet"), "wb") as broken:
+        broken.write(b"not a parquet file" * 10_000)
+    assert counts(m.compact(spark, root, target_bytes=100_000, min_input_files=2)) == (3, 1)
+
+
+def test_partitions_are_compacted_one_by_one(spark, root):
+    rows = (
+        spark.range(0, 60_000, 1, 4)
+        .withColumn("day", F.when(F.col("id") % 3 == 0, F.lit("2024-05-01")).otherwise(F.lit("2024-05-02")).cast("date"))
+        .withColumn("x", F.rand(7))
+    )
+    for i in range(4):
+        m.publish(rows.filter(F.col("id") % 4 == i), root, ["day"])
+    lonely = spark.createDataFrame([(1, date(2024, 6, 1), 0.5)], "id long, day date, x double")
+    m.publish(lonely, root, ["day"])
+    before = m.read_state(spark, root)
+    files = m.state_files(spark, root, 5).groupBy("day").agg(F.count("*").alias("n"), F.sum("file_size_in_bytes").alias("b"))
+    sizes = {str(r["day"]): (r["n"], r["b"]) for r in files.collect()}
+    assert {d: n for d, (n, _) in sizes.items()} == {"2024-05-01": 4, "2024-05-02": 4, "2024-06-01": 1}
+    target = int(max(b for _, b in sizes.values()) * 0.6)
+    rewritten, added = counts(m.compact(spark, root, target_bytes=target, min_input_files=2))
+    assert (rewritten, added) == (8, 3)
+    after = m.read_state(spark, root)
+    assert same_rows(before, after)
+    assert after.columns == ["id", "day", "x"]
+    per_day = {str(r["day"]): r["count"] for r in m.state_files(spark, root).groupBy("day").count().collect()}
+    assert per_day == {"2024-05-01": 1, "2024-05-02": 2, "2024-06-01": 1}
+
+
+def test_copies_are_spread_over_the_planned_files(spark, root):
+    rows = spark.range(0, 40_000, 1, 8).select(F.lit("x").alias("k"), F.lit(1).alias("v"))
+    for i in range(8):
+        m.publish(rows.limit(5000 - i), root, ["k"])
+    before = m.read_state(spark, root)
+    total = sum(r["file_size_in_bytes"] for r in m.state_files(spark, root).collect())
+    assert counts(m.compact(spark, root, target_bytes=total // 3 + 3, min_input_files=2)) == (8, 3)
+    held = [r["record_count"] for r in m.state_files(spark, root).collect()]
+    assert min(held) > 0.8 * sum(held) / 3
+    assert same_rows(before, m.read_state(spark, root))
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "date"])
+def test_partition_values_survive(spark, root, kind):
+    values = {
+        "string": ["a b", "x/y", "50%", "a+b", "k=v", "01", None],
+        "int": [1, -2, None],
+        "date": [date(2024, 2, 29), None],
+    }[kind]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"id long, p {kind}")
+    for _ in range(3):
+        m.publish(rows, root, ["p"])
+    before = m.read_state(spark, root)
+    assert same_rows(before, rows.union(rows).union(rows))
+    assert counts(m.compact(spark, root, min_input_files=3)) == (3 * len(values), len(values))
+    assert same_rows(before, m.read_state(spark, root))
+
+
+def test_leftovers_of_a_failed_write_are_not_seen(spark, root):
+    m.publish(frame(spark, 0, 5), root)
+    frame(spark, 100, 200).write.parquet(f"{root}/run=2")
+    assert m.read_state(spark, root).count() == 5
+    assert m.publish(frame(spark, 5, 7), root) == 2
+    assert same_rows(m.read_state(spark, root), frame(spark, 0, 7))
+
+
+def test_nothing_published(spark, root):
+    with pytest.raises(ValueError, match="nothing was published"):
+        m.read_state(spark, root)
+    m.publish(frame(spark, 0, 0), root)
+    assert m.read_state(spark, root).isEmpty()
+    assert m.read_state(spark, root).columns == ["order_id", "customer"]
+    assert counts(m.compact(spark, root)) == (0, 0)
+    with pytest.raises(ValueError, match="no run 9"):
+        m.read_state(spark, root, 9)
+
+
+def test_appends_match_columns_by_name_and_keep_types(spark, root):
+    m.publish(frame(spark, 0, 3), root)
+    m.publish(frame(spark, 3, 5).select("customer", "order_id"), root)
+    assert same_rows(m.read_state(spark, root), frame(spark, 0, 5))
+    with pytest.raises(ValueError, match="holds"):
+        m.publish(frame(spark, 0, 1).withColumn("order_id", F.lit("x")), root)
+    with pytest.raises(ValueError, match="named run"):
+        m.publish(frame(spark, 0, 1).withColumn("run", F.lit(1)), f"{root}2")
+
+
+def test_row_differences_count_copies(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "k long, v string")
+    b = spark.createDataFrame([(1, "x"), (3, "z"), (2, None)], "k long, v string")
+    assert {tuple(r) for r in m.row_differences(a, b).collect()} == {(1, "x", -1), (3, "z", 1)}
+    assert m.row_differences(a, a.repartition(3)).isEmpty()
+
+
+def test_inventory_reads_no_column(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    found = m.file_inventory(lines)
+    row = found.first()
+    path = "/root/testdata/sf0.001/lineitem.parquet"
+    assert row["file_path"].endswith(path)
+    assert (row["file_size_in_bytes"], row["record_count"]) == (os.path.getsize(path), 6000)
+    assert "ReadSchema: struct<>" in found._jdf.queryExecution().executedPlan().toString()
