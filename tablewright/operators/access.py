@@ -62,8 +62,12 @@ def missing_grants(desired: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def resolved_memberships(members: DataFrame, roles: DataFrame, identities: DataFrame) -> DataFrame:
-    """Memberships with ids: ``roles(group_name, role_id)``, ``identities(principal, subject_id)``."""
-    return look_up(look_up(members, roles, "group_name"), identities, "principal")
+    """Memberships with ids: ``roles(group_name, role_id)``, ``identities(principal, subject_id)``.
+
+    A group or principal that is not known is an error; :func:`unresolved` lists them.
+    """
+    with_roles = look_up(members, roles, "group_name", required=True)
+    return look_up(with_roles, identities, "principal", required=True)
 
 
 def unresolved(members: DataFrame, known: DataFrame, on: str) -> DataFrame:

@@ -128,13 +128,20 @@ def missing(desired: DataFrame, existing: DataFrame, keys: Sequence[str]) -> Dat
     return sides.groupBy(*keys).agg(F.bool_or("_held").alias("_held")).filter(~F.col("_held")).drop("_held")
 
 
-def look_up(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+def look_up(left: DataFrame, right: DataFrame, on: str, required: bool = False) -> DataFrame:
     """``left`` with the columns of ``right``, which holds each key once.
 
-    Catalyst picks the strategy from the sizes, and a sort-merge join is split
-    at run time where a key of ``left`` is large.
+    Rows without a partner are left out or, when ``required``, fail the job that
+    reads the result. Catalyst picks the strategy from the sizes, and a sort-merge
+    join is split at run time where a key of ``left`` is large.
     """
-    return left.join(right, on, "inner")
+    if not required:
+        return left.join(right, on, "inner")
+    joined = left.join(right.withColumn("_found", F.lit(True)), on, "left")
+    missed = F.raise_error(F.concat(F.lit(f"no {on} "), F.coalesce(F.col(on).cast("string"), F.lit("NULL"))))
+    columns = [c for c in joined.columns if c not in (on, "_found")]
+    checked_key = F.when(F.col("_found"), F.col(on)).otherwise(missed).alias(on)
+    return joined.select(checked_key, *columns)
 
 
 # -- sums ---------------------------------------------------------------------

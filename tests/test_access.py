@@ -149,8 +149,10 @@ def test_lookups_and_misses(spark, members):
     roles = members.select("group_name").distinct().withColumn("role_id", F.xxhash64("group_name"))
     known = members.filter(F.col("kind") == "email").select("principal").distinct()
     identities = known.withColumn("subject_id", F.concat(F.lit("id-"), "principal"))
-    resolved = a.resolved_memberships(members, roles, identities)
+    resolved = a.resolved_memberships(members.filter("kind = 'email'"), roles, identities)
     assert resolved.count() == 7
+    with pytest.raises(Exception, match="no principal (translation-pipeline|table-definitions)"):
+        a.resolved_memberships(members, roles, identities).collect()
     assert set(resolved.columns) == {"group_name", "kind", "principal", "role_id", "subject_id"}
     misses = {r["principal"] for r in a.unresolved(members, identities, "principal").collect()}
     assert misses == {"translation-pipeline", "table-definitions"}

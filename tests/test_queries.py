@@ -1,11 +1,14 @@
 """Every registered query against its SQL, as DuckDB runs it."""
 
+import os
+
 import duckdb
 import pytest
 
 import __spark_entry__ as driver
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SPARK_TYPES = {"VARCHAR": "string", "INTEGER": "int"}
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +35,8 @@ def test_every_query_has_sql():
 def test_query(spark, duck, name):
     found = driver.queries()[name](spark, FOLDER)
     expected = duck.execute(driver.oracle_sql()[name])
+    types = {c[0]: SPARK_TYPES.get(str(c[1]), str(c[1]).lower()) for c in expected.description}
+    assert {f.name: f.dataType.simpleString() for f in found.schema} == types
     wanted = rows([c[0] for c in expected.description], expected.fetchall())
     assert wanted[1]
     assert rows(found.columns, [tuple(r) for r in found.collect()]) == wanted

@@ -88,6 +88,40 @@ def test_hot_rows_meet_in_many_tasks(spark):
     assert max(sizes) < 10_000
 
 
+def test_look_up(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id long, k string")
+    right = spark.createDataFrame([("a", 10), ("c", 30)], "k string, w long")
+    assert [tuple(row) for row in r.look_up(left, right, "k").collect()] == [("a", 1, 10)]
+    found = r.look_up(left.filter("id = 1"), right, "k", required=True)
+    assert [tuple(row) for row in found.collect()] == [("a", 1, 10)]
+    for missing_id, name in ((2, "no k b"), (3, "no k NULL")):
+        with pytest.raises(Exception, match=name):
+            r.look_up(left.filter(f"id = {missing_id}"), right, "k", required=True).collect()
+
+
+def test_a_hot_lookup_key_is_split_at_run_time(spark):
+    ids = spark.range(0, 100_000, 1, 16)
+    left = ids.select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5000).alias("k"), "id")
+    right = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    old = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        for required in (False, True):
+            found = r.look_up(left, right, "k", required)
+            assert len(found.collect()) == 100_000
+            assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+
+
 def test_missing_compares_nulls_and_ignores_copies(spark):
     schema = "g string, p string"
     desired = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", None), ("c", "z")], schema)
