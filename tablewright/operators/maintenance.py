@@ -18,7 +18,6 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 from collections.abc import Sequence
-from datetime import datetime, timezone
 from functools import reduce
 from math import ceil
 
@@ -39,7 +38,6 @@ COMMIT = (
     "run_id bigint, committed_at timestamp, operation string, row_schema string, "
     f"partition_by array<string>, parts array<{PART}>, summary map<string,string>"
 )
-RESULT = "rewritten_data_files_count bigint, added_data_files_count bigint"
 
 
 def file_inventory(df: DataFrame, *by: str) -> DataFrame:
@@ -80,6 +78,10 @@ def _commits(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(COMMIT).parquet(_log_path(root))
 
 
+def _one_row(spark: SparkSession) -> DataFrame:
+    return spark.range(0, 1, 1, 1)
+
+
 def _last_run(spark: SparkSession, root: str) -> int | None:
     try:
         return _commits(spark, root).agg(F.max("run_id")).first()[0]
@@ -109,7 +111,13 @@ def _add_commit(
     added: int,
     deleted: int,
 ) -> None:
-    head = (run_id, datetime.now(timezone.utc), operation, schema.json(), list(partition_by), list(parts), None)
+    head = {
+        "run_id": run_id,
+        "operation": operation,
+        "row_schema": schema.json(),
+        "partition_by": list(partition_by),
+        "parts": [part.asDict() for part in parts],
+    }
     summary = options_map(
         **{
             "total-data-files": sum(p["files"] for p in parts),
@@ -118,8 +126,9 @@ def _add_commit(
             "deleted-data-files": deleted,
         }
     )
-    row = spark.createDataFrame([head], COMMIT).withColumn("summary", summary)
-    row.coalesce(1).write.mode("append").parquet(_log_path(root))
+    row = _one_row(spark).select(F.from_json(F.lit(json.dumps(head)), COMMIT).alias("commit")).select("commit.*")
+    row = row.withColumns({"committed_at": F.current_timestamp(), "summary": summary})
+    row.write.mode("append").parquet(_log_path(root))
 
 
 def _scan(spark: SparkSession, root: str, schema: StructType, parts: Sequence[Row]) -> DataFrame:
@@ -264,7 +273,7 @@ def compact(
         if count >= min_input_files and ceil(size / target_bytes) < count
     }
     if not outputs:
-        return spark.createDataFrame([(0, 0)], RESULT)
+        return _result(spark, 0, 0)
     taken = {r["_path"]: r for r in taken if tuple(r[k] for k in keys) in outputs}
 
     chosen = [p for p in candidates if p["path"] in taken]
@@ -292,7 +301,14 @@ def compact(
             kept.append(Row(path=part["path"], min_bytes=limit, files=left[0], bytes=left[1], records=left[2]))
     removed, added = sum(r["_files"] for r in taken.values()), sum(p["files"] for p in fresh)
     _add_commit(spark, root, run_id, "replace", schema, keys, [*kept, *fresh], added, removed)
-    return spark.createDataFrame([(removed, added)], RESULT)
+    return _result(spark, removed, added)
+
+
+def _result(spark: SparkSession, rewritten: int, added: int) -> DataFrame:
+    return _one_row(spark).select(
+        F.lit(rewritten).cast("long").alias("rewritten_data_files_count"),
+        F.lit(added).cast("long").alias("added_data_files_count"),
+    )
 
 
 def _gathered(

@@ -149,6 +149,7 @@ def test_partition_values_survive(spark, root, kind):
         "date": [date(2024, 2, 29), None],
     }[kind]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"id long, p {kind}")
+    root = root.replace("table", "a b+c%20d")
     for _ in range(3):
         m.publish(rows, root, ["p"])
     before = m.read_state(spark, root)
