@@ -220,15 +220,6 @@ def history(spark: SparkSession, root: str) -> DataFrame:
 # -- compaction ---------------------------------------------------------------
 
 
-def _slot(plan: DataFrame) -> Column:
-    """Which output file a row goes to: a fixed, even pick among its partition's.
-
-    The position in its file stands for the row, so copies of a row part ways.
-    """
-    position = F.xxhash64("_metadata.file_path", "_metadata.row_index")
-    return (plan["_first"] + F.pmod(position, plan["_outputs"])).cast("int")
-
-
 def compact(
     spark: SparkSession,
     root: str,
@@ -280,11 +271,11 @@ def compact(
     rows = _scan(spark, root, schema, chosen).filter(is_small)
     run_id = last["run_id"] + 1
     path = f"{root}/run={run_id}"
-    if keys:
-        rows = _gathered(spark, rows, schema, keys, outputs)
-    else:
-        # Neighbouring files end up in one task, and nothing is shuffled.
+    if not keys and rows.rdd.getNumPartitions() >= outputs[()]:
+        # The scan already reads a few files per task; tasks are joined, not shuffled.
         rows = rows.coalesce(outputs[()])
+    else:
+        rows = _gathered(spark, rows, schema, keys, outputs)
     rows.select(*schema.fieldNames()).write.mode("overwrite").partitionBy(*keys).parquet(path)
 
     fresh = _parts_of(spark, root, path, schema)
@@ -318,7 +309,17 @@ def _gathered(
     keys: Sequence[str],
     outputs: dict[tuple, int],
 ) -> DataFrame:
-    """Rows shuffled so that each task holds the rows of one output file."""
+    """Rows shuffled so that each task holds the rows of one output file.
+
+    A row goes to one of its partition's files by a hash of its position in its
+    source file: even, the same when a task runs again, and apart for copies.
+    """
+    position = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    columns = [rows[f] for f in schema.fieldNames()]
+    total = sum(outputs.values())
+    if not keys:
+        placed = rows.select(*columns, F.pmod(position, F.lit(total)).cast("int").alias("_slot"))
+        return placed.repartitionById(total, F.col("_slot"))
     lines, first = [], 0
     for key, count in outputs.items():
         lines.append((*key, first, count))
@@ -329,6 +330,5 @@ def _gathered(
     if len(lines) <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
     same = reduce(Column.__and__, [rows[k].eqNullSafe(plan[k]) for k in keys])
-    return rows.join(plan, same).select(
-        *[rows[f] for f in schema.fieldNames()], _slot(plan).alias("_slot")
-    ).repartitionById(first, F.col("_slot"))
+    slot = (plan["_first"] + F.pmod(position, plan["_outputs"])).cast("int")
+    return rows.join(plan, same).select(*columns, slot.alias("_slot")).repartitionById(total, F.col("_slot"))

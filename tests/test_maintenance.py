@@ -141,6 +141,23 @@ def test_copies_are_spread_over_the_planned_files(spark, root):
     assert same_rows(before, m.read_state(spark, root))
 
 
+def test_target_below_the_scan_split_is_kept(spark, root):
+    """Few scan tasks, more files wanted: rows are spread over the planned number."""
+    for i in range(6):
+        m.publish(frame(spark, i * 10_000, (i + 1) * 10_000).withColumn("x", F.rand(i)), root)
+    before = m.read_state(spark, root)
+    total = sum(r["file_size_in_bytes"] for r in m.state_files(spark, root).collect())
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert m.read_state(spark, root).rdd.getNumPartitions() < 4
+        assert counts(m.compact(spark, root, target_bytes=total // 4 + 4)) == (6, 4)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert same_rows(before, m.read_state(spark, root))
+
+
 @pytest.mark.parametrize("kind", ["string", "int", "date"])
 def test_partition_values_survive(spark, root, kind):
     values = {
