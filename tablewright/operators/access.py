@@ -117,14 +117,15 @@ def check_access(requests: DataFrame, grants: DataFrame, members: DataFrame) ->
     held = grants.filter(F.col("permission").isin(list(ALLOWED_ACTIONS))).select(
         "group_name", "resource_path", allows[F.col("permission")].alias("actions")
     )
-    asked = (
-        requests.join(members.select("group_name", "principal").distinct(), "principal")
-        .select("request_id", "group_name", "action", F.explode(ancestor_paths("table_path")).alias("resource_path"))
-    )
-    reached = (
-        asked.join(held, ["group_name", "resource_path"])
-        .groupBy("request_id")
-        .agg(F.bool_or(F.array_contains("actions", F.col("action"))).alias("granted"))
+    belongs = members.select("group_name", "principal").distinct()
+    asked = requests.join(belongs, "principal", "left").select(
+        *requests.columns, "group_name", F.explode(ancestor_paths("table_path")).alias("resource_path")
     )
+    may = F.bool_or(F.array_contains("actions", F.col("action")))
     outcome = F.when(F.col("granted"), "allowed").when(~F.col("granted"), "denied").otherwise("not_found")
-    return requests.join(reached, "request_id", "left").select(*requests.columns, outcome.alias("outcome"))
+    return (
+        asked.join(held, ["group_name", "resource_path"], "left")
+        .groupBy(*requests.columns)
+        .agg(may.alias("granted"))
+        .select(*requests.columns, outcome.alias("outcome"))
+    )

@@ -131,8 +131,14 @@ def _add_commit(
     row.write.mode("append").parquet(_log_path(root))
 
 
-def _scan(spark: SparkSession, root: str, schema: StructType, parts: Sequence[Row]) -> DataFrame:
-    """The live files of some directories, file metadata still at hand."""
+def _scan(
+    spark: SparkSession, root: str, schema: StructType, parts: Sequence[Row], *metadata: str
+) -> DataFrame:
+    """The live files of some directories, with ``_metadata`` when it is asked for.
+
+    The column is only asked for where it is read: once selected, Spark numbers
+    the rows of every file even if a later step drops it.
+    """
     by_floor = defaultdict(list)
     for part in parts:
         by_floor[part["min_bytes"]].append(part["path"])
@@ -141,7 +147,7 @@ def _scan(spark: SparkSession, root: str, schema: StructType, parts: Sequence[Ro
         frame = spark.read.schema(schema).option("basePath", root).parquet(*paths)
         if floor:
             frame = frame.filter(F.col("_metadata.file_size") >= floor)
-        frames.append(frame.select(*schema.fieldNames(), "_metadata"))
+        frames.append(frame.select(*schema.fieldNames(), *metadata))
     return reduce(DataFrame.unionAll, frames)
 
 
@@ -198,14 +204,14 @@ def read_state(spark: SparkSession, root: str, run_id: int | None = None) -> Dat
     schema = StructType.fromJson(json.loads(commit["row_schema"]))
     if not commit["parts"]:
         return spark.createDataFrame([], schema)
-    return _scan(spark, root, schema, commit["parts"]).select(*schema.fieldNames())
+    return _scan(spark, root, schema, commit["parts"])
 
 
 def state_files(spark: SparkSession, root: str, run_id: int | None = None) -> DataFrame:
     """The file inventory of a state, with its partition columns."""
     commit = _commit(spark, root, run_id or _last_run(spark, root))
     schema = StructType.fromJson(json.loads(commit["row_schema"]))
-    return file_inventory(_scan(spark, root, schema, commit["parts"]), *commit["partition_by"])
+    return file_inventory(_scan(spark, root, schema, commit["parts"], "_metadata"), *commit["partition_by"])
 
 
 def history(spark: SparkSession, root: str) -> DataFrame:
@@ -242,7 +248,7 @@ def compact(
     candidates = [p for p in last["parts"] if p["min_bytes"] < limit]
     taken = []
     if candidates:
-        files = file_inventory(_scan(spark, root, schema, candidates).filter(is_small), *keys)
+        files = file_inventory(_scan(spark, root, schema, candidates, "_metadata").filter(is_small), *keys)
         taken = (
             files.groupBy(*keys, directory_of(F.col("file_path")).alias("_path"))
             .agg(
@@ -268,7 +274,7 @@ def compact(
     taken = {r["_path"]: r for r in taken if tuple(r[k] for k in keys) in outputs}
 
     chosen = [p for p in candidates if p["path"] in taken]
-    rows = _scan(spark, root, schema, chosen).filter(is_small)
+    rows = _scan(spark, root, schema, chosen, "_metadata").filter(is_small)
     run_id = last["run_id"] + 1
     path = f"{root}/run={run_id}"
     if not keys and rows.rdd.getNumPartitions() >= outputs[()]:

@@ -219,3 +219,9 @@ def test_inventory_reads_no_column(spark):
     assert row["file_path"].endswith(path)
     assert (row["file_size_in_bytes"], row["record_count"]) == (os.path.getsize(path), 6000)
     assert "ReadSchema: struct<>" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reading_a_state_asks_for_no_file_metadata(spark, root):
+    m.publish(frame(spark, 0, 5), root)
+    plan = m.read_state(spark, root).select("order_id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<order_id:bigint>" in plan
