@@ -31,11 +31,12 @@ def test_anti_join_with_nothing_on_either_side(spark):
     assert r.anti_join(left.limit(0), left, "k").count() == 0
 
 
-@pytest.mark.parametrize("kind", ["string", "double", "decimal(12,2)", "timestamp", "date", "int", "boolean"])
+@pytest.mark.parametrize("kind", ["string", "double", "float", "decimal(12,2)", "timestamp", "timestamp_ntz", "date", "int", "smallint", "boolean"])
 def test_anti_join_and_flag_on_hot_keys(spark, kind):
     source = {
         "string": lambda c: c.cast("string"),
         "timestamp": lambda c: F.timestamp_seconds(c * 86400),
+        "timestamp_ntz": lambda c: F.timestamp_seconds(c * 86400).cast("timestamp_ntz"),
         "date": lambda c: F.date_from_unix_date(c.cast("int")),
         "boolean": lambda c: c % 2 == 0,
     }.get(kind, lambda c: c.cast(kind))
