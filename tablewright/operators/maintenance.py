@@ -2,8 +2,10 @@
 
 A published table lives below one root folder. Every write goes to a new
 directory ``run=<id>`` there and then adds one row to the log next to it
-(``<root>_log``); a row lists the directories that hold the table's rows from
-then on. Directories are never changed, so every earlier state stays readable.
+(``<root>_log``), which lists the directories that came, went or changed. The
+state of a run is the last entry of each directory up to that run, so the log
+grows with the changes and an append reads none of the earlier ones. Files are
+never changed, so every earlier state stays readable.
 
 A directory of a run (of a run's partition, when the table is partitioned) is
 the unit of a state. Compaction takes the files below a size out of a directory
@@ -36,7 +38,7 @@ BROADCAST_ROWS = 100_000
 PART = "struct<path:string,min_bytes:bigint,files:bigint,bytes:bigint,records:bigint>"
 COMMIT = (
     "run_id bigint, committed_at timestamp, operation string, row_schema string, "
-    f"partition_by array<string>, parts array<{PART}>, summary map<string,string>"
+    f"partition_by array<string>, changes array<{PART}>, summary map<string,string>"
 )
 
 
@@ -82,51 +84,66 @@ def _one_row(spark: SparkSession) -> DataFrame:
     return spark.range(0, 1, 1, 1)
 
 
-def _last_run(spark: SparkSession, root: str) -> int | None:
+def _head(spark: SparkSession, root: str, run_id: int | None = None) -> Row | None:
+    """A commit without its changes; the latest when no run is named."""
+    facts = F.struct("run_id", "row_schema", "partition_by", "summary")
     try:
-        return _commits(spark, root).agg(F.max("run_id")).first()[0]
+        commits = _commits(spark, root)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    if run_id is not None:
+        commits = commits.filter(F.col("run_id") == run_id)
+    return commits.agg(F.max_by(facts, "run_id").alias("head")).first()["head"]
 
 
-def _commit(spark: SparkSession, root: str, run_id: int | None) -> Row:
-    found = None
-    if run_id is not None:
-        found = _commits(spark, root).filter(F.col("run_id") == run_id).first()
-    if found is None:
+def _need_head(spark: SparkSession, root: str, run_id: int | None = None) -> tuple[Row, StructType]:
+    head = _head(spark, root, run_id)
+    if head is None:
         raise ValueError(f"{root} has no run {run_id}" if run_id else f"nothing was published at {root}")
-    return found
+    return head, StructType.fromJson(json.loads(head["row_schema"]))
+
+
+def _parts(spark: SparkSession, root: str, run_id: int) -> list[Row]:
+    """The directories of a run's state; one row each."""
+    changes = _commits(spark, root).filter(F.col("run_id") <= run_id).select("run_id", F.inline("changes"))
+    numbers = F.struct("min_bytes", "files", "bytes", "records")
+    last = changes.groupBy("path").agg(F.max_by(numbers, "run_id").alias("last"))
+    return last.filter("last.files > 0").select("path", "last.*").collect()
 
 
 def _add_commit(
     spark: SparkSession,
     root: str,
-    run_id: int,
+    head: Row | None,
     operation: str,
     schema: StructType,
     partition_by: Sequence[str],
-    parts: Sequence[Row],
-    added: int,
-    deleted: int,
+    fresh: Sequence[Row],
+    touched: Sequence[tuple[Row, Row]] = (),
 ) -> None:
-    head = {
-        "run_id": run_id,
-        "operation": operation,
-        "row_schema": schema.json(),
-        "partition_by": list(partition_by),
-        "parts": [part.asDict() for part in parts],
-    }
+    """Log a run: its new directories, and others as they were and as they are."""
+    added = sum(p["files"] for p in fresh)
+    deleted = sum(old["files"] - new["files"] for old, new in touched)
+    records = sum(p["records"] for p in fresh) - sum(old["records"] - new["records"] for old, new in touched)
+    earlier = head["summary"] if head else {"total-data-files": 0, "total-records": 0}
     summary = options_map(
         **{
-            "total-data-files": sum(p["files"] for p in parts),
-            "total-records": sum(p["records"] for p in parts),
+            "total-data-files": int(earlier["total-data-files"]) + added - deleted,
+            "total-records": int(earlier["total-records"]) + records,
             "added-data-files": added,
             "deleted-data-files": deleted,
         }
     )
-    row = _one_row(spark).select(F.from_json(F.lit(json.dumps(head)), COMMIT).alias("commit")).select("commit.*")
+    commit = {
+        "run_id": head["run_id"] + 1 if head else 1,
+        "operation": operation,
+        "row_schema": schema.json(),
+        "partition_by": list(partition_by),
+        "changes": [part.asDict() for part in [*fresh, *[new for _, new in touched]]],
+    }
+    row = _one_row(spark).select(F.from_json(F.lit(json.dumps(commit)), COMMIT).alias("commit")).select("commit.*")
     row = row.withColumns({"committed_at": F.current_timestamp(), "summary": summary})
     row.write.mode("append").parquet(_log_path(root))
 
@@ -174,11 +191,9 @@ def publish(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> int:
     splits a partition that is large and joins small ones into one task.
     """
     spark = df.sparkSession
-    last_run = _last_run(spark, root)
-    last = _commit(spark, root, last_run) if last_run else None
-    if last is not None:
-        schema = StructType.fromJson(json.loads(last["row_schema"]))
-        partition_by = last["partition_by"]
+    head = _head(spark, root)
+    if head is not None:
+        schema, partition_by = StructType.fromJson(json.loads(head["row_schema"])), head["partition_by"]
         df = df.select(*schema.fieldNames())
         if [f.dataType for f in df.schema] != [f.dataType for f in schema]:
             raise ValueError(f"{root} holds {schema.simpleString()}, not {df.schema.simpleString()}")
@@ -186,32 +201,27 @@ def publish(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> int:
         raise ValueError("a published table cannot have a column named run")
     else:
         schema = df.schema
-    run_id = (last_run or 0) + 1
+    run_id = head["run_id"] + 1 if head else 1
     path = f"{root}/run={run_id}"
     rows = df.hint("rebalance", *partition_by) if partition_by else df
     # A directory of this id can only be left from a write that never finished.
     rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    fresh = _parts_of(spark, root, path, schema)
-    kept = last["parts"] if last else []
-    added = sum(p["files"] for p in fresh)
-    _add_commit(spark, root, run_id, "append", schema, partition_by, [*kept, *fresh], added, 0)
+    _add_commit(spark, root, head, "append", schema, partition_by, _parts_of(spark, root, path, schema))
     return run_id
 
 
 def read_state(spark: SparkSession, root: str, run_id: int | None = None) -> DataFrame:
     """The rows of a published table, as of a run or as of now."""
-    commit = _commit(spark, root, run_id or _last_run(spark, root))
-    schema = StructType.fromJson(json.loads(commit["row_schema"]))
-    if not commit["parts"]:
-        return spark.createDataFrame([], schema)
-    return _scan(spark, root, schema, commit["parts"])
+    head, schema = _need_head(spark, root, run_id)
+    parts = _parts(spark, root, head["run_id"])
+    return _scan(spark, root, schema, parts) if parts else spark.createDataFrame([], schema)
 
 
 def state_files(spark: SparkSession, root: str, run_id: int | None = None) -> DataFrame:
-    """The file inventory of a state, with its partition columns."""
-    commit = _commit(spark, root, run_id or _last_run(spark, root))
-    schema = StructType.fromJson(json.loads(commit["row_schema"]))
-    return file_inventory(_scan(spark, root, schema, commit["parts"], "_metadata"), *commit["partition_by"])
+    """The file inventory of a state that has rows, with its partition columns."""
+    head, schema = _need_head(spark, root, run_id)
+    parts = _parts(spark, root, head["run_id"])
+    return file_inventory(_scan(spark, root, schema, parts, "_metadata"), *head["partition_by"])
 
 
 def history(spark: SparkSession, root: str) -> DataFrame:
@@ -238,14 +248,13 @@ def compact(
     ``min_input_files`` of them and would end with fewer. Returns one row of
     counts, both 0 when there was nothing to do.
     """
-    last = _commit(spark, root, _last_run(spark, root))
-    schema = StructType.fromJson(json.loads(last["row_schema"]))
-    keys = list(last["partition_by"])
+    head, schema = _need_head(spark, root)
+    keys = list(head["partition_by"])
     limit = int(target_bytes * SMALL_SHARE)
     is_small = F.col("_metadata.file_size") < limit
 
     # Small files per directory. Other files are dropped before they are opened.
-    candidates = [p for p in last["parts"] if p["min_bytes"] < limit]
+    candidates = [p for p in _parts(spark, root, head["run_id"]) if p["min_bytes"] < limit]
     taken = []
     if candidates:
         files = file_inventory(_scan(spark, root, schema, candidates, "_metadata").filter(is_small), *keys)
@@ -275,8 +284,7 @@ def compact(
 
     chosen = [p for p in candidates if p["path"] in taken]
     rows = _scan(spark, root, schema, chosen, "_metadata").filter(is_small)
-    run_id = last["run_id"] + 1
-    path = f"{root}/run={run_id}"
+    path = f"{root}/run={head['run_id'] + 1}"
     if not keys and rows.rdd.getNumPartitions() >= outputs[()]:
         # The scan already reads a few files per task; tasks are joined, not shuffled.
         rows = rows.coalesce(outputs[()])
@@ -288,17 +296,13 @@ def compact(
     read, written = sum(r["_records"] for r in taken.values()), sum(p["records"] for p in fresh)
     if read != written:
         raise RuntimeError(f"compaction read {read} rows and wrote {written}; nothing was published")
-    kept = []
-    for part in last["parts"]:
-        gone = taken.get(part["path"])
-        if gone is None:
-            kept.append(part)
-        elif part["files"] > gone["_files"]:
-            left = part["files"] - gone["_files"], part["bytes"] - gone["_bytes"], part["records"] - gone["_records"]
-            kept.append(Row(path=part["path"], min_bytes=limit, files=left[0], bytes=left[1], records=left[2]))
-    removed, added = sum(r["_files"] for r in taken.values()), sum(p["files"] for p in fresh)
-    _add_commit(spark, root, run_id, "replace", schema, keys, [*kept, *fresh], added, removed)
-    return _result(spark, removed, added)
+    touched = []
+    for old in chosen:
+        gone = taken[old["path"]]
+        left = {name: old[name] - gone[f"_{name}"] for name in ("files", "bytes", "records")}
+        touched.append((old, Row(path=old["path"], min_bytes=limit, **left)))
+    _add_commit(spark, root, head, "replace", schema, keys, fresh, touched)
+    return _result(spark, sum(r["_files"] for r in taken.values()), sum(p["files"] for p in fresh))
 
 
 def _result(spark: SparkSession, rewritten: int, added: int) -> DataFrame:
