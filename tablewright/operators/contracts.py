@@ -178,8 +178,9 @@ def violations(df: DataFrame, contract: TableContract) -> DataFrame:
 def conform(df: DataFrame, contract: TableContract) -> DataFrame:
     """``df`` in the contract's column order and types, checked as it is read.
 
-    A row the contract forbids fails the job that consumes the result, so a
-    write commits all of its rows or none. Columns are matched by name.
+    A row the contract forbids fails the job that reads the offending column, so
+    a write, which reads all of them, commits all of its rows or none. Columns
+    are matched by name.
     """
     _require_columns(df, contract)
     types = {f.name: f.dataType for f in df.schema}

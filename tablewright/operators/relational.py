@@ -139,9 +139,8 @@ def look_up(left: DataFrame, right: DataFrame, on: str, required: bool = False)
         return left.join(right, on, "inner")
     joined = left.join(right.withColumn("_found", F.lit(True)), on, "left")
     missed = F.raise_error(F.concat(F.lit(f"no {on} "), F.coalesce(F.col(on).cast("string"), F.lit("NULL"))))
-    columns = [c for c in joined.columns if c not in (on, "_found")]
-    checked_key = F.when(F.col("_found"), F.col(on)).otherwise(missed).alias(on)
-    return joined.select(checked_key, *columns)
+    # A filter, because a checked column would go unread where it is not needed.
+    return joined.filter(F.when(F.col("_found"), F.lit(True)).otherwise(missed)).drop("_found")
 
 
 # -- sums ---------------------------------------------------------------------

@@ -97,7 +97,7 @@ def test_look_up(spark):
     assert [tuple(row) for row in found.collect()] == [("a", 1, 10)]
     for missing_id, name in ((2, "no k b"), (3, "no k NULL")):
         with pytest.raises(Exception, match=name):
-            r.look_up(left.filter(f"id = {missing_id}"), right, "k", required=True).collect()
+            r.look_up(left.filter(f"id = {missing_id}"), right, "k", required=True).select("w").collect()
 
 
 def test_a_hot_lookup_key_is_split_at_run_time(spark):
