@@ -86,6 +86,12 @@ def _new_namespace(spark: SparkSession) -> str:
     return name
 
 
+def _batches(df: DataFrame, column: str, values: list[str]) -> list[DataFrame]:
+    """All rows of ``df``: those of each value, then the rest."""
+    named = F.coalesce(F.col(column).isin(values), F.lit(False))
+    return [*[df.filter(F.col(column) == value) for value in values], df.filter(~named)]
+
+
 def _line_items(spark: SparkSession, folder: str) -> DataFrame:
     return scan(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("order_id"),
@@ -284,24 +290,21 @@ def namespaces(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def append_by_name(spark: SparkSession, folder: str) -> DataFrame:
-    """Status F, then status O with its columns in another order."""
+    """One append per order status, the columns of each in another order."""
     name = f"{_new_namespace(spark)}.order_lines"
     catalog.apply_contract(spark, ORDER_LINES, name)
     orders = sales_orders(spark, folder, "o_orderstatus")
-    done = orders.filter(F.col("o_orderstatus") == "F").drop("o_orderstatus")
-    still_open = orders.filter(F.col("o_orderstatus") == "O")
-    catalog.append_rows(done, name, ORDER_LINES)
-    catalog.append_rows(still_open.select("amount", "order_id", "customer"), name, ORDER_LINES)
+    columns = ["order_id", "customer", "amount"]
+    for batch in _batches(orders, "o_orderstatus", ["F", "O"]):
+        catalog.append_rows(batch.select(columns), name, ORDER_LINES)
+        columns = columns[1:] + columns[:1]
     return catalog.read_table(spark, name)
 
 
 @registered
 def create_from_query(spark: SparkSession, folder: str) -> DataFrame:
-    name = f"{_new_namespace(spark)}.pending"
-    pending = scan(spark, folder, "orders").filter(F.col("o_orderstatus") == "P").select(
-        F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount")
-    )
-    catalog.create_from(relational.doubled(pending, "amount", "double_amount"), name)
+    name = f"{_new_namespace(spark)}.doubled"
+    catalog.create_from(native_double(spark, folder), name)
     return catalog.read_table(spark, name)
 
 
@@ -342,7 +345,8 @@ def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]  # and the rest
+BATCHES = len(PRIORITIES) + 1
 
 
 def _orders_in_batches(spark: SparkSession, folder: str, partition_by: list[str]) -> str:
@@ -351,8 +355,8 @@ def _orders_in_batches(spark: SparkSession, folder: str, partition_by: list[str]
     orders = scan(spark, folder, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
     )
-    for priority in PRIORITIES:
-        maintenance.publish(orders.filter(F.col("o_orderpriority") == priority), root, partition_by)
+    for batch in _batches(orders, "o_orderpriority", PRIORITIES):
+        maintenance.publish(batch, root, partition_by)
     return root
 
 
@@ -368,7 +372,7 @@ def compact_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Files taken and added, and what the compaction changed: the files, no row."""
     root = _orders_in_batches(spark, folder, [])
     result = maintenance.compact(spark, root)
-    before = maintenance.read_state(spark, root, len(PRIORITIES))
+    before = maintenance.read_state(spark, root, BATCHES)
     after = maintenance.read_state(spark, root)
     changed = maintenance.row_differences(before, after)
     numbers = [
@@ -391,7 +395,7 @@ def compact_partitions(spark: SparkSession, folder: str) -> DataFrame:
             F.count(F.lit(1)).alias(f"{prefix}_files"), F.sum("record_count").alias(f"{prefix}_rows")
         )
 
-    return per_status(len(PRIORITIES), "before").join(per_status(None, "after"), "o_orderstatus")
+    return per_status(BATCHES, "before").join(per_status(None, "after"), "o_orderstatus")
 
 
 @registered
