@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import packing, records
+from tablewright.llm import exact_dedup, packing, records
 from tablewright.llm.shared import shared_folder
 from tablewright.sources.parquet import scan
 
@@ -21,6 +21,10 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.duplicates(scan(spark, folder, "documents"))
+
+
 def op3_records(spark: SparkSession, folder: str) -> DataFrame:
     written = shared_folder(spark, "records")
     records.write_records(scan(spark, folder, "documents"), written, public_tokenizers.path(WORD_BPE), end_id=2)
@@ -30,6 +34,21 @@ def op3_records(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_exact_dedup": op2_exact_dedup,
     "op3_records": op3_records,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_exact_dedup": r"""
+        WITH bare AS (
+            SELECT doc_id, length(coalesce(text, '')) AS size,
+                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare
+            FROM documents
+        )
+        SELECT doc_id,
+               first_value(doc_id) OVER w AS keep_id,
+               count(*) OVER (PARTITION BY bare) AS group_size,
+               doc_id = first_value(doc_id) OVER w AS kept,
+               sha256(bare) AS text_sha256
+        FROM bare WINDOW w AS (PARTITION BY bare ORDER BY size DESC, doc_id)
+    """,
+}
