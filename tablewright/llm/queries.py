@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, packing, records
-from tablewright.llm.shared import shared_folder
+from tablewright.llm import bpe, exact_dedup, language_id, packing, records
+from tablewright.llm.shared import fold_of, shared_folder
 from tablewright.sources.parquet import scan
 
 WORD_BPE = "word_bpe_49k.json"
@@ -32,10 +32,24 @@ def op3_records(spark: SparkSession, folder: str) -> DataFrame:
     return index.select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "frame_bytes")
 
 
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = scan(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = fold_of("doc_id", 5) == 0
+    model = language_id.learn(docs.filter(~held_out))
+    marked = docs.select("doc_id", "text", held_out.alias("held_out"))
+    return language_id.predict(marked, model, carry=["held_out"])
+
+
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(scan(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_records": op3_records,
+    "op4_language_id": op4_language_id,
+    "op5_bpe": op5_bpe,
 }
 ORACLES = {
     "op2_exact_dedup": r"""
