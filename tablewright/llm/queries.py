@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, exact_dedup, language_id, packing, records
+from tablewright.llm import bpe, exact_dedup, language_id, packing, records, simhash
 from tablewright.llm.shared import fold_of, shared_folder
 from tablewright.sources.parquet import scan
 
@@ -44,12 +44,19 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(scan(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    marked = simhash.fingerprints(scan(spark, folder, "documents"), shingle=4)
+    classes = simhash.near_duplicates(marked, radius=4, keys=simhash.all_within(radius=4, parts=6))
+    return classes.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_records": op3_records,
     "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
+    "op6_simhash": op6_simhash,
 }
 ORACLES = {
     "op2_exact_dedup": r"""
