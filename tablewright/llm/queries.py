@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, exact_dedup, language_id, packing, records, simhash
+from tablewright.llm import bpe, exact_dedup, language_id, packing, records, simhash, toxicity
 from tablewright.llm.shared import fold_of, shared_folder
 from tablewright.sources.parquet import scan
 
@@ -50,6 +50,26 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+TOXIC = 0.7
+
+
+def toxicity_model(spark: SparkSession, folder: str, docs: DataFrame) -> toxicity.ToxicityModel:
+    """Learned from the labelled rows of ``docs`` whose checksum mod 3 is not 1."""
+    labels = scan(spark, folder, "labels").filter(fold_of("doc_id", 3) != 1).select("doc_id", "toxic")
+    return toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = scan(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, folder, docs))
+    return scored.select(
+        "doc_id",
+        (fold_of("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -57,6 +77,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES = {
     "op2_exact_dedup": r"""
