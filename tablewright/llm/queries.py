@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, exact_dedup, language_id, packing, records, simhash, toxicity
+from tablewright.llm import bpe, exact_dedup, language_id, packing, records, simhash, topk, toxicity
 from tablewright.llm.shared import fold_of, shared_folder
 from tablewright.sources.parquet import scan
 
@@ -50,6 +50,13 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    held = scan(spark, folder, "embeddings").filter(topk.usable(F.col("embedding")))
+    vectors = held.select("vec_id", whole.alias("vector"))
+    return topk.top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors, k=5)
+
+
 TOXIC = 0.7
 
 
@@ -77,6 +84,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
+    "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES = {
@@ -93,4 +101,22 @@ ORACLES = {
                sha256(bare) AS text_sha256
         FROM bare WINDOW w AS (PARTITION BY bare ORDER BY size DESC, doc_id)
     """,
+    "op9_topk": """
+        WITH vectors AS (
+            SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id
+            WHERE q.vec_id % 50 = 0
+        ),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
 }
