@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, exact_dedup, language_id, packing, records, simhash, topk, toxicity
+from tablewright.llm import bpe, exact_dedup, language_id, packing, records, secrets, simhash, topk, toxicity
 from tablewright.llm.shared import fold_of, shared_folder
 from tablewright.sources.parquet import scan
 
@@ -50,6 +50,26 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _spelled(spans: str) -> Column:
+    parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return F.array_join(parts, ",")
+
+
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = scan(spark, folder, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.learn(docs))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, ("assign", "access", "hex")),
+        F.sha2(_spelled("base_spans"), 256).alias("base_sha256"),
+        _spelled("spans").alias("spans"),
+    )
+
+
 def op9_topk(spark: SparkSession, folder: str) -> DataFrame:
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
     held = scan(spark, folder, "embeddings").filter(topk.usable(F.col("embedding")))
@@ -84,6 +104,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
+    "op8_secrets": op8_secrets,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
 }
