@@ -4,18 +4,65 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablewright.llm import packing
-from tablewright.llm.queries import WORD_BPE
+from tablewright.llm import exact_dedup, packing, secrets, simhash, toxicity
+from tablewright.llm.queries import TOXIC, WORD_BPE, toxicity_model
 from tablewright.llm.shared import stored
 from tablewright.sources.parquet import scan
 
+ROW = "_pipeline_row"
+SECRET = "[secret]"
+# fingerprints of 256 bits over five words; two texts of which 80 % of the shingles are
+# shared differ in 39 bits on average, six more or less
+WORDS, RADIUS = 4, 44
+KEYS = simhash.drawn(count=48, size=16, bits=64 * WORDS)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Rows with a number of their own that every later read repeats."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Rows whose text scores below the threshold; labels are learned from rows that remain."""
+    rows = _numbered(docs)
+    scored = toxicity.score(rows, toxicity_model(spark, folder, rows), carry=[ROW])
+    return rows.join(scored.filter(F.col("score") >= TOXIC).select(ROW), ROW, "left_anti").drop(ROW)
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One row of each group of equal texts."""
+    rows = _numbered(docs)
+    verdict = exact_dedup.duplicates(rows, carry=[ROW])
+    return rows.join(verdict.filter(~F.col("kept")).select(ROW), ROW, "left_anti").drop(ROW)
+
+
+def distinct_fingerprints(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One row of each class of near-duplicates: the smallest doc_id, then the first row."""
+    rows = _numbered(docs)
+    marked = simhash.fingerprints(rows, shingle=5, words=WORDS, carry=[ROW])
+    classes = stored(simhash.near_duplicates(marked, RADIUS, KEYS, own_id=ROW), "classes")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("best")
+    kept = classes.groupBy("component_id").agg(best).select(F.col(f"best.{ROW}").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").drop(ROW)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """All rows, with every secret replaced by a mark; n_chars follows the text."""
+    return secrets.mask_secrets(docs, secrets.learn(docs), SECRET)
+
 
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
     return packing.pack(docs, public_tokenizers.path(WORD_BPE), end_id=1, window=2048)
 
 
 STAGES = [
+    ("toxicity", not_toxic),
+    ("exact dedup", distinct_texts),
+    ("near dedup", distinct_fingerprints),
+    ("secrets", without_secrets),
     ("packing", packed),
 ]
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, exact_dedup, language_id, packing, records, secrets, simhash, topk, toxicity
+from tablewright.llm import bpe, exact_dedup, language_id, packing, quotes, records, secrets, simhash, topk, toxicity
 from tablewright.llm.shared import fold_of, shared_folder
 from tablewright.sources.parquet import scan
 
@@ -50,6 +50,10 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.link(scan(spark, folder, "conversations"))
+
+
 def _spelled(spans: str) -> Column:
     parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
     return F.array_join(parts, ",")
@@ -104,6 +108,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_bpe": op5_bpe,
     "op6_simhash": op6_simhash,
+    "op7_quotes": op7_quotes,
     "op8_secrets": op8_secrets,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,

@@ -332,6 +332,32 @@ def _listed(spans: list[list[tuple[str, int, int]]]) -> pa.Array:
     return pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in own] for own in spans], pa.list_(kind))
 
 
+def mask_secrets(docs: DataFrame, model: Crf, mark: str) -> DataFrame:
+    """All rows and columns of ``docs``, with every span of ``text`` replaced by ``mark``.
+
+    ``n_chars``, where there is one, is the new length of the texts that changed. NULL
+    texts stay NULL.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(shared.value)
+        for part in text_slices(batches, "text"):
+            texts = part.column(place).to_pylist()
+            plain = [t or "" for t in texts]
+            spans = [merged(base_spans(t), found) for t, found in zip(plain, tagger.spans(plain))]
+            clean = [redacted(t, s, mark) if s else t for t, s in zip(texts, spans)]
+            columns = [pa.array(clean, part.column(place).type) if i == place else part.column(i) for i in range(part.num_columns)]
+            if "n_chars" in part.schema.names:
+                at = part.schema.names.index("n_chars")
+                sizes = [len(t) if s else n for t, s, n in zip(clean, spans, part.column(at).to_pylist())]
+                columns[at] = pa.array(sizes, part.column(at).type)
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names)
+
+    return docs.mapInArrow(masked, docs.schema)
+
+
 def redacted(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
     """The text with every span replaced by ``mark``; spans that overlap become one."""
     parts, at = [], 0

@@ -108,11 +108,13 @@ def drawn(count: int, size: int, bits: int, seed: int = 7) -> list[tuple[int, ..
 # -- classes ------------------------------------------------------------------
 
 
-def near_duplicates(marked: DataFrame, radius: int, keys: list[tuple[int, ...]]) -> DataFrame:
+def near_duplicates(
+    marked: DataFrame, radius: int, keys: list[tuple[int, ...]], own_id: str = "doc_id"
+) -> DataFrame:
     """``component_id`` for every row of ``marked(doc_id, f0, ..)``, all its columns kept.
 
     Fingerprints that differ in at most ``radius`` bits are linked; a component's id is
-    the smallest doc_id in it (NULLs count only where there is no other). Rows of one
+    the smallest ``own_id`` in it (NULLs count only where there is no other). Rows of one
     fingerprint are one node from the start. Nodes meet in the buckets of ``keys``; with
     ``all_within`` no link is missed. A bucket is compared in planes: plane b holds bit b
     of 64 fingerprints per word. Buckets over TILE nodes are split into groups, every
@@ -122,7 +124,7 @@ def near_duplicates(marked: DataFrame, radius: int, keys: list[tuple[int, ...]])
     """
     planes = [c for c in marked.columns if c[:1] == "f" and c[1:].isdigit()]
     marked = stored(marked, "marked")
-    nodes = marked.groupBy(planes).agg(F.min("doc_id").alias("first_id"))
+    nodes = marked.groupBy(planes).agg(F.min(own_id).alias("first_id"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     roots = components(_edges(nodes, planes, radius, keys))
     placed = stored(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
