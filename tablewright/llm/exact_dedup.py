@@ -54,8 +54,10 @@ def duplicates(docs: DataFrame, block: int = BLOCK, carry: Sequence[str] = ()) -
     )
     ends = stored(shaped.drop("bare"), "ends")
     shared = stored(ends.groupBy(SHAPE).count().filter("count > 1").select(SHAPE), "shared")
+    # the texts move once, whatever the size: a plan that sends the few shared shapes to
+    # all tasks while they are few would end where they are many
     alike = stored(
-        shaped.join(shared, SHAPE, "left_semi").drop("head", "tail").withColumn("row", F.monotonically_increasing_id()),
+        shaped.join(shared.hint("shuffle_hash"), SHAPE, "left_semi").drop("head", "tail").withColumn("row", F.monotonically_increasing_id()),
         "alike",
     )
     members = alike.drop("bare").join(_named_texts(alike, block), "row")
