@@ -4,7 +4,8 @@ A record file is a run of frames:
 
     8 bytes   length of the payload, little-endian
     4 bytes   masked checksum (Castagnoli) of those 8 bytes
-    n bytes   payload: 1 byte (1 if an id is there), 8 bytes id, then ids of 4 bytes each
+    n bytes   payload: 1 byte (1: an id is there, 2: token ids of 4 bytes), 8 bytes id,
+              then token ids of 2 bytes each, or of 4 where a vocabulary needs them
     4 bytes   masked checksum of the payload
     1 byte    0x0A, which ends a frame
 
@@ -29,6 +30,7 @@ from tablewright.llm.token_ids import encoder
 
 FILE_BYTES = 32 << 20
 HEAD, TAIL, PREFIX = 12, 5, 9
+KNOWN, WIDE = 1, 2
 INDEX = (
     "doc_id bigint, file int, offset bigint, frame_bytes bigint, tokens_before bigint, "
     "n_tokens bigint, ids_crc32 bigint"
@@ -52,18 +54,20 @@ def write_records(
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
-            ids, ends = encoder(tokenizer).encode(part.column("text"))
-            yield pa.record_batch([_framed(part.column("doc_id"), ids, ends, end_id)], ["frame"])
+            texts = encoder(tokenizer)
+            ids, ends = texts.encode(part.column("text"))
+            width = 2 if max(end_id + 1, texts.tokenizer.get_vocab_size()) <= 1 << 16 else 4
+            yield pa.record_batch([_framed(part.column("doc_id"), ids, ends, end_id, width)], ["frame"])
 
     lines = ordered.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
     lines.write.option("lineSep", "\n").text(f"{folder}/data")
     scan_records(docs.sparkSession, folder).write.parquet(f"{folder}/index")
 
 
-def _framed(doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray, end_id: int) -> pa.Array:
+def _framed(doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray, end_id: int, width: int) -> pa.Array:
     """The frames of a batch, without the byte that the writer adds."""
     counts = np.diff(ends) + 1
-    lengths = PREFIX + 4 * counts
+    lengths = PREFIX + width * counts
     frame = HEAD + lengths + TAIL - 1
     starts = bounds(frame)
     data = np.zeros(int(starts[-1]), np.uint8)
@@ -72,12 +76,12 @@ def _framed(doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray, end_id: int) -
     def put(where: np.ndarray, values: np.ndarray) -> None:
         data[where[:, None] + np.arange(values.dtype.itemsize)] = values.view(np.uint8).reshape(len(values), -1)
 
-    whole = np.insert(ids.astype("<u4"), ends[1:], end_id)
+    whole = np.insert(ids.astype(f"<u{width}"), ends[1:], end_id)
     known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
     put(at, lengths.astype("<u8"))
-    data[at + HEAD] = known
+    data[at + HEAD] = known * KNOWN + (width == 4) * WIDE
     put(at + HEAD + 1, doc_ids.fill_null(0).to_numpy().astype("<i8"))
-    data[ragged(at + HEAD + PREFIX, 4 * counts)] = whole.view(np.uint8)
+    data[ragged(at + HEAD + PREFIX, width * counts)] = whole.view(np.uint8)
     put(at + 8, masked(crc32c(data, at, np.full(len(at), 8))).astype("<u4"))
     put(at + HEAD + lengths, masked(crc32c(data, at + HEAD, lengths)).astype("<u4"))
     return pa.Array.from_buffers(
@@ -120,12 +124,13 @@ def _parsed(number: int, data: np.ndarray) -> pa.RecordBatch:
     if wrong.any():
         raise ValueError(f"file {number}: wrong checksum at byte {starts[np.flatnonzero(wrong)[0]]}")
     doc_ids = data[(starts + HEAD + 1)[:, None] + np.arange(8)].view("<i8").reshape(-1)
-    counts = (lengths - PREFIX) // 4
+    flags = data[starts + HEAD]
+    counts = (lengths - PREFIX) // np.where(flags & WIDE, 4, 2)
     sums = [
-        zlib.crc32(raw[a + HEAD + PREFIX : a + HEAD + n]) for a, n in zip(starts.tolist(), lengths.tolist())
+        zlib.crc32(_ids(raw[a + HEAD : a + HEAD + n])) for a, n in zip(starts.tolist(), lengths.tolist())
     ]
     columns = [
-        pa.array(doc_ids, pa.int64(), mask=data[starts + HEAD] == 0),
+        pa.array(doc_ids, pa.int64(), mask=flags & KNOWN == 0),
         pa.array(np.full(len(starts), number, np.int32)),
         pa.array(starts),
         pa.array(HEAD + lengths + TAIL),
@@ -136,6 +141,11 @@ def _parsed(number: int, data: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch(columns, INDEX.replace(",", "").split()[::2])
 
 
+def _ids(payload: bytes | memoryview) -> np.ndarray:
+    """The token ids of a payload, 4 bytes each."""
+    return np.frombuffer(payload, "<u4" if payload[0] & WIDE else "<u2", offset=PREFIX).astype("<u4")
+
+
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """The index with ``start``: the ids of all records in earlier files and earlier in the file."""
     index = spark.read.schema(INDEX).parquet(f"{folder}/index")
@@ -161,7 +171,7 @@ def read_shuffled(spark: SparkSession, folder: str, seed: int) -> DataFrame:
                 rows = _parsed(number, np.frombuffer(data, np.uint8))
                 order = np.random.default_rng([seed, number]).permutation(rows.num_rows)
                 at, size = rows.column("offset").to_pylist(), rows.column("frame_bytes").to_pylist()
-                ids = [np.frombuffer(data[at[i] + HEAD + PREFIX : at[i] + size[i] - TAIL], "<u4") for i in order]
+                ids = [_ids(data[at[i] + HEAD : at[i] + size[i] - TAIL]) for i in order]
                 yield pa.record_batch([rows.column("doc_id").take(pa.array(order)), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     read = files.select(number.alias("file"), "content").mapInArrow(drawn, "doc_id bigint, ids array<bigint>")
