@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import string
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -52,19 +53,20 @@ def _number(name: str) -> int:
     return zlib.crc32(name.encode()) % FEATURES
 
 
-@functools.lru_cache(maxsize=200_000)
-def _signs(token: str) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]]:
-    """Features that a token gives itself, the token after it, and the token before it."""
-    shape = re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "0", token)))
-    short = re.sub(r"(.)\1+", r"\1+", shape)[:12]
-    kinds = "".join(k for k, p in (("a", r"[a-z]"), ("A", r"[A-Z]"), ("0", r"[0-9]"), ("_", r"[+/_.=-]")) if re.search(p, token))
-    changes = sum(a != b for a, b in zip(shape, shape[1:]))
-    size = min(len(token).bit_length(), 8)
-    word = token.lower() if len(token) <= 14 else "long"
+SHAPES = str.maketrans(string.ascii_letters + string.digits, "a" * 26 + "A" * 26 + "0" * 10)
+REPEATS = re.compile(r"(.)\1+")
+OWN, AFTER, BEFORE = (zlib.crc32(f"{place} word ".encode()) for place in ("own", "after", "before"))
+
+
+@functools.lru_cache(maxsize=100_000)
+def _shape_signs(shape: str) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...]]:
+    """Features that a token's shape gives the token itself, the one after it, and the one before."""
+    short = REPEATS.sub(r"\1+", shape)[:12]
+    kinds = "".join(k for k in "aA0" if k in shape) + ("_" if set(shape) & set("+/_.=-") else "")
+    changes = sum(map(str.__ne__, shape, shape[1:]))
+    size = min(len(shape).bit_length(), 8)
     own = [f"shape {short}", f"kinds {kinds} {size}", f"changes {min(changes, 12)} {size}", f"size {size}"]
-    if kinds in ("a", "A", "aA"):
-        own.append(f"word {word}")
-    beside = [f"shape {short}", f"word {word}", f"kinds {kinds} {size}"]
+    beside = [f"shape {short}", f"kinds {kinds} {size}"]
     return (
         tuple(map(_number, own)),
         tuple(_number(f"after {x}") for x in beside),
@@ -72,6 +74,16 @@ def _signs(token: str) -> tuple[tuple[int, ...], tuple[int, ...], tuple[int, ...
     )
 
 
+def _word_signs(token: str) -> tuple[int, int, int]:
+    """The word itself as a feature, in the same three places; long tokens count as one word."""
+    word = token.lower().encode() if len(token) <= 14 else b"long"
+    return tuple(zlib.crc32(word, place) % FEATURES for place in (OWN, AFTER, BEFORE))
+
+
+def _signs(token: str) -> list[tuple[int, ...]]:
+    return [s + (w,) for s, w in zip(_shape_signs(token.translate(SHAPES)), _word_signs(token))]
+
+
 def _file_signs(text: str) -> tuple[int, ...]:
     """Features of a whole text: how long it is, and how much looks like settings or code."""
     size = len(text) + 1
@@ -218,11 +230,22 @@ class Tagger:
     def __init__(self, model: Crf):
         self.model = model
         self.spread = 2 * float(model.steps.max() - model.steps.min())
-        self.parts = functools.lru_cache(maxsize=300_000)(self._parts)
-
-    def _parts(self, token: str) -> np.ndarray:
-        """Nine sums: what the token adds to itself, the next and the one before."""
-        return np.concatenate([self.model.weights[list(signs)].sum(0) for signs in _signs(token)])
+        self.shapes: dict[str, int] = {}
+        self.by_shape = np.zeros((0, 9))
+
+    def _parts(self, tokens: list[str]) -> np.ndarray:
+        """Nine sums per token: what it adds to itself, to the next and to the one before."""
+        weights = self.model.weights
+        shapes = [t.translate(SHAPES) for t in tokens]
+        if len(self.shapes) > 200_000:
+            self.shapes, self.by_shape = {}, np.zeros((0, 9))
+        fresh = [s for s in dict.fromkeys(shapes) if s not in self.shapes]
+        if fresh:
+            sums = [np.concatenate([weights[list(signs)].sum(0) for signs in _shape_signs(s)]) for s in fresh]
+            self.shapes.update(zip(fresh, range(len(self.by_shape), len(self.by_shape) + len(fresh))))
+            self.by_shape = np.concatenate([self.by_shape, sums])
+        words = np.array([_word_signs(t) for t in tokens], np.int64)
+        return self.by_shape[[self.shapes[s] for s in shapes]] + weights[words].reshape(len(tokens), 9)
 
     def spans(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """Runs of tokens tagged as one secret, per text.
@@ -238,7 +261,7 @@ class Tagger:
         if not ends[-1]:
             return out
         words = pa.array([w for p in pieces for w in p], pa.large_string()).dictionary_encode()
-        table = np.array([self.parts(w) for w in words.dictionary.to_pylist()])
+        table = self._parts(words.dictionary.to_pylist())
         at = words.indices.to_numpy()
         own, after, before = table[:, :3][at], table[:, 3:6][at], table[:, 6:][at]
         scores = own
