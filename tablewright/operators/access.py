@@ -5,16 +5,17 @@ Inputs are DataFrames:
 * groups       ``name, description, members array<string>, service_accounts array<string>``
 * grants       ``group_name, resource_type, resource_path, permission``
 * tables       ``table_path`` (``warehouse.namespace.table``)
-* memberships  ``group_name, principal``
+* memberships  ``group_name, kind, principal``; a person and a service account of one
+  name are two principals
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import ancestor_paths
-from tablewright.operators.relational import anti_join, flag_present, look_up, missing
+from tablewright.operators.relational import anti_join, look_up, missing, single
 
 # The vocabulary of grants, and what a granted permission allows.
 RESOURCE_TYPES = ["warehouse", "namespace", "table"]
@@ -23,6 +24,8 @@ ALLOWED_ACTIONS = {"select": ["read"], "modify": ["read", "write", "compact"]}
 
 GRANT_KEY = ["group_name", "resource_type", "resource_path", "permission"]
 MEMBER_KEY = ["group_name", "kind", "principal"]
+PRINCIPAL = ["kind", "principal"]
+LEVEL = ["resource_type", "resource_path"]
 
 
 def memberships(groups: DataFrame) -> DataFrame:
@@ -39,16 +42,44 @@ def memberships(groups: DataFrame) -> DataFrame:
     return flat.select("group_name", "listed.kind", F.explode("listed.names").alias("principal")).distinct()
 
 
+def levels_of(path: Column | str) -> Column:
+    """The steps of a table's path with the type of grant that reaches each.
+
+    The first is the warehouse, the last the table itself, what lies between a namespace.
+    """
+    paths = ancestor_paths(path)
+    kind = lambda at: (
+        F.when(at == F.size(paths) - 1, "table").when(at == 0, "warehouse").otherwise("namespace")
+    )
+    return F.transform(paths, lambda step, at: F.struct(kind(at).alias("resource_type"), step.alias("resource_path")))
+
+
 def rejected_grants(grants: DataFrame, groups: DataFrame) -> DataFrame:
-    """Grants that cannot be applied, each with the first rule it breaks."""
-    names = groups.select(F.col("name").alias("group_name"))
-    judged = flag_present(grants, names, "group_name", "_declared")
+    """Grants that cannot be applied, each with the first rule it breaks.
+
+    A warehouse's path has one step, a namespace's two or more, a table's three or more.
+    """
+    depth = F.size(F.split("resource_path", r"\."))
+    deep_enough = (
+        F.when(F.col("resource_type") == "warehouse", depth == 1)
+        .when(F.col("resource_type") == "namespace", depth >= 2)
+        .otherwise(depth >= 3)
+    )
+    whole = ~F.col("resource_path").rlike(r"(^|\.)(\.|$)")
     reason = (
-        F.when(~F.col("_declared"), "unknown group")
-        .when(~F.coalesce(F.col("permission").isin(PERMISSIONS), F.lit(False)), "unknown permission")
+        F.when(~F.coalesce(F.col("permission").isin(PERMISSIONS), F.lit(False)), "unknown permission")
         .when(~F.coalesce(F.col("resource_type").isin(RESOURCE_TYPES), F.lit(False)), "unsupported resource type")
+        .when(~F.coalesce(deep_enough & whole, F.lit(False)), "path does not fit the type")
     )
-    return judged.withColumn("reason", reason).filter("reason IS NOT NULL").drop("_declared")
+    names = groups.select(F.col("name").alias("group_name"))
+    undeclared = grants.join(names, "group_name", "left_anti").withColumn("reason", F.lit("unknown group"))
+    others = grants.withColumn("reason", reason).filter("reason IS NOT NULL").join(names, "group_name", "left_semi")
+    return undeclared.unionByName(others).select(*grants.columns, "reason")
+
+
+def missing_groups(groups: DataFrame, existing: DataFrame) -> DataFrame:
+    """Declared group names that ``existing(group_name)`` lacks; they come before their members."""
+    return missing(groups.select(F.col("name").alias("group_name")), existing, ["group_name"])
 
 
 def missing_memberships(desired: DataFrame, existing: DataFrame) -> DataFrame:
@@ -62,12 +93,13 @@ def missing_grants(desired: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def resolved_memberships(members: DataFrame, roles: DataFrame, identities: DataFrame) -> DataFrame:
-    """Memberships with ids: ``roles(group_name, role_id)``, ``identities(principal, subject_id)``.
+    """Memberships with ids: ``roles(group_name, role_id)``, ``identities(kind, principal, subject_id)``.
 
-    A group or principal that is not known is an error; :func:`unresolved` lists them.
+    A group or principal that is not known, or known by two ids, is an error;
+    :func:`unresolved` lists the unknown ones.
     """
-    with_roles = look_up(members, roles, "group_name", required=True)
-    return look_up(with_roles, identities, "principal", required=True)
+    with_roles = look_up(members, single(roles, ["group_name"]), "group_name", required=True)
+    return look_up(with_roles, single(identities, PRINCIPAL), PRINCIPAL, required=True)
 
 
 def unresolved(members: DataFrame, known: DataFrame, on: str) -> DataFrame:
@@ -82,9 +114,9 @@ def orphans(stored: DataFrame, live: DataFrame) -> DataFrame:
 
 def group_access(tables: DataFrame, grants: DataFrame) -> DataFrame:
     """What each group holds on each table, directly or from a level above."""
-    levels = tables.select("table_path", F.explode(ancestor_paths("table_path")).alias("resource_path"))
-    held = grants.select("group_name", "resource_path", "permission").distinct()
-    return levels.join(held, "resource_path").select("group_name", "table_path", "permission").distinct()
+    levels = tables.select("table_path", F.inline(levels_of("table_path")))
+    held = grants.select("group_name", *LEVEL, "permission").distinct()
+    return levels.join(held, LEVEL).select("group_name", "table_path", "permission").distinct()
 
 
 def effective_access(tables: DataFrame, grants: DataFrame, members: DataFrame) -> DataFrame:
@@ -94,18 +126,20 @@ def effective_access(tables: DataFrame, grants: DataFrame, members: DataFrame) -
     without it. Groups and tables are joined before the members come in, and a
     large group is split at run time.
     """
-    belongs = members.select("group_name", "principal").distinct()
+    belongs = members.select(*MEMBER_KEY).distinct()
     access = group_access(tables, grants)
-    return belongs.join(access, "group_name").select("principal", "table_path", "permission").distinct()
+    return belongs.join(access, "group_name").select(*PRINCIPAL, "table_path", "permission").distinct()
 
 
 def check_access(requests: DataFrame, grants: DataFrame, members: DataFrame) -> DataFrame:
-    """An outcome for each ``request_id, principal, table_path, action``.
+    """An outcome for each ``request_id, kind, principal, table_path, action``.
 
     ``allowed``, ``denied`` (the table is visible but the action is not granted)
-    or ``not_found`` (no grant reaches the table). ``request_id`` is unique. Work
-    is one row per request, group of its principal and level of its path; how many
-    members a group has, or how many groups a path is granted to, does not matter.
+    or ``not_found`` (no grant reaches the table). ``request_id`` is unique. A grant
+    reaches a table through its own path and type only: a table's grant says nothing
+    about a namespace of the same path. Work is one row per request, group of its
+    principal and level of its path; how many members a group has, or how many groups
+    a path is granted to, does not matter.
     """
     allows = F.create_map(
         *[
@@ -115,16 +149,16 @@ def check_access(requests: DataFrame, grants: DataFrame, members: DataFrame) ->
         ]
     )
     held = grants.filter(F.col("permission").isin(list(ALLOWED_ACTIONS))).select(
-        "group_name", "resource_path", allows[F.col("permission")].alias("actions")
+        "group_name", *LEVEL, allows[F.col("permission")].alias("actions")
     )
-    belongs = members.select("group_name", "principal").distinct()
-    asked = requests.join(belongs, "principal", "left").select(
-        *requests.columns, "group_name", F.explode(ancestor_paths("table_path")).alias("resource_path")
+    belongs = members.select(*MEMBER_KEY).distinct()
+    asked = requests.join(belongs, PRINCIPAL, "left").select(
+        *requests.columns, "group_name", F.inline(levels_of("table_path"))
     )
     may = F.bool_or(F.array_contains("actions", F.col("action")))
     outcome = F.when(F.col("granted"), "allowed").when(~F.col("granted"), "denied").otherwise("not_found")
     return (
-        asked.join(held, ["group_name", "resource_path"], "left")
+        asked.join(held, ["group_name", *LEVEL], "left")
         .groupBy(*requests.columns)
         .agg(may.alias("granted"))
         .select(*requests.columns, outcome.alias("outcome"))

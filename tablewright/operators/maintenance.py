@@ -33,7 +33,6 @@ from tablewright.functions.columns import directory_of, options_map
 TARGET_BYTES = 128 * 1024 * 1024
 SMALL_SHARE = 0.75
 MIN_INPUT_FILES = 5
-BROADCAST_ROWS = 100_000
 
 PART = "struct<path:string,min_bytes:bigint,files:bigint,bytes:bigint,records:bigint>"
 COMMIT = (
@@ -43,7 +42,7 @@ COMMIT = (
 
 
 def file_inventory(df: DataFrame, *by: str) -> DataFrame:
-    """Path, size and rows of each data file of a scan; reads footers only.
+    """Path, size and rows of each data file of a scan; no column is read, but every row counted.
 
     ``by`` adds columns that are the same for all rows of a file.
     """
@@ -241,16 +240,17 @@ def compact(
     root: str,
     target_bytes: int = TARGET_BYTES,
     min_input_files: int = MIN_INPUT_FILES,
+    small_share: float = SMALL_SHARE,
 ) -> DataFrame:
     """Rewrite small files into fewer files of about ``target_bytes``.
 
-    Takes the files below 0.75 of the target, in each partition that has at least
+    Takes the files below ``small_share`` of the target, in each partition that has at least
     ``min_input_files`` of them and would end with fewer. Returns one row of
     counts, both 0 when there was nothing to do.
     """
     head, schema = _need_head(spark, root)
     keys = list(head["partition_by"])
-    limit = int(target_bytes * SMALL_SHARE)
+    limit = int(target_bytes * small_share)
     is_small = F.col("_metadata.file_size") < limit
 
     # Small files per directory. Other files are dropped before they are opened.
@@ -285,11 +285,7 @@ def compact(
     chosen = [p for p in candidates if p["path"] in taken]
     rows = _scan(spark, root, schema, chosen, "_metadata").filter(is_small)
     path = f"{root}/run={head['run_id'] + 1}"
-    if not keys and rows.rdd.getNumPartitions() >= outputs[()]:
-        # The scan already reads a few files per task; tasks are joined, not shuffled.
-        rows = rows.coalesce(outputs[()])
-    else:
-        rows = _gathered(spark, rows, schema, keys, outputs)
+    rows = _gathered(spark, rows, schema, keys, outputs)
     rows.select(*schema.fieldNames()).write.mode("overwrite").partitionBy(*keys).parquet(path)
 
     fresh = _parts_of(spark, root, path, schema)
@@ -337,8 +333,6 @@ def _gathered(
     plan_schema = StructType([StructField(k, schema[k].dataType) for k in keys])
     plan_schema = plan_schema.add("_first", "long", False).add("_outputs", "long", False)
     plan = spark.createDataFrame(lines, plan_schema)
-    if len(lines) <= BROADCAST_ROWS:
-        plan = F.broadcast(plan)
     same = reduce(Column.__and__, [rows[k].eqNullSafe(plan[k]) for k in keys])
     slot = (plan["_first"] + F.pmod(position, plan["_outputs"])).cast("int")
     return rows.join(plan, same).select(*columns, slot.alias("_slot")).repartitionById(total, F.col("_slot"))

@@ -8,16 +8,10 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import StructType
 
 from tablewright.functions.columns import load_time
 
-# A key is hot when it holds at least one row in HOT_KEYS, so no more than
-# HOT_KEYS keys can be hot and a table of them is always small enough to broadcast.
-HOT_KEYS = 256
-TRACKED_KEYS = 4096
-SKETCH_GROUPS = 256
-
 
 # -- projection ---------------------------------------------------------------
 
@@ -51,68 +45,13 @@ def map_batches(
 # -- joins --------------------------------------------------------------------
 
 
-def hot_keys(df: DataFrame, on: str) -> list:
-    """Values of ``on``, NULL among them, that hold a large share of the rows.
-
-    At most HOT_KEYS values. Only the key column is read. Input partitions are
-    summarised in SKETCH_GROUPS groups, each by a sketch of bounded size, whose
-    largest counts are then added up. The sketches may miss or add a value near
-    the limit; the joins below are exact either way.
-    """
-    groups = df.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("slice")).agg(
-        F.expr(f"approx_top_k(`{on}`, {HOT_KEYS}, {TRACKED_KEYS})").alias("top"),
-        F.count(F.lit(1)).alias("held"),
-    )
-    listed = F.transform("top", lambda t: F.struct(F.lit(False).alias("all"), t["item"].alias("item"), t["count"].alias("n")))
-    no_item = F.lit(None).cast(df.schema[on].dataType)
-    whole = F.struct(F.lit(True).alias("all"), no_item.alias("item"), F.col("held").alias("n"))
-    counts = groups.select(F.inline(F.array_append(listed, whole))).groupBy("all", "item").agg(F.sum("n").alias("n"))
-    largest = counts.orderBy(F.col("n").desc(), F.col("all").desc()).limit(HOT_KEYS + 1).collect()
-    total = max((row["n"] for row in largest if row["all"]), default=0)
-    return [row["item"] for row in largest if not row["all"] and row["n"] * HOT_KEYS >= total]
-
-
-def _matched(left: DataFrame, right: DataFrame, on: str, how: str) -> DataFrame:
-    """``left`` against the keys of ``right``, with ``_known`` and, if joined, ``_met``.
-
-    ``_known`` answers for hot keys whether ``right`` has them (NULL: not a hot
-    key), so their rows need no partner from the shuffle. They are spread over it
-    by the input partition they come from, which a rerun task reproduces; rows
-    with a NULL key likewise. All other rows meet their key at ``_spread = 0``.
-    An aggregate makes that 0 on the right: a plain constant would be taken out
-    of the join key, and hot rows would meet in one task after all.
-    """
-    keys = right.select(on).filter(F.col(on).isNotNull())
-    met = F.lit(True).alias("_met")
-    hot = hot_keys(left, on)
-    if not hot:
-        known = left.withColumn("_known", F.lit(None).cast("boolean"))
-        return known.join(keys.distinct().select(on, met), on, how)
-    key_type = StructType([StructField(on, left.schema[on].dataType)])
-    values = left.sparkSession.createDataFrame([(v,) for v in hot if v is not None], key_type).distinct()
-    found = keys.join(F.broadcast(values), on, "left_semi").distinct().withColumn("_found", F.lit(True))
-    known = values.join(F.broadcast(found), on, "left").select(on, F.coalesce("_found", F.lit(False)).alias("_known"))
-    spread = F.when(F.col("_known").isNotNull() | F.col(on).isNull(), F.spark_partition_id() + 1).otherwise(0)
-    marked = left.join(F.broadcast(known), on, "left").withColumn("_spread", spread)
-    if how == "left_anti":
-        marked = marked.filter(~F.coalesce("_known", F.lit(False)))
-    at_zero = keys.groupBy(on).agg(F.min(F.lit(0)).alias("_spread")).select(on, "_spread", met)
-    return marked.join(at_zero, [on, "_spread"], how)
-
-
 def anti_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Rows of ``left`` whose ``on`` value is not in ``right``; ``on`` comes first.
 
-    A NULL key matches nothing, so its row stays. Finds the hot keys of ``left``
-    when it is called.
+    A NULL key matches nothing, so its row stays. Both sides go to the join as they
+    are, which lets adaptive execution split a key that holds many rows of ``left``.
     """
-    return _matched(left, right, on, "left_anti").select(on, *[c for c in left.columns if c != on])
-
-
-def flag_present(left: DataFrame, right: DataFrame, on: str, name: str) -> DataFrame:
-    """All rows of ``left`` and whether ``right`` has their ``on`` value."""
-    present = F.coalesce("_known", "_met", F.lit(False)).alias(name)
-    return _matched(left, right, on, "left").select(*left.columns, present)
+    return left.join(right.select(on), on, "left_anti")
 
 
 def missing(desired: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -128,17 +67,32 @@ def missing(desired: DataFrame, existing: DataFrame, keys: Sequence[str]) -> Dat
     return sides.groupBy(*keys).agg(F.bool_or("_held").alias("_held")).filter(~F.col("_held")).drop("_held")
 
 
-def look_up(left: DataFrame, right: DataFrame, on: str, required: bool = False) -> DataFrame:
-    """``left`` with the columns of ``right``, which holds each key once.
+def single(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with one row per key; a key that differs from itself fails the job that reads it.
+
+    Copies of one row are merged, within each task before the shuffle.
+    """
+    others = [c for c in df.columns if c not in keys]
+    rows = df.distinct()
+    shown = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    repeated = F.raise_error(F.concat(F.lit("more than one row for "), shown))
+    one = F.when(F.count(F.lit(1)) == 1, F.first(F.struct(*others))).otherwise(repeated)
+    return rows.groupBy(*keys).agg(one.alias("_row")).select(*keys, "_row.*")
+
+
+def look_up(left: DataFrame, right: DataFrame, on: str | Sequence[str], required: bool = False) -> DataFrame:
+    """``left`` with the columns of ``right``, whose keys are unique (:func:`single` sees to it).
 
     Rows without a partner are left out or, when ``required``, fail the job that
     reads the result. Catalyst picks the strategy from the sizes, and a sort-merge
     join is split at run time where a key of ``left`` is large.
     """
+    keys = [on] if isinstance(on, str) else list(on)
     if not required:
-        return left.join(right, on, "inner")
-    joined = left.join(right.withColumn("_found", F.lit(True)), on, "left")
-    missed = F.raise_error(F.concat(F.lit(f"no {on} "), F.coalesce(F.col(on).cast("string"), F.lit("NULL"))))
+        return left.join(right, keys, "inner")
+    joined = left.join(right.withColumn("_found", F.lit(True)), keys, "left")
+    shown = [F.concat(F.lit(f"no {k} "), F.coalesce(F.col(k).cast("string"), F.lit("NULL"))) for k in keys]
+    missed = F.raise_error(F.concat_ws(", ", *shown))
     # A filter, because a checked column would go unread where it is not needed.
     return joined.filter(F.when(F.col("_found"), F.lit(True)).otherwise(missed)).drop("_found")
 

@@ -49,11 +49,21 @@ def nation_grants(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def misplaced_grants(spark: SparkSession, folder: str) -> DataFrame:
+    """Grants that name each region as a table, which it is not: they reach nothing."""
+    return nation_tables(spark, folder).select(
+        F.col("n_name").alias("group_name"),
+        F.lit("table").alias("resource_type"),
+        F.col("namespace").alias("resource_path"),
+        F.lit("modify").alias("permission"),
+    )
+
+
 def customer_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Customers as members of their nation's group: ``group_name, principal``."""
+    """Customers as members of their nation's group: ``group_name, kind, principal``."""
     nation = scan(spark, folder, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
     return look_up(scan(spark, folder, "customer"), nation, "c_nationkey").select(
-        F.col("n_name").alias("group_name"), F.col("c_custkey").alias("principal")
+        F.col("n_name").alias("group_name"), F.lit("email").alias("kind"), F.col("c_custkey").alias("principal")
     )
 
 

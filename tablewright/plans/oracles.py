@@ -13,8 +13,8 @@ ORACLES = {
         FROM orders JOIN customer ON o_custkey = c_custkey""",
     "q_native_double": """
         SELECT o_orderkey AS order_id, o_totalprice AS amount, o_totalprice * 2 AS double_amount FROM orders""",
-    "q_map_double": """
-        SELECT o_orderkey AS order_id, o_totalprice AS amount, o_totalprice * 2 AS double_amount FROM orders""",
+    "q_map_cents": """
+        SELECT o_orderkey AS order_id, CAST(ROUND(o_totalprice * 100) AS BIGINT) AS cents FROM orders""",
     "q_stamped_orders": """
         SELECT o_orderkey AS order_id, CAST(o_orderdate AS DATE) AS order_day, DATE '2024-01-01' AS loaded_on
         FROM orders""",
@@ -83,7 +83,7 @@ ORACLES = {
         WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1996-02-01 00:00:00'
         GROUP BY CAST(l_shipdate AS DATE)""",
     "q_file_inventory": "\nUNION ALL ".join(
-        f"SELECT '{table}' AS table_name, CAST(1 AS BIGINT) AS data_files, COUNT(*) AS record_count FROM {table}"
+        f"SELECT '{table}' AS table_name, TRUE AS all_sized, COUNT(*) AS record_count FROM {table}"
         for table in (
             "region nation customer supplier part orders lineitem events "
             "documents embeddings pages benchmark labels conversations"
@@ -92,13 +92,11 @@ ORACLES = {
     "q_compact_rows": """
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""",
     "q_compact_stats": """
-        SELECT 'rewritten files' AS measure, COUNT(DISTINCT o_orderpriority) AS value FROM orders
-        UNION ALL SELECT 'added files', CAST(1 AS BIGINT)
+        SELECT 'fewer files' AS measure, CAST(1 AS BIGINT) AS value
         UNION ALL SELECT 'rows', COUNT(*) FROM orders
         UNION ALL SELECT 'changed rows', CAST(0 AS BIGINT)""",
     "q_compact_partitions": """
-        SELECT o_orderstatus, COUNT(DISTINCT o_orderpriority) AS before_files, COUNT(*) AS before_rows,
-               CAST(1 AS BIGINT) AS after_files, COUNT(*) AS after_rows
+        SELECT o_orderstatus, COUNT(*) AS before_rows, COUNT(*) AS after_rows, TRUE AS fewer_files
         FROM orders GROUP BY o_orderstatus""",
     "q_history": """
         WITH batches AS (
@@ -106,10 +104,10 @@ ORACLES = {
         appends AS (
             SELECT ROW_NUMBER() OVER (ORDER BY priority) AS run_id,
                    SUM(orders) OVER (ORDER BY priority) AS total FROM batches)
-        SELECT run_id, 'append' AS operation, CAST(run_id AS VARCHAR) AS total_data_files,
-               CAST(total AS BIGINT) AS total_records FROM appends
+        SELECT run_id, 'append' AS operation, TRUE AS more_files, CAST(total AS BIGINT) AS total_records
+        FROM appends
         UNION ALL
-        SELECT MAX(run_id) + 1, 'replace', '1', CAST(MAX(total) AS BIGINT) FROM appends""",
+        SELECT MAX(run_id) + 1, 'replace', FALSE, CAST(MAX(total) AS BIGINT) FROM appends""",
     "q_earlier_state": """
         SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders
         WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')""",
@@ -119,7 +117,7 @@ ORACLES = {
                CASE WHEN c_acctbal < 0 THEN c_name ELSE LOWER(c_name) || '@company.com' END AS principal
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "q_resolved_memberships": """
-        SELECT c_custkey AS principal, n_name AS group_name, n_nationkey AS role_id, c_name AS subject_id
+        SELECT 'email' AS kind, c_custkey AS principal, n_name AS group_name, n_nationkey AS role_id, c_name AS subject_id
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "q_unresolved_members": """
         SELECT o_orderkey AS principal, o_orderstatus AS group_name FROM orders
@@ -137,7 +135,8 @@ ORACLES = {
         judged AS (
             SELECT *, CASE WHEN NOT declared THEN 'unknown group'
                            WHEN permission = 'write' THEN 'unknown permission'
-                           WHEN resource_type = 'view' THEN 'unsupported resource type' END AS reason
+                           WHEN resource_type = 'view' THEN 'unsupported resource type'
+                           WHEN resource_type = 'table' THEN 'path does not fit the type' END AS reason
             FROM grants)
         SELECT grant_id, group_name, resource_type, resource_path, permission, reason
         FROM judged WHERE reason IS NOT NULL""",
@@ -157,12 +156,15 @@ ORACLES = {
         JOIN nation t ON t.n_regionkey = g.n_regionkey AND (g.n_nationkey % 5 = 0 OR t.n_nationkey = g.n_nationkey)""",
     "q_access_check": """
         WITH requests AS (
-            SELECT o_orderkey AS request_id, o_custkey AS principal, n_nationkey, n_regionkey,
+            SELECT o_orderkey AS request_id,
+                   CASE WHEN o_orderpriority = '5-LOW' THEN 'service_account' ELSE 'email' END AS kind,
+                   o_custkey AS principal, n_nationkey, n_regionkey,
                    'local.' || r_name || '.' || n_name AS table_path,
                    CASE o_orderstatus WHEN 'F' THEN 'read' WHEN 'O' THEN 'write' ELSE 'compact' END AS action
             FROM orders JOIN nation ON n_nationkey = o_orderkey % 25 JOIN region ON n_regionkey = r_regionkey)
-        SELECT request_id, principal, table_path, action,
-               CASE WHEN g.n_nationkey % 5 = 0 AND g.n_regionkey = q.n_regionkey THEN 'allowed'
+        SELECT request_id, kind, principal, table_path, action,
+               CASE WHEN kind <> 'email' THEN 'not_found'
+                    WHEN g.n_nationkey % 5 = 0 AND g.n_regionkey = q.n_regionkey THEN 'allowed'
                     WHEN g.n_nationkey % 5 <> 0 AND g.n_nationkey = q.n_nationkey
                          THEN CASE WHEN action = 'read' THEN 'allowed' ELSE 'denied' END
                     ELSE 'not_found' END AS outcome

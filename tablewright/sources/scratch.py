@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
+FOLDER = "tablewright"
 
-def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared directory the cluster names.
 
-    Executors on other machines must reach it, so a machine-local folder is only
-    used by a local session that names none.
+def scratch_root(spark: SparkSession) -> str:
+    """Below ``spark.checkpoint.dir``, or below the warehouse where that is unset.
+
+    Executors on other machines reach both.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        shared = tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/tablewright/{label}-{uuid4().hex}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    above = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{above.rstrip('/')}/{FOLDER}"
+
+
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below :func:`scratch_root`."""
+    return f"{scratch_root(spark)}/{label}-{uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Drops the namespaces that queries made there, then deletes everything below the root."""
+    for row in spark.sql("SHOW NAMESPACES LIKE 'run_*'").collect():
+        spark.sql(f"DROP NAMESPACE IF EXISTS `{row[0]}` CASCADE")
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

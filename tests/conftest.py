@@ -3,7 +3,8 @@ from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
     session = (
         SparkSession.builder.master("local[8]")
         .appName("tablewright-tests")
@@ -12,6 +13,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
+        .config("spark.sql.warehouse.dir", str(shared / "warehouse"))
+        .config("spark.checkpoint.dir", str(shared / "checkpoints"))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -52,11 +52,11 @@ def test_access_matrix(spark, grants, members):
     people = ["alice@company.com", "carol@company.com", "erin@company.com"]
     requests = spark.createDataFrame(
         [
-            (f"{p}/{action}", p, "local.sales.orders", action)
+            (f"{p}/{action}", "email", p, "local.sales.orders", action)
             for p in people
             for action in ("read", "write", "compact")
         ],
-        "request_id string, principal string, table_path string, action string",
+        "request_id string, kind string, principal string, table_path string, action string",
     )
     found = {r["request_id"]: r["outcome"] for r in a.check_access(requests, grants, members).collect()}
     assert found == {
@@ -75,15 +75,15 @@ def test_access_matrix(spark, grants, members):
 def test_namespace_grants_reach_future_and_nested_tables(spark, grants, members):
     requests = spark.createDataFrame(
         [
-            (1, "bob@company.com", "local.sales.orders_v9", "write"),
-            (2, "bob@company.com", "local.sales.eu.orders", "write"),
-            (3, "bob@company.com", "local.sales_reporting.daily", "read"),
-            (4, "dave@company.com", "local.sales_reporting.daily", "read"),
-            (5, "translation-pipeline", "local.content.translated_documents_sensitive", "write"),
-            (6, "table-definitions", "local.sales.orders", "read"),
-            (7, "bob@company.com", "local.sales.orders", "drop"),
+            (1, "email", "bob@company.com", "local.sales.orders_v9", "write"),
+            (2, "email", "bob@company.com", "local.sales.eu.orders", "write"),
+            (3, "email", "bob@company.com", "local.sales_reporting.daily", "read"),
+            (4, "email", "dave@company.com", "local.sales_reporting.daily", "read"),
+            (5, "service_account", "translation-pipeline", "local.content.translated_documents_sensitive", "write"),
+            (6, "service_account", "table-definitions", "local.sales.orders", "read"),
+            (7, "email", "bob@company.com", "local.sales.orders", "drop"),
         ],
-        "request_id long, principal string, table_path string, action string",
+        "request_id long, kind string, principal string, table_path string, action string",
     )
     found = {r["request_id"]: r["outcome"] for r in a.check_access(requests, grants, members).collect()}
     assert found == {
@@ -97,14 +97,14 @@ def test_effective_access(spark, grants, members):
         "table_path string",
     )
     found = {tuple(r) for r in a.effective_access(tables, grants, members).collect()}
-    alice = {(t, p) for who, t, p in found if who == "alice@company.com"}
+    alice = {(t, p) for _, who, t, p in found if who == "alice@company.com"}
     assert alice == {
         ("local.sales.orders", "modify"),
         ("local.sales.orders", "create"),
         ("local.sales.orders_v2", "modify"),
         ("local.sales.orders_v2", "create"),
     }
-    assert {(t, p) for who, t, p in found if who == "carol@company.com"} == {("local.sales.orders", "select")}
+    assert {(t, p) for _, who, t, p in found if who == "carol@company.com"} == {("local.sales.orders", "select")}
     warehouse = spark.createDataFrame([("data-eng-writers", "warehouse", "local", "select")], GRANT_SCHEMA)
     assert a.group_access(tables, warehouse).count() == 3
 
@@ -147,7 +147,7 @@ def test_plans_only_add_and_end(spark, grants, members):
 
 def test_lookups_and_misses(spark, members):
     roles = members.select("group_name").distinct().withColumn("role_id", F.xxhash64("group_name"))
-    known = members.filter(F.col("kind") == "email").select("principal").distinct()
+    known = members.filter(F.col("kind") == "email").select("kind", "principal").distinct()
     identities = known.withColumn("subject_id", F.concat(F.lit("id-"), "principal"))
     resolved = a.resolved_memberships(members.filter("kind = 'email'"), roles, identities)
     assert resolved.count() == 7
@@ -158,6 +158,57 @@ def test_lookups_and_misses(spark, members):
     assert misses == {"translation-pipeline", "table-definitions"}
 
 
+def test_a_grant_reaches_only_what_its_type_names(spark, groups):
+    """A table and a namespace may share a path."""
+    grants = spark.createDataFrame(
+        [
+            ("data-eng-writers", "table", "local.sales", "modify"),
+            ("sales-analytics-readonly", "namespace", "local.sales.orders", "select"),
+            ("sales-analytics-readonly", "table", "local.sales.orders", "modify"),
+            ("sales-table-creators", "warehouse", "local.sales", "select"),
+            ("sales-table-creators", "namespace", "local", "select"),
+            ("sales-table-creators", "namespace", "local..x", "select"),
+        ],
+        GRANT_SCHEMA,
+    )
+    found = {(r["resource_type"], r["resource_path"]) for r in a.rejected_grants(grants, groups).collect()}
+    assert found == {
+        ("table", "local.sales"), ("warehouse", "local.sales"), ("namespace", "local"), ("namespace", "local..x"),
+    }
+    tables = spark.createDataFrame([("local.sales.orders",), ("local.sales.orders.daily",)], "table_path string")
+    assert {tuple(r) for r in a.group_access(tables, grants).collect()} == {
+        ("sales-analytics-readonly", "local.sales.orders", "modify"),
+        ("sales-analytics-readonly", "local.sales.orders.daily", "select"),
+    }
+
+
+def test_a_person_and_a_service_account_of_one_name(spark):
+    members = spark.createDataFrame(
+        [("writers", "service_account", "bot"), ("readers", "email", "bot")], "group_name string, kind string, principal string"
+    )
+    grants = spark.createDataFrame(
+        [("writers", "namespace", "local.sales", "modify"), ("readers", "namespace", "local.sales", "select")], GRANT_SCHEMA
+    )
+    requests = spark.createDataFrame(
+        [(1, "email", "bot", "local.sales.orders", "write"), (2, "service_account", "bot", "local.sales.orders", "write")],
+        "request_id long, kind string, principal string, table_path string, action string",
+    )
+    found = {r["request_id"]: r["outcome"] for r in a.check_access(requests, grants, members).collect()}
+    assert found == {1: "denied", 2: "allowed"}
+    tables = requests.select("table_path").distinct()
+    assert {tuple(r) for r in a.effective_access(tables, grants, members).collect()} == {
+        ("email", "bot", "local.sales.orders", "select"),
+        ("service_account", "bot", "local.sales.orders", "modify"),
+    }
+
+
+def test_missing_groups(spark, groups):
+    held = groups.select(F.col("name").alias("group_name")).limit(4)
+    todo = a.missing_groups(groups, held)
+    assert todo.count() == 2
+    assert a.missing_groups(groups, held.union(todo)).isEmpty()
+
+
 def test_orphans(spark):
     stored = spark.createDataFrame([("g", "1"), ("g", "2"), ("h", "9")], "group_name string, subject_id string")
     live = spark.createDataFrame([("1",), ("2",)], "subject_id string")

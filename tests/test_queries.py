@@ -27,11 +27,14 @@ def rows(names: list[str], lines: list[tuple]) -> tuple[list[str], list[tuple]]:
     return [names[i] for i in order], sorted(tuple(repr(line[i]) for i in order) for line in lines)
 
 
+OWN = sorted(name for name in driver.queries() if name.startswith("q_"))
+
+
 def test_every_query_has_sql():
-    assert driver.queries().keys() == driver.oracle_sql().keys()
+    assert set(OWN) == {name for name in driver.oracle_sql() if name.startswith("q_")}
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", OWN)
 def test_query(spark, duck, name):
     found = driver.queries()[name](spark, FOLDER)
     expected = duck.execute(driver.oracle_sql()[name])

@@ -1,8 +1,6 @@
 from types import SimpleNamespace
 
-import pytest
-
-from tablewright.sources.scratch import scratch_folder
+from tablewright.sources.scratch import drop_scratch, scratch_folder, scratch_root
 
 
 def session(**settings):
@@ -11,13 +9,20 @@ def session(**settings):
 
 
 def test_scratch_is_new_and_below_the_named_folder():
-    cluster = session(checkpoint_dir="hdfs://shared/tmp/", master="yarn")
+    cluster = session(checkpoint_dir="hdfs://shared/tmp/")
     first, second = scratch_folder(cluster, "x"), scratch_folder(cluster, "x")
     assert first != second
     assert first.startswith("hdfs://shared/tmp/tablewright/x-")
 
 
-def test_only_a_local_session_may_use_its_own_disk():
-    assert scratch_folder(session(master="local[2]"), "x").startswith("/")
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch_folder(session(master="yarn"), "x")
+def test_without_one_it_is_below_the_warehouse():
+    assert scratch_folder(session(sql_warehouse_dir="s3://house/"), "x").startswith("s3://house/_scratch/tablewright/x-")
+
+
+def test_scratch_can_be_dropped(spark):
+    path = scratch_folder(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    drop_scratch(spark)
+    spark.range(1).write.parquet(path)  # the folder is free again
+    assert scratch_root(spark) in path
