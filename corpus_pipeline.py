@@ -26,9 +26,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def not_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Rows whose text scores below the threshold; labels are learned from rows that remain."""
-    rows = _numbered(docs)
-    scored = toxicity.score(rows, toxicity_model(spark, folder, rows), carry=[ROW])
-    return rows.join(scored.filter(F.col("score") >= TOXIC).select(ROW), ROW, "left_anti").drop(ROW)
+    return toxicity.below(docs, toxicity_model(spark, folder, docs), TOXIC)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.shared import fold_of, schema_of, stored, text_or_empty, text_slices
@@ -140,7 +140,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 # -- scoring ------------------------------------------------------------------
 
-FEATURES = ["per_word", "per_root"]
+FEATURES = ["_per_word", "_per_root"]
 
 
 def _ratios(words: list[str], model: ToxicityModel) -> np.ndarray:
@@ -173,11 +173,11 @@ def _measured(docs: DataFrame, model: ToxicityModel, carry: Sequence[str]) -> Da
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = ["doc_id", *carry]
-    rows = docs.select(*kept, text_or_empty().alias("text"))
+    rows = docs.select(*kept, text_or_empty().alias("_whole_text"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
-            words, ends = _words(part.column("text"))
+        for part in text_slices(batches, "_whole_text"):
+            words, ends = _words(part.column("_whole_text"))
             spelled = words.dictionary.to_pylist()
             excess = np.maximum(_ratios(spelled, shared.value) - MARGIN, 0)
             real = np.array([bool(w) for w in spelled], bool)
@@ -187,7 +187,7 @@ def _measured(docs: DataFrame, model: ToxicityModel, carry: Sequence[str]) -> Da
             columns = [pa.array(total / n), pa.array(total / np.sqrt(n))]
             yield pa.record_batch([*map(part.column, kept), *columns], [*kept, *FEATURES])
 
-    return rows.mapInArrow(measured, f"{schema_of(docs, *kept)}, per_word double, per_root double")
+    return rows.mapInArrow(measured, f"{schema_of(docs, *kept)}, _per_word double, _per_root double")
 
 
 def score(docs: DataFrame, model: ToxicityModel, carry: Sequence[str] = ()) -> DataFrame:
@@ -196,10 +196,18 @@ def score(docs: DataFrame, model: ToxicityModel, carry: Sequence[str] = ()) -> D
     The text's words are compared under the toxic and the ordinary model, normalised by
     the text's length. NULL and texts without letters score as texts without any sign. Repeated rows score alike; an empty table gives no rows.
     """
-    weights = model.weights
+    return _measured(docs, model, carry).select("doc_id", *carry, _chance(model).alias("score"))
+
+
+def below(docs: DataFrame, model: ToxicityModel, threshold: float) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
+    carry = [c for c in docs.columns if c != "doc_id"]
+    return _measured(docs, model, carry).filter(_chance(model) < threshold).select(docs.columns)
+
+
+def _chance(model: ToxicityModel) -> Column:
     terms = [
-        (F.col(name) - float(model.means[i])) / float(model.spreads[i]) * float(weights[i])
+        (F.col(name) - float(model.means[i])) / float(model.spreads[i]) * float(model.weights[i])
         for i, name in enumerate(FEATURES)
     ]
-    chance = F.lit(1.0) / (F.lit(1.0) + F.exp(-(terms[0] + terms[1] + float(weights[2]))))
-    return _measured(docs, model, carry).select("doc_id", *carry, chance.alias("score"))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(terms[0] + terms[1] + float(model.weights[2]))))
