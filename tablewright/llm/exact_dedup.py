@@ -40,11 +40,13 @@ def duplicates(docs: DataFrame, block: int = BLOCK, carry: Sequence[str] = ()) -
     that repeat both, one stays. NULL counts as an empty text. Other columns are not
     looked at. An empty table gives no rows.
     """
-    rows = docs.select(*_distinct_names(["doc_id", *carry]), text_or_empty().alias("whole"))
+    # as one column, so that no carried name meets one of those below
+    carried = F.struct(*carry) if carry else F.lit(0)
+    rows = docs.select("doc_id", carried.alias("carried"), text_or_empty().alias("whole"))
     rows = rows.withColumn("bare", without_spaces(F.col("whole")))
     shaped = rows.select(
         "doc_id",
-        *carry,
+        "carried",
         F.length("whole").alias("size"),
         F.length("bare").alias("length"),
         F.substring("bare", 1, END).alias("head"),
@@ -72,14 +74,10 @@ def duplicates(docs: DataFrame, block: int = BLOCK, carry: Sequence[str] = ()) -
     alone = ends.join(shared, SHAPE, "left_anti").withColumns(
         {"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("bigint"), "kept": F.lit(True)}
     )
-    columns = [*RESULT, *carry]
+    columns = [*RESULT, *[F.col("carried")[c].alias(c) for c in carry]]
     return alone.select(columns).unionAll(grouped.select(columns))
 
 
-def _distinct_names(columns: Sequence[str]) -> list[str]:
-    return list(dict.fromkeys(columns))
-
-
 def _named_texts(alike: DataFrame, block: int) -> DataFrame:
     """``row, name`` of all texts in ``alike``; equal for rows of one length if their texts are."""
     cut = F.regexp_extract_all("bare", F.lit(f"(?s)(.{{1,{block}}})"), F.lit(1))
