@@ -6,7 +6,20 @@ from datetime import date, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import (
+    BinaryType,
+    BooleanType,
+    DataType,
+    DateType,
+    IntegralType,
+    NullType,
+    NumericType,
+    StringType,
+    TimestampNTZType,
+    TimestampType,
+)
+
+MOMENTS = (DateType, TimestampType, TimestampNTZType)
 
 
 def day_of(ts: Column | str) -> Column:
@@ -25,22 +38,62 @@ def options_map(**options: object) -> Column:
     return F.create_map(*pairs).cast("map<string,string>")
 
 
-def fits(value: Column, data_type: DataType) -> Column:
-    """True unless a present value has no counterpart in ``data_type``."""
-    return value.isNull() | value.try_cast(data_type).isNotNull()
+def assignable(have: DataType, want: DataType) -> bool:
+    """Whether a by-name append would take this pair of types.
+
+    Numbers go into numbers, dates and timestamps into each other, any plain value
+    into text; nested types only into themselves.
+    """
+    if have == want or isinstance(have, NullType):
+        return True
+    if isinstance(want, StringType):
+        return isinstance(have, (NumericType, BooleanType, BinaryType, StringType, *MOMENTS))
+    return any(isinstance(have, kind) and isinstance(want, kind) for kind in (NumericType, MOMENTS))
+
+
+def converted(value: Column, have: DataType, want: DataType) -> Column:
+    """``value`` as ``want``; NULL where that cannot hold it.
+
+    An integer does not hold a fraction. A decimal rounds to its scale.
+    """
+    cast = value.try_cast(want)
+    if isinstance(want, IntegralType) and isinstance(have, NumericType) and not isinstance(have, IntegralType):
+        return F.when(value % F.lit(1) == 0, cast)
+    return cast
+
+
+def fits(value: Column, have: DataType, want: DataType) -> Column:
+    """True unless a present value has no counterpart in ``want``."""
+    return value.isNull() | converted(value, have, want).isNotNull()
+
+
+def _filler(data_type: DataType) -> Column | None:
+    """Some value of a plain type that Spark knows is not NULL."""
+    if isinstance(data_type, (StringType, BinaryType)):
+        return F.lit("").cast(data_type)
+    if isinstance(data_type, DateType):
+        return F.lit(date(1970, 1, 1))
+    if isinstance(data_type, MOMENTS):
+        return F.lit(datetime(1970, 1, 1)).cast(data_type)
+    if isinstance(data_type, (BooleanType, NumericType)):
+        return F.lit(False).cast(data_type)
+    return None
 
 
-def checked(value: Column, data_type: DataType, nullable: bool, label: str) -> Column:
-    """``value`` as ``data_type``; the job fails on a value that may not be stored.
+def checked(value: Column, have: DataType, want: DataType, nullable: bool, label: str) -> Column:
+    """``value`` as ``want``; the job fails on a value that may not be stored.
 
     The check is part of the projection, so a write that carries it reads its
-    input once and commits nothing when a row breaks the rule.
+    input once and commits nothing when a row breaks the rule. A required column
+    of a plain type is not nullable: behind the failing check stands a value that
+    no row ever takes.
     """
-    cast = value.try_cast(data_type)
-    refuse = F.raise_error(F.lit(f"{label}: value missing or outside {data_type.simpleString()}"))
+    cast = converted(value, have, want)
+    refuse = F.raise_error(F.lit(f"{label}: value missing or outside {want.simpleString()}"))
     if nullable:
-        return F.when(value.isNull(), F.lit(None).cast(data_type)).otherwise(F.coalesce(cast, refuse))
-    return F.coalesce(cast, refuse)
+        return F.when(value.isNull(), F.lit(None).cast(want)).otherwise(F.coalesce(cast, refuse))
+    filler = _filler(want)
+    return F.coalesce(cast, refuse) if filler is None else F.coalesce(cast, refuse, filler)
 
 
 def ancestor_paths(path: Column | str) -> Column:

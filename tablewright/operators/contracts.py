@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DecimalType,
@@ -18,7 +18,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from tablewright.functions.columns import checked, fits
+from tablewright.functions.columns import assignable, checked, fits
 
 
 @dataclass(frozen=True)
@@ -40,10 +40,6 @@ class TableContract:
             raise ValueError(f"{self.name} is not partitioned by day")
         return self.days.removesuffix("_ts") + "_day"
 
-    def partition_transforms(self) -> list[Column]:
-        """Built on call, because a column needs a running session."""
-        return [F.partitioning.days(self.days)] if self.days else []
-
 
 # The declared tables and the rows that seed the first of them.
 SALES_ORDERS = TableContract(
@@ -152,13 +148,21 @@ def _require_columns(df: DataFrame, contract: TableContract) -> None:
         raise ValueError(
             f"{contract.name}: missing {sorted(wanted - found)}, unknown {sorted(found - wanted)}"
         )
+    unlike = [
+        f"{f.name}: {df.schema[f.name].dataType.simpleString()} into {f.dataType.simpleString()}"
+        for f in contract.schema
+        if not assignable(df.schema[f.name].dataType, f.dataType)
+    ]
+    if unlike:
+        raise TypeError(f"{contract.name}: {', '.join(unlike)}")
 
 
 def violations(df: DataFrame, contract: TableContract) -> DataFrame:
     """Per column, the rows that may not be stored; one pass over ``df``.
 
     ``null_rows`` counts NULLs in required columns, ``unfit_rows`` values that the
-    column's type cannot hold.
+    column's type cannot hold, among them fractions for an integer. Types that do
+    not go into each other at all are refused as in :func:`conform`.
     """
     _require_columns(df, contract)
     counts = []
@@ -169,7 +173,7 @@ def violations(df: DataFrame, contract: TableContract) -> DataFrame:
             F.struct(
                 F.lit(f.name).alias("column_name"),
                 nulls.alias("null_rows"),
-                F.count_if(~fits(value, f.dataType)).alias("unfit_rows"),
+                F.count_if(~fits(value, df.schema[f.name].dataType, f.dataType)).alias("unfit_rows"),
             )
         )
     return df.agg(F.array(*counts).alias("counts")).select(F.inline("counts"))
@@ -180,7 +184,9 @@ def conform(df: DataFrame, contract: TableContract) -> DataFrame:
 
     A row the contract forbids fails the job that reads the offending column, so
     a write, which reads all of them, commits all of its rows or none. Columns
-    are matched by name.
+    are matched by name. Types that a by-name append would not take are refused
+    before any job. A number must fit an integer exactly; a decimal column rounds
+    to its scale. The result matches the contract strictly.
     """
     _require_columns(df, contract)
     types = {f.name: f.dataType for f in df.schema}
@@ -191,7 +197,7 @@ def conform(df: DataFrame, contract: TableContract) -> DataFrame:
             raise ValueError(f"{contract.name}.{f.name} is UTC, but the session time zone is {zone}")
     return df.select(
         *[
-            checked(F.col(f.name), f.dataType, f.nullable, f"{contract.name}.{f.name}").alias(
+            checked(F.col(f.name), types[f.name], f.dataType, f.nullable, f"{contract.name}.{f.name}").alias(
                 f.name, metadata=f.metadata
             )
             for f in contract.schema

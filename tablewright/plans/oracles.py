@@ -61,8 +61,10 @@ ORACLES = {
         UNION ALL SELECT 'amount', 'decimal(10,2)', FALSE, NULL, COUNT(price) FROM lines""",
     "q_violations": """
         WITH candidate AS (
-            SELECT o_orderkey, l_extendedprice, l_shipdate FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey)
-        SELECT 'order_id' AS column_name, COUNT(*) - COUNT(o_orderkey) AS null_rows, CAST(0 AS BIGINT) AS unfit_rows
+            SELECT o_orderkey + COALESCE(l_discount, 0) AS order_id, l_extendedprice, l_shipdate
+            FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey)
+        SELECT 'order_id' AS column_name, COUNT(*) - COUNT(order_id) AS null_rows,
+               COUNT(*) FILTER (WHERE order_id <> FLOOR(order_id)) AS unfit_rows
         FROM candidate
         UNION ALL SELECT 'amount', COUNT(*) - COUNT(l_extendedprice), 0 FROM candidate
         UNION ALL SELECT 'order_ts', COUNT(*) - COUNT(l_shipdate), 0 FROM candidate""",

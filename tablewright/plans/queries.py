@@ -246,10 +246,18 @@ def contract_columns(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def violations(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders without line items have no amount and no time, which the contract requires."""
+    """Lines that the contract forbids.
+
+    Orders without line items have no amount and no time; a number made of order and
+    discount has a fraction, which the order's number cannot hold.
+    """
     orders = scan(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
-    lines = scan(spark, folder, "lineitem").select("l_orderkey", "l_extendedprice", "l_shipdate")
-    candidate = orders.join(lines, "l_orderkey", "left").toDF("order_id", "amount", "order_ts")
+    lines = scan(spark, folder, "lineitem").select("l_orderkey", "l_discount", "l_extendedprice", "l_shipdate")
+    candidate = orders.join(lines, "l_orderkey", "left").select(
+        (F.col("l_orderkey") + F.coalesce("l_discount", F.lit(0.0))).alias("order_id"),
+        F.col("l_extendedprice").alias("amount"),
+        F.col("l_shipdate").alias("order_ts"),
+    )
     return contracts.violations(candidate, DAILY_LINES)
 
 

@@ -2,21 +2,33 @@
 
 The session catalog stores Parquet tables and cannot partition by an expression,
 so a contract with ``days`` gets a stored ``order_day``-style column there
-(:attr:`TableContract.day_column`). Another configured catalog is reached by a
-three-part name (or by :func:`use_catalog`) and gets the day transform itself.
+(:attr:`TableContract.day_column`), and properties that name it and its source.
+Another configured catalog is reached by a three-part name (or by
+:func:`use_catalog`) and gets the day transform itself; those branches could not
+be run here, where only the built-in catalog was at hand.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.functions.columns import day_literal, day_of
-from tablewright.operators.contracts import TableContract, conform
+from tablewright.operators.contracts import (
+    CONTRACTS,
+    NAMESPACES,
+    SALES_ORDERS,
+    SALES_ORDERS_SEED,
+    TableContract,
+    conform,
+)
 
 SESSION_CATALOG = "spark_catalog"
+DAY_COLUMN, DAY_SOURCE = "tablewright.day.column", "tablewright.day.source"
+SEEDS = {SALES_ORDERS.name: SALES_ORDERS_SEED}
 
 
 def _quoted(name: str) -> str:
@@ -55,14 +67,46 @@ def read_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def read_contract(spark: SparkSession, contract: TableContract, name: str | None = None) -> DataFrame:
+    """The contract's columns of its table, without a stored day column."""
+    return read_table(spark, name or contract.name).select(*[_quoted(f) for f in contract.schema.fieldNames()])
+
+
+def apply_contracts(
+    spark: SparkSession,
+    contracts: Sequence[TableContract] = tuple(CONTRACTS),
+    namespaces: Sequence[str] = tuple(NAMESPACES),
+    seeds: Mapping[str, Sequence[tuple]] = SEEDS,
+) -> DataFrame:
+    """Namespaces, tables and the first rows of empty tables, in one call.
+
+    One row per contract: ``table_name``, ``created``, ``seeded``. A second call
+    changes nothing and returns false in both.
+    """
+    for namespace in namespaces:
+        ensure_namespace(spark, namespace)
+    done = []
+    for contract in contracts:
+        created = apply_contract(spark, contract)
+        rows = seeds.get(contract.name)
+        seeded = bool(rows) and seed_if_empty(
+            spark.createDataFrame(rows, contract.schema), contract.name, contract
+        )
+        done.append((contract.name, created, seeded))
+    return spark.createDataFrame(done, "table_name string, created boolean, seeded boolean")
+
+
 def apply_contract(
     spark: SparkSession,
     contract: TableContract,
     name: str | None = None,
-    provider: str = "parquet",
+    provider: str | None = None,
 ) -> bool:
     """Create the contract's table; an existing table is left as it is.
 
+    Without a provider the built-in catalog stores Parquet and another one what it
+    stores by default.
+
     Returns whether a table was created.
     """
     name = name or contract.name
@@ -75,16 +119,19 @@ def apply_contract(
         + (f" COMMENT {_text(field.metadata['comment'])}" if field.metadata.get("comment") else "")
         for field in contract.schema
     ]
-    clauses = [f"USING {provider}"]
-    if contract.days and in_session_catalog(spark, name):
+    built_in, properties = in_session_catalog(spark, name), dict(contract.properties)
+    provider = provider or ("parquet" if built_in else None)
+    clauses = [f"USING {provider}"] if provider else []
+    if contract.days and built_in:
+        properties |= {DAY_COLUMN: contract.day_column, DAY_SOURCE: contract.days}
         columns.append(f"{_quoted(contract.day_column)} DATE")
         clauses.append(f"PARTITIONED BY ({_quoted(contract.day_column)})")
     elif contract.days:
         clauses.append(f"PARTITIONED BY (days({_quoted(contract.days)}))")
     if contract.comment:
         clauses.append(f"COMMENT {_text(contract.comment)}")
-    if contract.properties:
-        listed = ", ".join(f"{_text(k)} = {_text(v)}" for k, v in contract.properties.items())
+    if properties:
+        listed = ", ".join(f"{_text(k)} = {_text(v)}" for k, v in properties.items())
         clauses.append(f"TBLPROPERTIES ({listed})")
     spark.sql(f"CREATE TABLE IF NOT EXISTS {_quoted(name)} ({', '.join(columns)}) {' '.join(clauses)}")
     return True
@@ -94,8 +141,9 @@ def append_rows(df: DataFrame, name: str, contract: TableContract | None = None)
     """Add rows to an existing table, columns matched by name.
 
     With a contract the rows are checked against it while they are written.
-    Rows of a day-partitioned table are first gathered by day; the rebalance
-    splits a day that is large and joins days that are small.
+    Rows of a day-partitioned table are first gathered by day, which the table's
+    own properties name; the rebalance splits a day that is large and joins days
+    that are small.
     """
     spark = df.sparkSession
     if not table_exists(spark, name):
@@ -105,14 +153,13 @@ def append_rows(df: DataFrame, name: str, contract: TableContract | None = None)
     if not in_session_catalog(spark, name):
         df.writeTo(name).append()
         return
-    writer_options = []
-    if contract is not None and contract.days:
-        df = df.withColumn(contract.day_column, day_of(contract.days))
-        df = df.hint("rebalance", contract.day_column)
-        writer_options = [contract.day_column]
+    noted = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {_quoted(name)}").collect()}
+    day = noted.get(DAY_COLUMN)
+    if day:
+        df = df.withColumn(day, day_of(_quoted(noted[DAY_SOURCE]))).hint("rebalance", day)
     writer = df.write.format("parquet").mode("append")
-    if writer_options:
-        writer = writer.partitionBy(*writer_options)
+    if day:
+        writer = writer.partitionBy(day)
     writer.saveAsTable(name)
 
 

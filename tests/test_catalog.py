@@ -1,3 +1,4 @@
+from dataclasses import replace
 from datetime import datetime
 
 import pandas as pd
@@ -23,7 +24,7 @@ def test_contract_is_applied_once(spark, namespace):
     assert "write.format.default=parquet" in facts["Table Properties"]
     comments = {r[0]: r[2] for r in spark.sql(f"DESCRIBE {name}").collect()}
     assert comments["order_ts"] == "Order placement time, UTC"
-    stored = catalog.read_table(spark, name).drop("order_day")
+    stored = catalog.read_contract(spark, c.SALES_ORDERS_V2, name)
     assert c.differences(stored.schema, c.SALES_ORDERS_V2, strict=False) == []
 
 
@@ -121,3 +122,25 @@ def test_days_are_read_without_opening_others(spark, namespace):
     assert all("order_day=2024-05-02" in f or "order_day=2024-05-03" in f for f in files)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(order_day" in plan
+
+
+def test_append_by_name_alone_keeps_days(spark, namespace):
+    name = f"{namespace}.orders_v2"
+    catalog.apply_contract(spark, c.SALES_ORDERS_V2, name)
+    rows = orders(spark, [(1, "a", 1.0, datetime(2024, 5, 1)), (2, "b", 2.0, datetime(2024, 5, 2))])
+    rows = c.conform(rows, c.SALES_ORDERS_V2)
+    catalog.append_rows(rows.select("order_ts", "amount", "customer", "order_id"), name)
+    found = catalog.read_days(spark, c.SALES_ORDERS_V2, "2024-05-02", "2024-05-02", name)
+    assert [r["order_id"] for r in found.collect()] == [2]
+    stored = catalog.read_contract(spark, c.SALES_ORDERS_V2, name)
+    assert c.differences(stored.schema, c.SALES_ORDERS_V2, strict=False) == []
+
+
+def test_all_contracts_in_one_call(spark, namespace):
+    moved = [replace(k, name=f"{namespace}.{k.name.rsplit('.', 1)[1]}") for k in c.CONTRACTS]
+    seeds = {f"{namespace}.orders": c.SALES_ORDERS_SEED}
+    first = catalog.apply_contracts(spark, moved, [namespace], seeds).collect()
+    assert [tuple(r) for r in first] == [(k.name, True, k.name in seeds) for k in moved]
+    again = catalog.apply_contracts(spark, moved, [namespace], seeds).collect()
+    assert [tuple(r) for r in again] == [(k.name, False, False) for k in moved]
+    assert catalog.read_table(spark, f"{namespace}.orders").count() == 5

@@ -107,7 +107,34 @@ def test_zone_less_time_needs_a_utc_session(spark):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def test_partition_transforms_are_built_on_call(spark):
-    assert c.SALES_ORDERS.partition_transforms() == []
-    assert len(c.SALES_ORDERS_V2.partition_transforms()) == 1
+def test_day_column():
     assert c.SALES_ORDERS_V2.day_column == "order_day"
+
+
+def test_conformed_frames_match_strictly(spark):
+    found = c.conform(candidate(spark, [(12.5, 1, "a", NOON)]), c.SALES_ORDERS_V2)
+    assert c.differences(found.schema, c.SALES_ORDERS_V2) == []
+    frame = spark.createDataFrame([(1, None, 2.0)], c.SALES_ORDERS.schema)
+    assert c.matches(c.conform(frame, c.SALES_ORDERS), c.SALES_ORDERS)
+
+
+@pytest.mark.parametrize("value", ["'12'", "TIMESTAMP '2024-05-01 12:00:00'", "true", "array(1)"])
+def test_unlike_types_are_refused_before_any_job(spark, value):
+    frame = candidate(spark, [(1.0, 1, "a", NOON)]).withColumn("order_id", F.expr(value))
+    for operator in (c.conform, c.violations):
+        with pytest.raises(TypeError, match="order_id"):
+            operator(frame, c.SALES_ORDERS_V2)
+
+
+@pytest.mark.parametrize("value", ["1.7D", "1.7BD", "CAST(1.5 AS FLOAT)", "CAST('NaN' AS DOUBLE)", "1e30"])
+def test_integers_take_no_fractions(spark, value):
+    frame = candidate(spark, [(1.0, 1, "a", NOON)]).withColumn("order_id", F.expr(value))
+    assert c.violations(frame, c.SALES_ORDERS_V2).filter("column_name = 'order_id'").first()["unfit_rows"] == 1
+    with pytest.raises(Exception, match="value missing or outside"):
+        c.conform(frame, c.SALES_ORDERS_V2).collect()
+
+
+@pytest.mark.parametrize("value", ["7.0D", "7.00BD", "7", "7S"])
+def test_whole_numbers_of_other_types_are_taken(spark, value):
+    frame = candidate(spark, [(1.0, 1, "a", NOON)]).withColumn("order_id", F.expr(value))
+    assert c.conform(frame, c.SALES_ORDERS_V2).first()["order_id"] == 7
