@@ -6,16 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, packing, secrets, simhash, toxicity
+from tablewright.llm import exact_dedup, jaccard, packing, secrets, simhash, toxicity
 from tablewright.llm.queries import TOXIC, WORD_BPE, toxicity_model
 from tablewright.llm.shared import stored
 from tablewright.sources.parquet import scan
 
 ROW = "_pipeline_row"
 SECRET = "[secret]"
-# fingerprints of 256 bits over five words; two texts of which 80 % of the shingles are
-# shared differ in 39 bits on average, six more or less
-WORDS, RADIUS = 4, 44
+# shingles of five words, of which 80 % must be shared; fingerprints of 256 bits only
+# propose links, jaccard checks them and finds the rest
+SHINGLE, WORDS, RADIUS = 5, 4, 44
 KEYS = simhash.drawn(count=48, size=16, bits=64 * WORDS)
 
 
@@ -37,12 +37,19 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 
 def distinct_fingerprints(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One row of each class of near-duplicates: the smallest doc_id, then the first row."""
+    """One row of each class of near-duplicates: the smallest doc_id, then the first row.
+
+    Texts are linked that share 80 % of their shingles, all of them and no others.
+    """
     rows = _numbered(docs)
-    marked = simhash.fingerprints(rows, shingle=5, words=WORDS, carry=[ROW])
-    classes = stored(simhash.near_duplicates(marked, RADIUS, KEYS, own_id=ROW), "classes")
+    nodes = jaccard.set_nodes(rows, ROW, SHINGLE)
+    texts = rows.select(F.col(ROW).alias("node"), "doc_id", "text").join(nodes.select("node").distinct(), "node")
+    marked = simhash.fingerprints(texts, shingle=SHINGLE, words=WORDS, carry=["node"])
+    proposed = stored(simhash.proposals(stored(marked, "marked"), RADIUS, KEYS), "proposed")
+    roots = jaccard.classes(texts, proposed, SHINGLE)
+    classes = nodes.join(roots, "node", "left").select(ROW, F.coalesce("root", "node").alias("root"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("best")
-    kept = classes.groupBy("component_id").agg(best).select(F.col(f"best.{ROW}").alias(ROW))
+    kept = rows.select("doc_id", ROW).join(classes, ROW).groupBy("root").agg(best).select(F.col(f"best.{ROW}").alias(ROW))
     return rows.join(kept, ROW, "left_semi").drop(ROW)
 
 

@@ -1,0 +1,159 @@
+"""Texts whose sets of shingles overlap: links proposed by any means are checked, the rest found exactly."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tablewright.llm.components import components
+from tablewright.llm.shared import schema_of, stored, text_or_empty, text_slices
+
+SEED = 42
+OVER, UNDER = 4, 5  # shared over all shingles: 0.8 in whole numbers
+PLANES = 4  # 64-bit words of the parity sketch
+SAMPLE_ROWS, COMMON = 50_000, 500_000
+
+
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Distinct hashes of a text's shingles, ascending; cut as ``simhash.fingerprints`` cuts them."""
+    parts = text.encode().lower().split()
+    joined = [b" ".join(parts[i : i + shingle]) for i in range(max(len(parts) - shingle + 1, 1))] if parts else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(j, SEED) for j in joined], np.uint64))
+
+
+def set_nodes(rows: DataFrame, own_id: str, shingle: int) -> DataFrame:
+    """``own_id`` and ``node``, the smallest ``own_id`` with the same set, for every row of ``rows(own_id, text)``."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            sets = (shingle_set(t, shingle) for t in part.column("text").to_pylist())
+            marks = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            yield pa.record_batch([part.column(own_id), pa.array(marks, pa.binary())], [own_id, "mark"])
+
+    texts = rows.select(own_id, text_or_empty().alias("text"))
+    marks = stored(texts.mapInArrow(marked, f"{schema_of(rows, own_id)}, mark binary"), "marks")
+    nodes = marks.groupBy("mark").agg(F.min(own_id).alias("node"))
+    return stored(marks.join(nodes, "mark").select(own_id, "node"), "nodes")
+
+
+def classes(texts: DataFrame, proposed: DataFrame, shingle: int) -> DataFrame:
+    """``node, root`` for nodes of ``texts(node, text)`` that share 0.8 of their shingles with others, over any number of links.
+
+    ``proposed(a, b)`` may hold any pairs: what is below 0.8 is dropped. Links it lacks
+    are found by prefixes: two sets that share 0.8 share one of the first
+    ``k - ceil(0.8 k) + 1`` of their k shingles in any fixed order. So nothing is missed.
+    The proposed links only spare pairs that are joined already.
+    """
+    texts = stored(texts.select("node", text_or_empty().alias("text")), "node_texts")
+    first = stored(_checked(_ordered(proposed), texts, shingle), "checked")
+    roots = stored(components(first), "roots")
+    rest = _checked(_candidates(texts, roots, shingle), texts, shingle)
+    more = stored(rest, "more")
+    return components(first.unionAll(more))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """The pairs that share 0.8 of all their shingles."""
+    one, other = (texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}")) for n in "ab")
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices([batch], "text_a"):
+                held: dict[str, np.ndarray] = {}
+                keep = []
+                for texts_of in zip(part.column("text_a").to_pylist(), part.column("text_b").to_pylist()):
+                    for text in texts_of:
+                        if text not in held:
+                            held[text] = shingle_set(text, shingle)
+                    x, y = (held[t] for t in texts_of)
+                    common = len(x) + len(y) - len(np.union1d(x, y))
+                    keep.append(UNDER * common >= OVER * (len(x) + len(y) - common))
+                mask = pa.array(keep, pa.bool_())
+                yield pa.record_batch([part.column(c).filter(mask) for c in ("a", "b")], ["a", "b"])
+
+    return both.mapInArrow(checked, "a bigint, b bigint")
+
+
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sample, ascending, and their counts. They set an order; any order gives the same links."""
+    share = max(1, texts.count() // SAMPLE_ROWS)
+
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            sets = [shingle_set(t, shingle) for t in part.column("text").to_pylist()]
+            yield pa.record_batch([pa.array(np.concatenate(sets).view(np.int64))], ["token"])
+
+    sample = texts.filter(F.pmod(F.xxhash64("node"), F.lit(share)) == 0).select("text")
+    counts = sample.mapInArrow(exploded, "token bigint").groupBy("token").count().filter("count > 2")
+    found = counts.orderBy(F.desc("count"), "token").limit(COMMON).toPandas()
+    tokens, n = found["token"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def _prefix(own: np.ndarray, tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles in the order of rare ones first."""
+    size = len(own)
+    rank = np.zeros(size, np.int64)
+    if len(tokens) and size:
+        at = np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)
+        rank = np.where(tokens[at] == own, counts[at], 0)
+    return own[np.lexsort((own, rank))][: size + (-OVER * size // UNDER) + 1] if size else own
+
+
+def _parity(own: np.ndarray) -> np.ndarray:
+    """Bit i is set where an odd number of shingles falls on it: two sketches differ in no more bits than the sets in members."""
+    slots = (own >> np.uint64(17)) % np.uint64(64 * PLANES)
+    odd = np.bincount(slots.astype(np.int64), minlength=64 * PLANES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _candidates(texts: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
+    """Every pair of different roots that may share 0.8."""
+    shared = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
+    planes = [f"w{i}" for i in range(PLANES)]
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            sets = [shingle_set(t, shingle) for t in part.column("text").to_pylist()]
+            prefixes = [_prefix(s, *shared.value).view(np.int64) for s in sets]
+            parity = np.stack([_parity(s) for s in sets])
+            tokens = pa.array(prefixes, pa.list_(pa.int64()))
+            sizes = pa.array([len(s) for s in sets], pa.int32())
+            yield pa.record_batch(
+                [part.column("node"), sizes, tokens, *map(pa.array, parity.T.copy())], ["node", "size", "tokens", *planes]
+            )
+
+    shape = "node bigint, size int, tokens array<bigint>, " + ", ".join(f"{w} bigint" for w in planes)
+    known = texts.mapInArrow(sketched, shape).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = stored(known, "sketches")
+    placed = known.select("node", "root", "size", F.posexplode("tokens").alias("at", "token"))
+    met = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    placed = stored(placed.join(met.select("token"), "token"), "placed")
+    a, b = placed.alias("a"), placed.alias("b")
+    both = F.col("a.size") + F.col("b.size")
+    # from the first shared shingle on no more than the shorter rest can be shared
+    reach = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    possible = (
+        (F.col("a.token") == F.col("b.token"))
+        & (F.col("a.node") < F.col("b.node"))
+        & (F.col("a.root") != F.col("b.root"))
+        & (UNDER * F.least("a.size", "b.size") >= OVER * F.greatest("a.size", "b.size"))
+        & ((OVER + UNDER) * reach >= OVER * both)
+    )
+    pairs = a.join(b, possible).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    one, other = (known.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), *[F.col(w).alias(f"{w}_{n}") for w in planes]) for n in "ab")
+    differing = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in planes), F.lit(0))
+    # 0.8 leaves a ninth of both sizes at most outside the overlap
+    near = (OVER + UNDER) * differing <= (UNDER - OVER) * (F.col("size_a") + F.col("size_b"))
+    return pairs.join(one, "a").join(other, "b").filter(near).select("a", "b")

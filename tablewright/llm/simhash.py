@@ -133,6 +133,11 @@ def near_duplicates(
     return marked.join(named, planes)
 
 
+def proposals(marked: DataFrame, radius: int, keys: list[tuple[int, ...]]) -> DataFrame:
+    """``a, b``: links, not all of them direct, that span what is within ``radius`` in each bucket of ``marked(node, f0, ..)``."""
+    return _edges(marked, [c for c in marked.columns if c[:1] == "f" and c[1:].isdigit()], radius, keys)
+
+
 def _edges(nodes: DataFrame, planes: list[str], radius: int, keys: list[tuple[int, ...]]) -> DataFrame:
     columns = ["node", *planes]
     widths = ", ".join(f"{c} bigint" for c in columns)

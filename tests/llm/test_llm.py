@@ -321,3 +321,38 @@ def test_pipeline_stages(spark):
     assert not any(secrets.base_spans(r["text"]) for r in kept.collect())
     pieces = corpus_pipeline.run(spark, FOLDER)
     assert pieces.select("doc_id").distinct().count() == kept.count()
+
+
+def test_near_dedup_is_jaccard_of_all_pairs(spark):
+    """Pairs on both sides of 0.8, few and many shingles, a common passage, a group of near copies."""
+    draw = random.Random(11)
+    passage = [f"p{i}" for i in range(12)]
+    texts = []
+    for i in range(60):
+        base = [f"w{draw.randrange(3000)}" for _ in range(draw.choice([10, 16, 40, 90]))] + passage * (i % 3 == 0)
+        texts.append(base)
+        for changes in range(4):
+            other = list(base)
+            for _ in range(changes):
+                other[draw.randrange(len(other))] = f"x{draw.randrange(3000)}"
+            texts.append(other[draw.randint(0, 2) :])
+    long = [f"q{i}" for i in range(200)]
+    texts += [[*long[:i], "y", *long[i + 1 :]] for i in range(0, 200, 4)] + [["a"], ["A"], ["a", "b"], []]
+    texts = [" ".join(t) for t in texts]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def grams(text):
+        words = text.lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in pairs:
+            if root[i] != root[j]:
+                root[i] = root[j] = min(root[i], root[j])
+                changed = True
+    found = corpus_pipeline.distinct_fingerprints(spark, table, FOLDER).collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(set(root))
