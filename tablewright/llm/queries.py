@@ -6,7 +6,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import bpe, exact_dedup, language_id, packing, quotes, records, secrets, simhash, topk, toxicity
+from tablewright.llm import (
+    bpe,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    packing,
+    quotes,
+    records,
+    secrets,
+    simhash,
+    topk,
+    toxicity,
+)
 from tablewright.llm.shared import fold_of, shared_folder
 from tablewright.sources.parquet import scan
 
@@ -101,6 +113,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = scan(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.digests(docs, line_dedup.keep_bitmaps(docs, least_length=40, least_docs=5))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -112,6 +129,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
+    "op13_line_dedup": op13_line_dedup,
 }
 ORACLES = {
     "op2_exact_dedup": r"""
@@ -145,4 +163,28 @@ ORACLES = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op13_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS position
+            FROM documents
+        ),
+        keyed AS (
+            SELECT *, translate(
+                       regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines
+        ),
+        shared AS (
+            SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+        ),
+        judged AS (
+            SELECT doc_id, line, position, coalesce(doc_id <> last, FALSE) AS dropped
+            FROM keyed LEFT JOIN shared USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+        FROM judged GROUP BY doc_id
+    """.replace("\\\\", "\\"),
 }

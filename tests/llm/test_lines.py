@@ -1,0 +1,112 @@
+"""Line dedup, spelling variants and the filter audit against brute force, on small and odd tables."""
+
+import collections
+import hashlib
+import random
+
+import duckdb
+import pytest
+
+import __spark_entry__ as driver
+from tablewright.llm import line_dedup
+
+FOLDER = "/root/testdata/sf0.001"
+SPACE = " \t\n\x0b\x0c\r"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+DOCS = "doc_id long, text string, row string, keep int"
+
+
+@pytest.fixture(params=["true", "false"], ids=["joined", "spread"])
+def spread(spark, request):
+    """Small shuffles as one task, and over eight tasks."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", request.param)
+    yield request.param
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def against_sql(spark, name, tables=("documents",)):
+    connection = duckdb.connect()
+    for table in tables:
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
+    wanted = connection.execute(driver.oracle_sql()[name])
+    names = [c[0] for c in wanted.description]
+    found = driver.queries()[name](spark, FOLDER).select(*names)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(wanted.fetchall(), key=repr)
+
+
+# -- line dedup ---------------------------------------------------------------
+
+
+def shortened(rows, least_length=40, least_docs=5):
+    """Each row's text after line dedup, the plain way."""
+    key = lambda line: line.strip(SPACE).translate(LOWER)
+    holders = collections.defaultdict(set)
+    for doc_id, text in rows:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= least_length:
+                holders[key(line)].add(doc_id)
+    last = {k: max(ids, key=lambda i: (i is not None, i or 0)) for k, ids in holders.items() if len(ids) >= least_docs}
+    return [
+        "\n".join(x for x in (text or "").split("\n") if last.get(key(x), doc_id) == doc_id) for doc_id, text in rows
+    ]
+
+
+def line_rows():
+    draw = random.Random(5)
+    pool = [f"{'abcdefghij' * 4}{i % 60:02d}é" for i in range(60)] + ["x" * 39, "É" * 40, "é" * 39, "short", ""]
+    common = "This line, of more than forty characters, is everywhere."
+    rows = []
+    for i in range(400):
+        lines = [draw.choice(pool) for _ in range(draw.randint(0, 9))]
+        lines = [draw.choice(["", " ", "\t\x0b"]) + draw.choice([x, x.upper()]) + draw.choice(["", "\r", "  "]) for x in lines]
+        if i % 3 == 0:
+            lines.insert(draw.randint(0, len(lines)), common)
+        rows.append((i, "\n".join(lines)))
+    rows += [(None, None), (None, common), (None, f"{common}\n{common}"), (1000, ""), (1001, None)]
+    rows += [(1002, "\n" * 5000 + common + "\n" * 5000 + common)] + [(1003, f"{common}\nsame")] * 3 + [(5, f"{pool[0]}\nagain")]
+    rows += [(1003 + i, "once more, this is a line that is held by four documents only") for i in range(4)]
+    return rows
+
+
+def test_lines_are_those_of_brute_force(spark, spread):
+    rows = line_rows()
+    wanted = shortened(rows)
+    table = spark.createDataFrame([(i, t, "r", 7) for i, t in rows], DOCS).repartition(3)
+    bitmaps = line_dedup.keep_bitmaps(table)
+    found = line_dedup.digests(table, bitmaps).collect()
+    digest = [
+        (i, (t or "").count("\n") + 1, hashlib.sha256(w.encode()).hexdigest()) for (i, t), w in zip(rows, wanted)
+    ]
+    assert collections.Counter((r["doc_id"], r["n_lines"], r["kept_sha256"]) for r in found) == collections.Counter(digest)
+    assert sum(r["n_dropped"] for r in found) > 400
+    short = line_dedup.without_repeats(table, bitmaps)
+    assert short.schema == table.schema
+    texts = collections.Counter((i, None if t is None else w, "r", 7) for (i, t), w in zip(rows, wanted))
+    assert collections.Counter(map(tuple, short.collect())) == texts
+
+
+def test_lines_stream_over_the_ends_of_tasks(spark, spread):
+    """One key that every document holds, another that the first half holds, in eight ranges."""
+    rows = [(i, "the same line of more than forty characters" + ("\nanother line that half of the documents hold" if i < 300 else "")) for i in range(600)]
+    for least in (1, 2, 5, 301):
+        found = line_dedup.keep_bitmaps(spark.createDataFrame(rows, "doc_id long, text string"), 40, least).collect()
+        lost = {r["doc_id"]: r["n_dropped"] for r in found}
+        assert sum(lost.values()) == 599 + (299 if least < 301 else 0), least
+        assert 599 not in lost and lost[299] == 1
+
+
+def test_bitmaps_say_which_lines_stay():
+    keep = line_dedup.bitmap(11, [0, 4, 10])
+    assert line_dedup.kept_lines("\n".join("abcdefghijk"), keep) == "b\nc\nd\nf\ng\nh\ni\nj"
+    assert line_dedup.kept_lines("a\nb", None) == "a\nb" and line_dedup.kept_lines("a", line_dedup.bitmap(1, [0])) == ""
+
+
+def test_no_lines(spark):
+    table = spark.createDataFrame([], DOCS)
+    bitmaps = line_dedup.keep_bitmaps(table)
+    assert bitmaps.count() == 0
+    assert line_dedup.digests(table, bitmaps).count() == 0 and line_dedup.without_repeats(table, bitmaps).schema == table.schema
+
+
+def test_line_query_is_its_sql(spark):
+    against_sql(spark, "op13_line_dedup")
