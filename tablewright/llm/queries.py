@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tablewright.llm import (
     bpe,
     exact_dedup,
+    filter_audit,
     language_id,
     line_dedup,
     packing,
@@ -16,6 +17,7 @@ from tablewright.llm import (
     records,
     secrets,
     simhash,
+    spelling,
     topk,
     toxicity,
 )
@@ -113,6 +115,16 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    docs = scan(spark, folder, "documents").select("doc_id", "text")
+    return spelling.variants(spelling.word_counts(docs, least_length=5, least_count=3))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs = scan(spark, folder, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(filter_audit.failures(docs, part="source"), scan(spark, folder, "labels"))
+
+
 def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = scan(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.digests(docs, line_dedup.keep_bitmaps(docs, least_length=40, least_docs=5))
@@ -129,6 +141,8 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_topk": op9_topk,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_filter_audit": op12_filter_audit,
     "op13_line_dedup": op13_line_dedup,
 }
 ORACLES = {
@@ -163,6 +177,52 @@ ORACLES = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
     """,
+    "op12_filter_audit": r"""
+        WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+        words AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs),
+        failed AS (
+            SELECT doc_id, part,
+                   len(words) < 200 AS a,
+                   100 * len(list_distinct(words)) < 50 * len(words) AS b,
+                   100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c,
+                   regexp_matches(text, '[#$%&*|]') AS d,
+                   EXISTS (SELECT 1 FROM docs s WHERE s.text = words.text AND s.doc_id < words.doc_id) AS e
+            FROM words
+        ),
+        said AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        combined AS (
+            SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n,
+                   count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+            FROM failed LEFT JOIN said USING (doc_id) GROUP BY ALL
+        ),
+        letters AS (SELECT chr(65 + i::INT) AS letter, (2 ** i)::INT AS bit FROM range(5) r(i)),
+        orders AS (
+            SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+        ),
+        steps AS (
+            SELECT filter_order, step::INT AS step, letter, bit,
+                   (SELECT coalesce(sum(l.bit), 0)::INT FROM letters l
+                    WHERE contains(left(filter_order, step::INT - 1), l.letter)) AS gone
+            FROM orders, range(1, 6) s(step) JOIN letters ON letter = filter_order[step]
+        ),
+        summed AS (
+            SELECT part, filter_order, step, letter,
+                   sum(n) FILTER (WHERE mask & (bit | gone) = 0) AS kept,
+                   sum(n) FILTER (WHERE mask & bit > 0 AND mask & gone = 0) AS removed,
+                   sum(n) FILTER (WHERE mask & bit > 0 AND mask & gone > 0) AS redundant,
+                   sum(n) FILTER (WHERE mask = bit) AS unique_fails,
+                   sum(good) FILTER (WHERE mask & bit > 0 AND mask & gone = 0) AS good_lost,
+                   sum(toxic) FILTER (WHERE mask & bit > 0 AND mask & gone = 0) AS toxic_lost
+            FROM combined, steps GROUP BY ALL
+        )
+        SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+               coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+               coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+               coalesce(sum(removed) OVER (PARTITION BY part, letter), 0)::BIGINT AS shapley
+        FROM summed
+    """,
     "op13_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

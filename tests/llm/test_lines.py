@@ -2,13 +2,16 @@
 
 import collections
 import hashlib
+import itertools
 import random
+import re
+import zlib
 
 import duckdb
 import pytest
 
 import __spark_entry__ as driver
-from tablewright.llm import line_dedup
+from tablewright.llm import filter_audit, line_dedup, spelling
 
 FOLDER = "/root/testdata/sf0.001"
 SPACE = " \t\n\x0b\x0c\r"
@@ -110,3 +113,160 @@ def test_no_lines(spark):
 
 def test_line_query_is_its_sql(spark):
     against_sql(spark, "op13_line_dedup")
+
+
+# -- filter audit -------------------------------------------------------------
+
+
+def fails(text, doc_id, rows):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return {
+        "A": len(words) < 200,
+        "B": 100 * len(set(words)) < 50 * len(words),
+        "C": 100 * len(re.findall("[A-Z]", text)) > 2 * len(text),
+        "D": re.search(r"[#$%&*|]", text) is not None,
+        "E": doc_id is not None and any(i is not None and i < doc_id and (t or "") == text for i, t, _ in rows),
+    }
+
+
+def audited(rows, labels):
+    """Every part, order and step by applying the filters one after the other."""
+    found = {}
+    verdicts = [(fails(t or "", i, rows), i, p or "") for i, t, p in rows]
+    good = {i for i, q, _ in labels if q == 1}
+    toxic = {i for i, _, x in labels if x == 1}
+    for part in {p for _, _, p in verdicts}:
+        own = [(f, i) for f, i, p in verdicts if p == part]
+        for order in map("".join, itertools.permutations("ABCDE")):
+            left = list(own)
+            for step, letter in enumerate(order, 1):
+                lost = [x for x in left if x[0][letter]]
+                left = [x for x in left if not x[0][letter]]
+                failing = sum(f[letter] for f, _ in own)
+                alone = sum(f[letter] and sum(f.values()) == 1 for f, _ in own)
+                labelled = [sum(i in ids and i is not None for _, i in lost) for ids in (good, toxic)]
+                found[part, order, step] = [len(left), len(lost), failing - len(lost), alone, *labelled]
+    shapley = collections.Counter()
+    for (part, order, step), numbers in found.items():
+        shapley[part, order[step - 1]] += numbers[1]
+    return {key: (*numbers, shapley[key[0], key[1][key[2] - 1]]) for key, numbers in found.items()}
+
+
+def test_audit_is_that_of_filters_applied_in_turn(spark, spread):
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(500)] + ["#", "Äh", "ABC", "a\x1cb", "x\x85y"]
+    long = [" ".join(draw.choice(words[: draw.choice([60, 505])]) for _ in range(draw.choice([199, 200, 201, 450]))) for _ in range(40)]
+    texts = [*long, "", None, " ", "same text", "SAME", "z " * 200, "T" * 5000, "a&b"]
+    rows = [(draw.choice([None, *range(300)]), draw.choice(texts), draw.choice(["web", "Web", "", None])) for _ in range(500)]
+    rows += [(1000 + i, "same text", "hot") for i in range(200)] + [(7, "twice", "web")] * 2 + [(9, "", "only")]
+    labels = [(draw.choice([None, *range(1200)]), draw.choice([0, 1, None]), draw.choice([0, 1])) for _ in range(700)]
+    table = spark.createDataFrame([(i, t, p, 1) for i, t, p in rows], "doc_id long, text string, source string, mask int")
+    said = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = filter_audit.audit(filter_audit.failures(table.repartition(3)), said).collect()
+    wanted = audited(rows, labels)
+    assert len(found) == len(wanted) == 600 * 5
+    assert {tuple(r[:3]): tuple(r[3:]) for r in found} == wanted
+    assert filter_audit.audit(filter_audit.failures(table.limit(0)), said).count() == 0
+    assert filter_audit.audit(filter_audit.failures(table), said.limit(0)).agg({"good_lost": "sum"}).first()[0] == 0
+
+
+def test_audit_query_is_its_sql(spark):
+    against_sql(spark, "op12_filter_audit", ("documents", "labels"))
+
+
+def test_a_large_group_of_copies_is_split(spark):
+    """The semi join stays directly on its shuffles, where adaptive execution can cut a hot text."""
+    table = spark.createDataFrame([(i, "copy", "web") for i in range(50)], "doc_id long, text string, source string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = filter_audit.failures(table)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    below = plan[plan.index("SortMergeJoin") :].splitlines()
+    assert [x.split("- ")[-1].split(" ")[0] for x in below[1:3]] == ["Sort", "Exchange"] and "LeftSemi" in below[0]
+
+
+# -- spelling variants --------------------------------------------------------
+
+
+def near(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def words_of(rows, least_length=5, least_count=3):
+    counts = collections.Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            counts[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 97 == 0 else run] += 1
+    return {w: n for w, n in counts.items() if len(w) >= least_length and n >= least_count}
+
+
+def grouped(counts):
+    """``word, form, root, n, n_near, form_n`` by looking at all pairs of near lengths."""
+    by_length = collections.defaultdict(list)
+    for word in counts:
+        by_length[len(word)].append(word)
+    near_of = {w: [v for size in (-1, 0, 1) for v in by_length[len(w) + size] if near(w, v)] for w in counts}
+    form = {}
+    for word, others in near_of.items():
+        best = min(others, key=lambda v: (-counts[v], v), default=None)
+        form[word] = best if best is not None and counts[best] >= 2 * counts[word] else None
+    rows = []
+    for word, n in counts.items():
+        root = word
+        while form[root] is not None:
+            root = form[root]
+        rows.append((word, form[word], root, n, len(near_of[word]), counts.get(form[word])))
+    return collections.Counter(rows)
+
+
+COLUMNS = ["word", "form", "root", "n", "n_near", "form_n"]
+
+
+def test_variants_are_those_of_all_pairs(spark, spread):
+    draw = random.Random(4)
+    base = ["".join(draw.choice("abé×ÿ") for _ in range(draw.randint(4, 8))) for _ in range(150)] + ["".join(x) for x in itertools.product("aé", repeat=5)] + ["aaaaaa", "aaaaaaa"]
+    pool = base + ["x" * 63, "x" * 64, "x" * 65, "x" * 66, "y" + "x" * 64, "x" * 64 + "y", "x" * 30 + "y" + "x" * 35]
+    pool += ["ab" * 400, "ab" * 399 + "a", "ab" * 399 + "cb", "b" + "ab" * 400]
+    rows = []
+    for i in range(300):
+        words = [draw.choice(pool) for _ in range(draw.randint(0, 40))]
+        rows.append((i, draw.choice([" ", "-", "1", "Ā", "\n", "_"]).join(w.upper() if draw.random() < 0.1 and w.isascii() else w for w in words)))
+    rows += [(None, None), (None, "noone noone noone"), (7, ""), (400, "repeated rows here")] + [(400, "repeated rows here")] * 2
+    rows += [(500 + i, "z" * 30_000 + " " + "z" * 15_000 + "y" + "z" * 14_999) for i in range(3)]
+    counts = words_of(rows)
+    table = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n int").repartition(3)
+    words = spelling.word_counts(table)
+    assert {r["word"]: r["n"] for r in words.collect()} == counts
+    places = [r["word"] for r in words.orderBy("place").collect()]
+    assert places == sorted(counts)
+    found = spelling.variants(words).select(COLUMNS)
+    assert collections.Counter(map(tuple, found.collect())) == grouped(counts)
+    assert max(n for _, _, _, _, n, _ in grouped(counts)) > 5
+
+
+def test_variant_query_is_brute_force(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()
+    wanted = grouped(words_of([tuple(r) for r in docs]))
+    found = driver.queries()["op11_spelling_variants"](spark, FOLDER).select(COLUMNS)
+    assert collections.Counter(map(tuple, found.collect())) == wanted
+    assert any(row[1] for row in wanted)
+
+
+def test_roots_follow_long_chains(spark):
+    forms = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100 + i, 3) for i in range(50)], "place long, form long")
+    found = {r["place"]: r["root"] for r in spelling._roots(forms).collect()}
+    assert found == dict.fromkeys([*range(40), *range(100, 150)], 40)
+
+
+def test_no_words(spark):
+    table = spark.createDataFrame([(1, None), (None, ""), (2, "a 1 #")], "doc_id long, text string")
+    for rows in (table, table.limit(0)):
+        assert spelling.variants(spelling.word_counts(rows)).count() == 0
