@@ -196,7 +196,8 @@ def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``doc_id, text, keep, row``, the row being all columns of ``docs`` as one."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text_key(text_or_empty()).alias("text_key")).alias("rows")
-    maps = bitmaps.select("doc_id", "text_key", "keep").alias("maps")
+    # the side that is hashed is the bitmaps, a row for each document; the texts are not sorted
+    maps = bitmaps.select("doc_id", "text_key", "keep").alias("maps").hint("shuffle_hash")
     same = F.col("rows.doc_id").eqNullSafe(F.col("maps.doc_id")) & (F.col("rows.text_key") == F.col("maps.text_key"))
     return rows.join(maps, same, "left").select("rows.doc_id", text_or_empty("row.text").alias("text"), "keep", "row")
 
