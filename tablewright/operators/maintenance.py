@@ -1,63 +1,150 @@
-"""File inventory, compaction and the history of a published table.
+"""File inventory, compaction, proofs and the history of a published table.
 
 A published table lives below one root folder. Every write goes to a new
 directory ``run=<id>`` there and then adds one row to the log next to it
-(``<root>_log``), which lists the directories that came, went or changed. The
-state of a run is the last entry of each directory up to that run, so the log
-grows with the changes and an append reads none of the earlier ones. Files are
-never changed, so every earlier state stays readable.
-
-A directory of a run (of a run's partition, when the table is partitioned) is
-the unit of a state. Compaction takes the files below a size out of a directory
-and leaves the others: the state then notes the size from which files count,
-``min_bytes``. Both halves are conditions on file metadata, by which Spark drops
-files before it opens any, so no list of files is ever gathered; the driver
-holds directories only, which its file index needs in any case. One writer.
+(``<root>_log``). Files are never changed, so every earlier state stays readable.
+
+The log holds no list of files or directories. A state is read by conditions on
+what Spark knows of a file before it opens it: the run it belongs to, its
+partition and its size. A compaction notes the size below which it took files
+(``small_bytes``); it took them from all earlier runs, in the partitions that it
+wrote itself. One writer.
 """
 
 from __future__ import annotations
 
 import json
-from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
-from math import ceil
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DoubleType, FloatType, LongType, MapType, StructField, StructType
+
+from tablewright.sources.session import own_session
 
-from tablewright.functions.columns import directory_of, options_map
 
 TARGET_BYTES = 128 * 1024 * 1024
 SMALL_SHARE = 0.75
 MIN_INPUT_FILES = 5
+PARTITIONS_A_JOB = 100
 
-PART = "struct<path:string,min_bytes:bigint,files:bigint,bytes:bigint,records:bigint>"
-COMMIT = (
-    "run_id bigint, committed_at timestamp, operation string, row_schema string, "
-    f"partition_by array<string>, changes array<{PART}>, summary map<string,string>"
+LOG = (
+    "run_id bigint, committed_at timestamp, operation string, summary map<string,string>, "
+    "row_schema string, partition_by array<string>, small_bytes bigint"
 )
+# The columns of Spark's binary file source, which lists files.
+LISTED = "path string, modificationTime timestamp, length bigint, content binary"
+FILE = ["file_path", "file_size_in_bytes"]
+SCANNED = "_metadata.file_size"
+
 
+# -- files --------------------------------------------------------------------
 
-def file_inventory(df: DataFrame, *by: str) -> DataFrame:
-    """Path, size and rows of each data file of a scan; no column is read, but every row counted.
 
-    ``by`` adds columns that are the same for all rows of a file.
+def file_listing(
+    spark: SparkSession, *paths: str, partitions: Sequence[StructField] = (), pattern: str = "*.parquet"
+) -> DataFrame:
+    """Path and size of each file below ``paths``, rows or none; no file is opened.
+
+    Spark lists the directories, in parallel where there are many, and drops hidden
+    files. ``partitions`` are columns that the directories' names hold.
     """
-    return df.groupBy(
-        *by,
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    if partitions:
+        reader = reader.schema(StructType([*StructType.fromDDL(LISTED).fields, *partitions]))
+    else:
+        reader = reader.option("recursiveFileLookup", "true")
+    return reader.load(list(paths)).select(
+        *[F.col(f.name) for f in partitions],
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_size").alias("file_size_in_bytes"),
-    ).agg(F.count(F.lit(1)).alias("record_count"))
+    )
+
+
+def file_inventory(df: DataFrame, *by: str, listing: DataFrame | None = None) -> DataFrame:
+    """Path, size and rows of each data file of a scan; no column is read.
+
+    ``by`` adds columns that are the same for all rows of a file. Files without rows
+    show only with a ``listing`` of ``by`` columns, ``file_path`` and
+    ``file_size_in_bytes``: rows are counted per file within each task, and the counts
+    joined to the listing.
+    """
+    path, size = F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size_in_bytes")
+    counted = F.count(F.lit(1)).alias("record_count")
+    if listing is None:
+        return df.groupBy(*by, path, size).agg(counted)
+    counts = df.groupBy(path).agg(counted)
+    columns = [*by, *FILE, F.coalesce("record_count", F.lit(0)).alias("record_count")]
+    return listing.join(counts, "file_path", "left").select(*columns)
+
+
+# -- proofs -------------------------------------------------------------------
+
+
+def _hashable(df: DataFrame) -> list[Column]:
+    """The columns, maps as sorted entries, and which of them are NULL, over which a hash passes."""
+    columns = [
+        F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, MapType) else F.col(f"`{f.name}`") for f in df.schema
+    ]
+    return [*columns, *[c.isNull() for c in columns]]
+
+
+def _hash_sum(value: Column) -> Column:
+    """The exact sum of 64-bit hashes, in parts that no number of rows up to 2^41 overflows."""
+    low, middle, high = (1 << 22) - 1, (1 << 21) - 1, 43
+    parts = [value.bitwiseAND(F.lit(low)), F.shiftrightunsigned(value, 22).bitwiseAND(F.lit(middle)), F.shiftrightunsigned(value, high)]
+    wide = [F.sum(part).cast("decimal(38,0)") for part in parts]
+    weights = [F.lit(w).cast("decimal(38,0)") for w in (1, 1 << 22, 1 << 43)]
+    terms = [(total * weight).cast("decimal(38,0)") for total, weight in zip(wide, weights)]
+    return F.coalesce((terms[0] + terms[1] + terms[2]).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+
+
+def fingerprint(df: DataFrame, *by: str) -> DataFrame:
+    """``by``, ``rows``, ``sum_a``, ``sum_b``: what the rows of each part add up to, in any order.
+
+    Two independent hashes of every row are summed, so the same rows as often give the
+    same numbers, however they are ordered, cut into files or compressed. A NULL is
+    told from another, and so are copies. One row per task and part is shuffled.
+    """
+    columns = _hashable(df)
+    one, other = F.xxhash64(*columns), F.xxhash64(F.lit("other"), *reversed(columns))
+    rows = df.select(*[F.col(f"`{c}`") for c in by], one.alias("_one"), other.alias("_other"))
+    sums = [_hash_sum(F.col("_one")).alias("sum_a"), _hash_sum(F.col("_other")).alias("sum_b")]
+    return rows.groupBy(*[F.col(f"`{c}`") for c in by]).agg(F.count(F.lit(1)).alias("rows"), *sums)
+
+
+def one_text(fields: Sequence[StructField]) -> Column:
+    """The columns of a row as one text, the same for the same values only; NULL is a value.
+
+    An equality of one expression over partition columns is what Spark prunes by.
+    """
+    values = [F.col(f"`{f.name}`") + F.lit(0.0) if isinstance(f.dataType, (FloatType, DoubleType)) else F.col(f"`{f.name}`") for f in fields]
+    parts = [F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("")) for value in values]
+    return F.concat_ws("/", *[F.length(part).cast("string") for part in parts], *parts)
+
+
+def differing_parts(before: DataFrame, after: DataFrame, *by: str) -> DataFrame:
+    """The parts, by the columns ``by``, whose fingerprints differ: ``by, rows_before, rows_after``.
+
+    A part that one side lacks has 0 rows there; NULL is a part of its own.
+    """
+    sides = [fingerprint(side, *by).withColumn("_after", F.lit(after_it)) for side, after_it in ((before, False), (after, True))]
+    rows = lambda wanted: F.coalesce(F.sum(F.when(F.col("_after") == wanted, F.col("rows"))), F.lit(0))
+    facts = F.count_distinct("rows", "sum_a", "sum_b").alias("_facts")
+    both = sides[0].unionByName(sides[1]).groupBy(*[F.col(f"`{c}`") for c in by])
+    compared = both.agg(rows(False).alias("rows_before"), rows(True).alias("rows_after"), facts, F.count(F.lit(1)).alias("_sides"))
+    unlike = (F.col("_facts") > 1) | ((F.col("_sides") < 2) & (F.col("rows_before") + F.col("rows_after") > 0))
+    return compared.filter(unlike).drop("_facts", "_sides")
 
 
 def row_differences(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows that one side holds more often, with the surplus of ``after``.
 
     Empty when both hold the same rows. Copies are counted before the shuffle,
-    and one shuffle answers both directions.
+    and one shuffle answers both directions. :func:`table_differences` gives the
+    same rows and shuffles only what differs.
     """
     columns = before.columns
     both = before.withColumn("_sign", F.lit(-1)).unionByName(after.withColumn("_sign", F.lit(1)))
@@ -68,6 +155,23 @@ def row_differences(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def table_differences(before: DataFrame, after: DataFrame, *by: str) -> DataFrame:
+    """The rows of :func:`row_differences`, compared only in the parts whose fingerprints differ.
+
+    Equal tables are proven equal by their fingerprints, one row per task and part.
+    Otherwise the parts that differ are joined to both sides, which for the partition
+    columns of a scan leaves out all other partitions before they are opened.
+    """
+    parts = differing_parts(before, after, *by)
+    if parts.isEmpty():
+        return row_differences(before.limit(0), after.limit(0))
+    if not by:
+        return row_differences(before, after)
+    key = one_text([before.schema[c] for c in by])
+    parts = parts.select(key.alias("_part"))
+    return row_differences(*[side.join(parts, key == parts["_part"], "left_semi") for side in (before, after)])
+
+
 # -- states -------------------------------------------------------------------
 
 
@@ -75,26 +179,21 @@ def _log_path(root: str) -> str:
     return f"{root.rstrip('/')}_log"
 
 
-def _commits(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(COMMIT).parquet(_log_path(root))
-
-
-def _one_row(spark: SparkSession) -> DataFrame:
-    return spark.range(0, 1, 1, 1)
+def _log(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(LOG).parquet(_log_path(root))
 
 
 def _head(spark: SparkSession, root: str, run_id: int | None = None) -> Row | None:
-    """A commit without its changes; the latest when no run is named."""
-    facts = F.struct("run_id", "row_schema", "partition_by", "summary")
+    """The log row of a run; the latest when no run is named."""
     try:
-        commits = _commits(spark, root)
+        log = _log(spark, root)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
     if run_id is not None:
-        commits = commits.filter(F.col("run_id") == run_id)
-    return commits.agg(F.max_by(facts, "run_id").alias("head")).first()["head"]
+        log = log.filter(F.col("run_id") == run_id)
+    return log.agg(F.max_by(F.struct("*"), "run_id").alias("head")).first()["head"]
 
 
 def _need_head(spark: SparkSession, root: str, run_id: int | None = None) -> tuple[Row, StructType]:
@@ -104,83 +203,125 @@ def _need_head(spark: SparkSession, root: str, run_id: int | None = None) -> tup
     return head, StructType.fromJson(json.loads(head["row_schema"]))
 
 
-def _parts(spark: SparkSession, root: str, run_id: int) -> list[Row]:
-    """The directories of a run's state; one row each."""
-    changes = _commits(spark, root).filter(F.col("run_id") <= run_id).select("run_id", F.inline("changes"))
-    numbers = F.struct("min_bytes", "files", "bytes", "records")
-    last = changes.groupBy("path").agg(F.max_by(numbers, "run_id").alias("last"))
-    return last.filter("last.files > 0").select("path", "last.*").collect()
+class _State:
+    """What of a published table is alive at a run, as conditions on runs, partitions and sizes."""
+
+    def __init__(self, spark: SparkSession, root: str, head: Row, schema: StructType) -> None:
+        self.run_id, self.keys = head["run_id"], list(head["partition_by"])
+        run = StructField("run", LongType())
+        self.fields = [run, *[schema[k] for k in self.keys]]
+        self.scan = spark.read.schema(StructType([*schema.fields, run])).parquet(root)
+        self.listing = file_listing(spark, root, partitions=self.fields).filter(F.col("run") <= self.run_id)
+        # per size, the last compaction that took files below it: as many rows as sizes were used
+        replaced = _log(spark, root).filter((F.col("run_id") <= self.run_id) & F.col("small_bytes").isNotNull())
+        self.replaced = replaced.select(F.col("run_id").alias("by_run"), "small_bytes")
+        self.taken = [tuple(r) for r in self.replaced.groupBy("small_bytes").agg(F.max("by_run")).orderBy("small_bytes").collect()]
+
+    def bands(self) -> list[tuple[int, int | None, int]]:
+        """Ranges of file sizes, each with the last compaction that took files of it (0: none did)."""
+        floors = [0, *[size for size, _ in self.taken]]
+        ends = [*floors[1:], None]
+        return [(low, high, max((run for size, run in self.taken if size > low), default=0)) for low, high in zip(floors, ends)]
+
+    def sized(self, df: DataFrame, size: Column, low: int, high: int | None) -> DataFrame:
+        """The rows of files of a band; without a band, no condition, as that would ask for file metadata."""
+        if low:
+            df = df.filter(size >= low)
+        return df if high is None else df.filter(size < high)
+
+    def alive(self, df: DataFrame, size: Column, *columns: str | Column) -> DataFrame:
+        """Of the scan or the listing, what the state holds."""
+        df = df.filter(F.col("run") <= self.run_id)
+        frames = []
+        for low, high, since in self.bands():
+            band = self.sized(df, size, low, high)
+            # a run's own files, and all later ones, were there after it
+            frames.append(band.filter(F.col("run") >= since).select(*columns) if since else band.select(*columns))
+            if since and self.keys:
+                frames.append(self._spared(band.filter(F.col("run") < since), low).select(*columns))
+        return reduce(DataFrame.unionAll, frames)
+
+    def _spared(self, band: DataFrame, low: int) -> DataFrame:
+        """Of files that some compaction took by their size, those in partitions that it left alone.
+
+        The join is on what the directories' names hold, so Spark prunes them before it
+        opens any. :attr:`place` makes one value of them, which prunes exactly.
+        """
+        directories = self.listing.select("run", *self.keys).distinct()
+        wrote = self.replaced.filter(F.col("small_bytes") > low).select("by_run")
+        taken = self.listing.join(wrote, F.col("run") == F.col("by_run"), "left_semi").select(F.col("run").alias("by_run"), *self.keys).distinct()
+        same = reduce(Column.__and__, [directories[k].eqNullSafe(taken[k]) for k in self.keys])
+        left = directories.join(taken, same & (taken["by_run"] > directories["run"]), "left_anti")
+        left = left.select(self.place().alias("_place"))
+        return band.join(left, self.place() == left["_place"], "left_semi")
+
+    def place(self) -> Column:
+        return one_text([self.scan.schema[name] for name in ("run", *self.keys)])
+
+
+def read_state(spark: SparkSession, root: str, run_id: int | None = None) -> DataFrame:
+    """The rows of a published table, as of a run or as of now."""
+    head, schema = _need_head(spark, root, run_id)
+    state = _State(spark, root, head, schema)
+    return state.alive(state.scan, F.col(SCANNED), *schema.fieldNames())
+
+
+def state_files(spark: SparkSession, root: str, run_id: int | None = None) -> DataFrame:
+    """The file inventory of a state with its partition columns, files without rows included."""
+    head, schema = _need_head(spark, root, run_id)
+    state = _State(spark, root, head, schema)
+    files = state.alive(state.listing, F.col("file_size_in_bytes"), *state.keys, *FILE)
+    return file_inventory(state.scan.filter(F.col("run") <= state.run_id), *state.keys, listing=files)
 
 
-def _add_commit(
+def history(spark: SparkSession, root: str) -> DataFrame:
+    """Every commit, oldest first."""
+    return _log(spark, root).select("run_id", "committed_at", "operation", "summary").orderBy("committed_at", "run_id")
+
+
+def _add_run(
     spark: SparkSession,
     root: str,
     head: Row | None,
     operation: str,
     schema: StructType,
     partition_by: Sequence[str],
-    fresh: Sequence[Row],
-    touched: Sequence[tuple[Row, Row]] = (),
+    deleted: tuple[int, int] = (0, 0),
+    small_bytes: int | None = None,
 ) -> None:
-    """Log a run: its new directories, and others as they were and as they are."""
-    added = sum(p["files"] for p in fresh)
-    deleted = sum(old["files"] - new["files"] for old, new in touched)
-    records = sum(p["records"] for p in fresh) - sum(old["records"] - new["records"] for old, new in touched)
+    """One row in the log: its counts are an aggregate over the files of the run's directory."""
+    run_id = head["run_id"] + 1 if head else 1
+    path = _run_path(root, run_id)
+    written = file_inventory(spark.read.schema(schema).parquet(path), listing=file_listing(spark, path))
+    counted = written.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("records"))
     earlier = head["summary"] if head else {"total-data-files": 0, "total-records": 0}
-    summary = options_map(
-        **{
-            "total-data-files": int(earlier["total-data-files"]) + added - deleted,
-            "total-records": int(earlier["total-records"]) + records,
-            "added-data-files": added,
-            "deleted-data-files": deleted,
-        }
-    )
-    commit = {
-        "run_id": head["run_id"] + 1 if head else 1,
-        "operation": operation,
-        "row_schema": schema.json(),
-        "partition_by": list(partition_by),
-        "changes": [part.asDict() for part in [*fresh, *[new for _, new in touched]]],
+    numbers = {
+        "total-data-files": F.col("files") + (int(earlier["total-data-files"]) - deleted[0]),
+        "total-records": F.col("records") + (int(earlier["total-records"]) - deleted[1]),
+        "added-data-files": F.col("files"),
+        "deleted-data-files": F.lit(deleted[0]),
     }
-    row = _one_row(spark).select(F.from_json(F.lit(json.dumps(commit)), COMMIT).alias("commit")).select("commit.*")
-    row = row.withColumns({"committed_at": F.current_timestamp(), "summary": summary})
-    row.write.mode("append").parquet(_log_path(root))
-
+    entries = [part for name, number in numbers.items() for part in (F.lit(name), number.cast("string"))]
+    row = counted.select(
+        F.lit(run_id).cast("long").alias("run_id"),
+        F.current_timestamp().alias("committed_at"),
+        F.lit(operation).alias("operation"),
+        F.create_map(*entries).alias("summary"),
+        F.lit(schema.json()).alias("row_schema"),
+        F.array(*map(F.lit, partition_by)).cast("array<string>").alias("partition_by"),
+        F.lit(small_bytes).cast("long").alias("small_bytes"),
+    )
+    row.coalesce(1).write.mode("append").parquet(_log_path(root))
 
-def _scan(
-    spark: SparkSession, root: str, schema: StructType, parts: Sequence[Row], *metadata: str
-) -> DataFrame:
-    """The live files of some directories, with ``_metadata`` when it is asked for.
 
-    The column is only asked for where it is read: once selected, Spark numbers
-    the rows of every file even if a later step drops it.
-    """
-    by_floor = defaultdict(list)
-    for part in parts:
-        by_floor[part["min_bytes"]].append(part["path"])
-    frames = []
-    for floor, paths in by_floor.items():
-        frame = spark.read.schema(schema).option("basePath", root).parquet(*paths)
-        if floor:
-            frame = frame.filter(F.col("_metadata.file_size") >= floor)
-        frames.append(frame.select(*schema.fieldNames(), *metadata))
-    return reduce(DataFrame.unionAll, frames)
+def _run_path(root: str, run_id: int) -> str:
+    return f"{root}/run={run_id}"
 
 
-def _parts_of(spark: SparkSession, root: str, path: str, schema: StructType) -> list[Row]:
-    """The directories of a fresh run; one row each."""
-    run = spark.read.schema(schema).option("basePath", root).parquet(path)
-    return (
-        file_inventory(run)
-        .groupBy(directory_of(F.col("file_path")).alias("path"))
-        .agg(
-            F.lit(0).cast("long").alias("min_bytes"),
-            F.count(F.lit(1)).alias("files"),
-            F.sum("file_size_in_bytes").alias("bytes"),
-            F.sum("record_count").alias("records"),
-        )
-        .collect()
-    )
+def _write(df: DataFrame, path: str, partition_by: Sequence[str], mode: str = "overwrite") -> None:
+    """A directory of this name can only be left from a write that never finished, so all of it goes."""
+    writer = df.write.mode(mode).option("partitionOverwriteMode", "static")
+    writer.partitionBy(*partition_by).parquet(path)
 
 
 def publish(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> int:
@@ -198,40 +339,17 @@ def publish(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> int:
             raise ValueError(f"{root} holds {schema.simpleString()}, not {df.schema.simpleString()}")
     elif "run" in df.columns:
         raise ValueError("a published table cannot have a column named run")
+    elif taken := {*partition_by} & {*StructType.fromDDL(LISTED).fieldNames(), *FILE}:
+        raise ValueError(f"a published table cannot be partitioned by {sorted(taken)}")
     else:
         schema = df.schema
     run_id = head["run_id"] + 1 if head else 1
-    path = f"{root}/run={run_id}"
     rows = df.hint("rebalance", *partition_by) if partition_by else df
-    # A directory of this id can only be left from a write that never finished.
-    rows.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    _add_commit(spark, root, head, "append", schema, partition_by, _parts_of(spark, root, path, schema))
+    _write(rows, _run_path(root, run_id), partition_by)
+    _add_run(spark, root, head, "append", schema, partition_by)
     return run_id
 
 
-def read_state(spark: SparkSession, root: str, run_id: int | None = None) -> DataFrame:
-    """The rows of a published table, as of a run or as of now."""
-    head, schema = _need_head(spark, root, run_id)
-    parts = _parts(spark, root, head["run_id"])
-    return _scan(spark, root, schema, parts) if parts else spark.createDataFrame([], schema)
-
-
-def state_files(spark: SparkSession, root: str, run_id: int | None = None) -> DataFrame:
-    """The file inventory of a state that has rows, with its partition columns."""
-    head, schema = _need_head(spark, root, run_id)
-    parts = _parts(spark, root, head["run_id"])
-    return file_inventory(_scan(spark, root, schema, parts, "_metadata"), *head["partition_by"])
-
-
-def history(spark: SparkSession, root: str) -> DataFrame:
-    """Every commit, oldest first."""
-    return (
-        _commits(spark, root)
-        .select("run_id", "committed_at", "operation", "summary")
-        .orderBy("committed_at", "run_id")
-    )
-
-
 # -- compaction ---------------------------------------------------------------
 
 
@@ -245,94 +363,84 @@ def compact(
     """Rewrite small files into fewer files of about ``target_bytes``.
 
     Takes the files below ``small_share`` of the target, in each partition that has at least
-    ``min_input_files`` of them and would end with fewer. Returns one row of
+    ``min_input_files`` of them and would end with fewer. Planned from the file
+    listing alone: no file is opened and no row counted for it. Returns one row of
     counts, both 0 when there was nothing to do.
     """
     head, schema = _need_head(spark, root)
-    keys = list(head["partition_by"])
+    state = _State(spark, root, head, schema)
     limit = int(target_bytes * small_share)
-    is_small = F.col("_metadata.file_size") < limit
-
-    # Small files per directory. Other files are dropped before they are opened.
-    candidates = [p for p in _parts(spark, root, head["run_id"]) if p["min_bytes"] < limit]
-    taken = []
-    if candidates:
-        files = file_inventory(_scan(spark, root, schema, candidates, "_metadata").filter(is_small), *keys)
-        taken = (
-            files.groupBy(*keys, directory_of(F.col("file_path")).alias("_path"))
-            .agg(
-                F.count(F.lit(1)).alias("_files"),
-                F.sum("file_size_in_bytes").alias("_bytes"),
-                F.sum("record_count").alias("_records"),
-            )
-            .collect()
-        )
-
-    totals = defaultdict(lambda: [0, 0])
-    for row in taken:
-        total = totals[tuple(row[k] for k in keys)]
-        total[0] += row["_files"]
-        total[1] += row["_bytes"]
-    outputs = {
-        key: ceil(size / target_bytes)
-        for key, (count, size) in totals.items()
-        if count >= min_input_files and ceil(size / target_bytes) < count
-    }
-    if not outputs:
-        return _result(spark, 0, 0)
-    taken = {r["_path"]: r for r in taken if tuple(r[k] for k in keys) in outputs}
-
-    chosen = [p for p in candidates if p["path"] in taken]
-    rows = _scan(spark, root, schema, chosen, "_metadata").filter(is_small)
-    path = f"{root}/run={head['run_id'] + 1}"
-    rows = _gathered(spark, rows, schema, keys, outputs)
-    rows.select(*schema.fieldNames()).write.mode("overwrite").partitionBy(*keys).parquet(path)
-
-    fresh = _parts_of(spark, root, path, schema)
-    read, written = sum(r["_records"] for r in taken.values()), sum(p["records"] for p in fresh)
+    chosen = _chosen(state, limit, target_bytes, min_input_files)
+    if not chosen:
+        return _result(spark, 0, F.lit(0))
+    run_id = head["run_id"] + 1
+    path, read, mode = _run_path(root, run_id), 0, "overwrite"
+    for first in range(0, len(chosen), PARTITIONS_A_JOB):
+        seen = Observation()
+        rows = packed(spark, root, chosen[first : first + PARTITIONS_A_JOB], limit, target_bytes)
+        _write(rows.observe(seen, F.count(F.lit(1)).alias("rows")), path, state.keys, mode)
+        read, mode = read + seen.get["rows"], "append"
+    fresh = spark.read.schema(schema).parquet(path)
+    written = fresh.count()
     if read != written:
         raise RuntimeError(f"compaction read {read} rows and wrote {written}; nothing was published")
-    touched = []
-    for old in chosen:
-        gone = taken[old["path"]]
-        left = {name: old[name] - gone[f"_{name}"] for name in ("files", "bytes", "records")}
-        touched.append((old, Row(path=old["path"], min_bytes=limit, **left)))
-    _add_commit(spark, root, head, "replace", schema, keys, fresh, touched)
-    return _result(spark, sum(r["_files"] for r in taken.values()), sum(p["files"] for p in fresh))
+    files = sum(c["files"] for c in chosen)
+    _add_run(spark, root, head, "replace", schema, state.keys, (files, read), limit)
+    return _result(spark, files, F.col("summary")["added-data-files"], _log(spark, root).filter(F.col("run_id") == run_id))
 
 
-def _result(spark: SparkSession, rewritten: int, added: int) -> DataFrame:
-    return _one_row(spark).select(
-        F.lit(rewritten).cast("long").alias("rewritten_data_files_count"),
-        F.lit(added).cast("long").alias("added_data_files_count"),
+def _chosen(state: _State, limit: int, target_bytes: int, min_input_files: int) -> list[Row]:
+    """One row per partition that is worth it: keys, files, outputs, and per band of sizes its first run.
+
+    Small files of one band of sizes that are alive are all those of a run and later ones.
+    """
+    size = F.col("file_size_in_bytes")
+    band = F.lit(0)
+    for low, _, _ in state.bands():
+        if 0 < low < limit:
+            band = F.when(size >= low, low).otherwise(band)
+    small = state.alive(state.listing, size, "run", *state.keys, *FILE).filter(size < limit)
+    banded = small.groupBy(*state.keys, band.alias("low")).agg(
+        F.count(F.lit(1)).alias("files"), F.sum(size).alias("bytes"), F.min("run").alias("since")
     )
+    outputs = F.greatest(F.lit(1), F.ceil(F.sum("bytes") / target_bytes)).cast("int")
+    bands = F.sort_array(F.collect_list(F.struct("low", "since"))).alias("bands")
+    planned = banded.groupBy(*state.keys).agg(F.sum("files").alias("files"), outputs.alias("outputs"), bands)
+    return planned.filter((F.col("files") >= min_input_files) & (F.col("outputs") < F.col("files"))).collect()
 
 
-def _gathered(
-    spark: SparkSession,
-    rows: DataFrame,
-    schema: StructType,
-    keys: Sequence[str],
-    outputs: dict[tuple, int],
-) -> DataFrame:
-    """Rows shuffled so that each task holds the rows of one output file.
+def packed(spark: SparkSession, root: str, chosen: Sequence[Row], limit: int, target_bytes: int) -> DataFrame:
+    """The rows of the chosen partitions' small files; each task reads whole files of one partition.
 
-    A row goes to one of its partition's files by a hash of its position in its
-    source file: even, the same when a task runs again, and apart for copies.
+    The scan itself packs files into tasks of up to ``target_bytes``, and tasks beyond the
+    planned number of outputs are joined: nothing is shuffled, a row stays with its file.
+    The sizes hold in a session of its own, which leaves the caller's as it is.
     """
-    position = F.xxhash64("_metadata.file_path", "_metadata.row_index")
-    columns = [rows[f] for f in schema.fieldNames()]
-    total = sum(outputs.values())
-    if not keys:
-        placed = rows.select(*columns, F.pmod(position, F.lit(total)).cast("int").alias("_slot"))
-        return placed.repartitionById(total, F.col("_slot"))
-    lines, first = [], 0
-    for key, count in outputs.items():
-        lines.append((*key, first, count))
-        first += count
-    plan_schema = StructType([StructField(k, schema[k].dataType) for k in keys])
-    plan_schema = plan_schema.add("_first", "long", False).add("_outputs", "long", False)
-    plan = spark.createDataFrame(lines, plan_schema)
-    same = reduce(Column.__and__, [rows[k].eqNullSafe(plan[k]) for k in keys])
-    slot = (plan["_first"] + F.pmod(position, plan["_outputs"])).cast("int")
-    return rows.join(plan, same).select(*columns, slot.alias("_slot")).repartitionById(total, F.col("_slot"))
+    own = own_session(
+        spark,
+        spark__sql__files__maxPartitionBytes=target_bytes,
+        spark__sql__files__openCostInBytes=0,
+        spark__sql__files__minPartitionNum=1,
+    )
+    head, schema = _need_head(own, root)
+    state = _State(own, root, head, schema)
+    frames = []
+    for row in chosen:
+        rows = state.scan.filter(F.col("run") <= state.run_id)
+        for key in state.keys:
+            value = F.lit(row[key]).cast(schema[key].dataType)
+            rows = rows.filter(F.col(f"`{key}`").isNull() if row[key] is None else F.col(f"`{key}`") == value)
+        ends = [*[b["low"] for b in row["bands"]][1:], limit]
+        parts = [
+            state.sized(rows.filter(F.col("run") >= b["since"]), F.col(SCANNED), b["low"], high).select(*schema.fieldNames())
+            for b, high in zip(row["bands"], ends)
+        ]
+        frames.append(reduce(DataFrame.unionAll, parts).coalesce(row["outputs"]))
+    return reduce(DataFrame.unionAll, frames)
+
+
+def _result(spark: SparkSession, rewritten: int, added: Column, of: DataFrame | None = None) -> DataFrame:
+    return (spark.range(0, 1, 1, 1) if of is None else of).select(
+        F.lit(rewritten).cast("long").alias("rewritten_data_files_count"),
+        added.cast("long").alias("added_data_files_count"),
+    )
