@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructType
 
 from tablewright.functions.columns import load_time
 
@@ -105,6 +106,63 @@ def sum_by(df: DataFrame, key: str, value: Column | str, name: str) -> DataFrame
     return df.groupBy(key).agg(F.sum(value).alias(name))
 
 
+WIDTH, PIECES = 20, 4  # bits of a piece; pieces that hold the 53 bits of a double from its highest on
+LEAST = -1074  # the exponent of the smallest double
+
+
+def _unit(level: Column) -> Column:
+    """The value of 1 in a piece of this level: a power of two, which no double is below."""
+    return F.pow(F.lit(2.0), F.greatest(level * WIDTH, F.lit(LEAST)).cast("double"))
+
+
+def exact_sum_by(df: DataFrame, keys: str | Sequence[str], value: Column | str, name: str) -> DataFrame:
+    """The double nearest to the exact sum per key: the same bits in whatever order the rows come.
+
+    A value is cut into whole numbers of 20 bits each, on a grid that is the same for all
+    rows. They are added up as integers, exactly, by key and magnitude: within each task
+    before the shuffle, so a key that fills a third of the rows is a few rows per task.
+    Few magnitudes are left of a key, and only their exact total is rounded, once.
+
+    As with ``sum``, NULLs are left out and no value at all gives NULL. NaN, or both
+    infinities, give NaN. Sums beyond the largest double are infinite.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    x = (F.col(value) if isinstance(value, str) else value).cast("double")
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], x.alias("_x"))
+    finite = (F.abs("_x") < F.lit(float("inf"))) & ~F.isnan("_x")
+    level = F.when(finite & (F.col("_x") != 0), F.floor(F.log2(F.abs("_x")) / WIDTH)).when(finite, F.lit(0)).cast("int")
+    rows = rows.withColumn("_level", level).withColumn("_odd", F.when(~finite, F.col("_x")))
+    rest = F.when(finite, F.col("_x"))
+    for i in range(PIECES):
+        unit = _unit(F.col("_level") - i)
+        rows = rows.withColumn(f"_p{i}", F.when(rest >= 0, F.floor(rest / unit)).otherwise(F.ceil(rest / unit)).cast("bigint"))
+        rows = rows.withColumn(f"_r{i}", rest - F.col(f"_p{i}") * unit)
+        rest = F.col(f"_r{i}")
+    named = [F.col(f"`{k}`") for k in keys]
+    pieces = [F.sum(f"_p{i}").alias(f"_p{i}") for i in range(PIECES)]
+    levels = rows.groupBy(*named, "_level").agg(*pieces, F.sum("_odd").alias("_odd"))
+    parts = F.array(*[F.struct((F.col("_level") - i).alias("level"), F.col(f"_p{i}").alias("n")) for i in range(PIECES)])
+    totals = levels.groupBy(*named).agg(
+        F.flatten(F.collect_list(F.when(F.col("_level").isNotNull(), parts))).alias("_parts"), F.sum("_odd").alias("_odd")
+    )
+    found = F.when(F.col("_odd").isNotNull(), F.col("_odd")).when(F.size("_parts") > 0, _rounded(F.col("_parts")))
+    return totals.select(*named, found.alias(name))
+
+
+@F.pandas_udf(DoubleType())
+def _rounded(parts: pd.Series) -> pd.Series:
+    """The double nearest to a sum of whole numbers of units, exact in Python's integers."""
+
+    def nearest(row: Sequence[dict]) -> float:
+        total = sum(int(p["n"]) << (max(int(p["level"]) * WIDTH, LEAST) - LEAST) for p in row)
+        try:
+            return total / (1 << -LEAST)
+        except OverflowError:
+            return math.inf if total > 0 else -math.inf
+
+    return parts.map(nearest, na_action="ignore")
+
+
 def row_count(df: DataFrame, name: str = "row_count") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 

@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 from datetime import datetime
@@ -205,3 +206,77 @@ def test_paths(spark):
 def test_options_map(spark):
     row = spark.range(1).select(options_map(files=2, name="x").alias("m")).select("m", F.col("m")["none"]).first()
     assert row[0] == {"files": "2", "name": "x"} and row[1] is None
+
+
+# -- exact sums ---------------------------------------------------------------
+
+
+def bits(value):
+    return None if value is None else value.hex()
+
+
+def exact(spark, rows, parts=3):
+    frame = spark.createDataFrame(rows, "k string, x double").repartition(parts)
+    return {row["k"]: row["total"] for row in r.exact_sum_by(frame, "k", "x", "total").collect()}
+
+
+def test_exact_sum_is_the_rounded_exact_total(spark):
+    draw = random.Random(6)
+    rows = []
+    for k in range(60):
+        spread = draw.choice([1, 10, 60, 600, 1000])
+        rows += [(str(k), draw.uniform(-1, 1) * 2.0 ** draw.uniform(-spread, spread)) for _ in range(draw.choice([1, 5, 200]))]
+    wanted = {}
+    for k, x in rows:
+        wanted.setdefault(k, []).append(x)
+    found = exact(spark, rows)
+    for k, values in wanted.items():
+        assert bits(found[k]) == bits(math.fsum(values)), k
+
+
+def test_exact_sum_of_every_power_of_two(spark):
+    """The grid is exact from the smallest double to the largest, also just beside each power."""
+    values = []
+    for e in range(-1074, 1024):
+        x = 2.0**e
+        values += [x, -math.nextafter(x, math.inf), math.nextafter(x, 0.0)]
+    rows = [(str(i), x) for i, x in enumerate(values)]
+    found = exact(spark, rows)
+    assert all(found[str(i)] == x for i, x in enumerate(values))
+    assert bits(exact(spark, [("a", x) for x in values])["a"]) == bits(math.fsum(values))
+
+
+def test_exact_sum_does_not_depend_on_order_or_partitions(spark):
+    draw = random.Random(7)
+    values = [draw.uniform(0, 1e5) for _ in range(5000)] + [1e18, -1e18, 1e-9]
+    sums = set()
+    for parts in (1, 2, 7):
+        draw.shuffle(values)
+        sums.add(bits(exact(spark, [("a", x) for x in values], parts)["a"]))
+    assert sums == {bits(math.fsum(values))}
+    assert exact(spark, [("a", 1e300), ("a", 1.0), ("a", -1e300)])["a"] == 1.0
+
+
+def test_exact_sum_of_odd_values(spark):
+    inf = math.inf
+    rows = [("nan", NAN), ("nan", 1.0), ("inf", inf), ("inf", -5.0), ("both", inf), ("both", -inf), ("none", None)]
+    rows += [("some", None), ("some", 2.5), (None, 0.5), (None, 0.25), ("zero", -0.0), ("large", 1.7e308), ("large", 1.7e308)]
+    found = exact(spark, rows)
+    assert math.isnan(found["nan"]) and math.isnan(found["both"])
+    assert (found["inf"], found["none"], found["some"], found[None], found["zero"], found["large"]) == (inf, None, 2.5, 0.75, 0.0, inf)
+    assert exact(spark, [("max", 1.7e308), ("max", 1.7e308), ("max", -1.7e308)])["max"] == 1.7e308
+    assert r.exact_sum_by(spark.createDataFrame([], "k string, x double"), "k", "x", "t").count() == 0
+
+
+def test_exact_sum_takes_expressions_other_numbers_and_several_keys(spark):
+    frame = spark.createDataFrame([(1, "a", 3), (1, "a", 4), (2, "b", 5)], "i long, `k 1` string, x int")
+    found = r.exact_sum_by(frame, ["i", "k 1"], F.col("x") / 10, "t")
+    assert found.columns == ["i", "k 1", "t"]
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 0.7), (2, "b", 0.5)]
+
+
+def test_exact_sum_of_a_hot_key_is_a_few_rows_a_task(spark):
+    frame = spark.range(0, 400_000, 1, 8).select(F.lit("hot").alias("k"), (F.col("id") / 7).alias("x"))
+    found = r.exact_sum_by(frame, "k", "x", "t")
+    assert "partial_sum" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.first()["t"] == math.fsum(i / 7 for i in range(400_000))
