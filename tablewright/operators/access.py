@@ -131,6 +131,42 @@ def effective_access(tables: DataFrame, grants: DataFrame, members: DataFrame) -
     return belongs.join(access, "group_name").select(*PRINCIPAL, "table_path", "permission").distinct()
 
 
+def numbered_members(members: DataFrame) -> DataFrame:
+    """``group_name, number`` for each membership; a principal has one number, whatever its groups.
+
+    Numbers follow the order of a principal's first group, so the members of a group
+    stand close together and fill few bitmaps. The caller stores the result, as numbers
+    are given by partition.
+    """
+    belongs = members.select(*MEMBER_KEY).distinct()
+    first = belongs.groupBy(*PRINCIPAL).agg(F.min("group_name").alias("_first"))
+    ordered = first.repartitionByRange("_first", *PRINCIPAL).sortWithinPartitions("_first", *PRINCIPAL)
+    numbers = ordered.select(*PRINCIPAL, F.monotonically_increasing_id().alias("number"))
+    same = belongs["kind"].eqNullSafe(numbers["kind"]) & belongs["principal"].eqNullSafe(numbers["principal"])
+    return belongs.join(numbers, same).select("group_name", "number")
+
+
+def member_bitmaps(numbered: DataFrame) -> DataFrame:
+    """``group_name, bucket, bits``: a group's members as bitmaps of 32,768 numbers each."""
+    bucket = F.bitmap_bucket_number("number").alias("bucket")
+    return numbered.groupBy("group_name", bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+
+
+def grant_reach(tables: DataFrame, grants: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """``table_path, permission, principals``: how many principals hold each permission on each table.
+
+    The counts of :func:`effective_access` without its listing: the bitmaps of a table's
+    groups are united, so a member of several counts once, and a group's members are one
+    row per bitmap however often the group is granted. Permissions that reach a table
+    through groups without members count 0.
+    """
+    held = group_access(tables, grants)
+    joined = held.join(bitmaps, "group_name", "left")
+    united = joined.groupBy("table_path", "permission", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    counted = F.sum(F.when(F.col("bucket").isNotNull(), F.bitmap_count("bits")).otherwise(0))
+    return united.groupBy("table_path", "permission").agg(counted.alias("principals"))
+
+
 def check_access(requests: DataFrame, grants: DataFrame, members: DataFrame) -> DataFrame:
     """An outcome for each ``request_id, kind, principal, table_path, action``.
 

@@ -213,3 +213,60 @@ def test_orphans(spark):
     stored = spark.createDataFrame([("g", "1"), ("g", "2"), ("h", "9")], "group_name string, subject_id string")
     live = spark.createDataFrame([("1",), ("2",)], "subject_id string")
     assert [r["group_name"] for r in a.orphans(stored, live).collect()] == ["h"]
+
+
+def reach(spark, tmp_path, tables, grants, members):
+    path = str(tmp_path / "numbers")
+    a.numbered_members(members).write.parquet(path)
+    found = a.grant_reach(tables, grants, a.member_bitmaps(spark.read.parquet(path)))
+    return {(r["table_path"], r["permission"]): r["principals"] for r in found.collect()}
+
+
+def listed(tables, grants, members):
+    rows = a.effective_access(tables, grants, members).groupBy("table_path", "permission").agg(F.count("*").alias("n"))
+    return {(r["table_path"], r["permission"]): r["n"] for r in rows.collect()}
+
+
+def test_reach_is_the_count_of_the_listing(spark, tmp_path, grants, members):
+    tables = spark.createDataFrame([("local.sales.orders",), ("local.sales.other",), ("local.content.translated_documents_sensitive",)], "table_path string")
+    found = reach(spark, tmp_path, tables, grants, members)
+    assert found == listed(tables, grants, members)
+    assert found["local.sales.orders", "modify"] == 2 and found["local.sales.orders", "select"] == 2
+
+
+def test_reach_merges_principals_of_several_groups(spark, tmp_path):
+    """100,000 principals over several bitmaps, in overlapping groups, with names of both kinds, and NULL."""
+    people = spark.range(0, 100_000, 1, 4)
+    name = F.col("id").cast("string").alias("principal")
+    parts = [("all", "email", "id >= 0"), ("odd", "email", "id % 2 = 1"), ("few", "service_account", "id < 10"), ("low", "email", "id < 40000")]
+    members = None
+    for group, kind, which in parts:
+        rows = people.filter(which).select(F.lit(group).alias("group_name"), F.lit(kind).alias("kind"), name)
+        members = rows if members is None else members.unionByName(rows)
+    extra = spark.createDataFrame([("few", "email", None), ("few", "email", None), ("few", None, "x")], "group_name string, kind string, principal string")
+    members = members.unionByName(extra)
+    grants = spark.createDataFrame(
+        [("odd", "table", "w.s.t", "select"), ("low", "namespace", "w.s", "select"), ("few", "warehouse", "w", "select"),
+         ("all", "table", "w.s.u", "modify"), ("nobody", "table", "w.s.u", "describe")],
+        GRANT_SCHEMA,
+    )
+    tables = spark.createDataFrame([("w.s.t",), ("w.s.u",), ("w.x.y",)], "table_path string")
+    found = reach(spark, tmp_path, tables, grants, members)
+    assert found.pop(("w.s.u", "describe")) == 0
+    assert found == listed(tables, grants, members)
+    assert found["w.s.t", "select"] == 70_000 + 12
+
+
+def test_reach_never_lists_members_per_table(spark, tmp_path):
+    """A thousand tables granted to one group of 100,000: the join sees the group's bitmaps, not its members."""
+    members = spark.range(0, 100_000, 1, 4).select(F.lit("g").alias("group_name"), F.lit("email").alias("kind"), F.col("id").alias("principal"))
+    tables = spark.range(1000).select(F.concat(F.lit("w.s.t"), "id").alias("table_path"))
+    grants = spark.createDataFrame([("g", "namespace", "w.s", "select")], GRANT_SCHEMA)
+    path = str(tmp_path / "numbers")
+    a.numbered_members(members).write.parquet(path)
+    bitmaps = a.member_bitmaps(spark.read.parquet(path))
+    per_group = bitmaps.count()
+    assert per_group <= 4 + 8  # one for each 32,768 numbers, and one more for each part of the order
+    assert a.group_access(tables, grants).join(bitmaps, "group_name").count() == 1000 * per_group
+    found = a.grant_reach(tables, grants, bitmaps)
+    assert found.count() == 1000 and found.agg(F.min("principals"), F.max("principals")).first()[:] == (100_000, 100_000)
