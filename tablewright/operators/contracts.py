@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DecimalType,
@@ -18,7 +18,9 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from tablewright.functions.columns import assignable, checked, fits
+from tablewright.functions.columns import assignable, checked, converted, fits
+
+REFUSED_REASON, REFUSED_ROW, BROKEN = "refused_reason", "refused_row", "_broken"
 
 
 @dataclass(frozen=True)
@@ -157,6 +159,14 @@ def _require_columns(df: DataFrame, contract: TableContract) -> None:
         raise TypeError(f"{contract.name}: {', '.join(unlike)}")
 
 
+def _require_zone(df: DataFrame, contract: TableContract) -> None:
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    for f in contract.schema:
+        local = isinstance(df.schema[f.name].dataType, TimestampNTZType)
+        if local and isinstance(f.dataType, TimestampType) and zone not in ("UTC", "Etc/UTC"):
+            raise ValueError(f"{contract.name}.{f.name} is UTC, but the session time zone is {zone}")
+
+
 def violations(df: DataFrame, contract: TableContract) -> DataFrame:
     """Per column, the rows that may not be stored; one pass over ``df``.
 
@@ -189,12 +199,8 @@ def conform(df: DataFrame, contract: TableContract) -> DataFrame:
     to its scale. The result matches the contract strictly.
     """
     _require_columns(df, contract)
+    _require_zone(df, contract)
     types = {f.name: f.dataType for f in df.schema}
-    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
-    for f in contract.schema:
-        local = isinstance(types[f.name], TimestampNTZType)
-        if local and isinstance(f.dataType, TimestampType) and zone not in ("UTC", "Etc/UTC"):
-            raise ValueError(f"{contract.name}.{f.name} is UTC, but the session time zone is {zone}")
     return df.select(
         *[
             checked(F.col(f.name), types[f.name], f.dataType, f.nullable, f"{contract.name}.{f.name}").alias(
@@ -203,3 +209,51 @@ def conform(df: DataFrame, contract: TableContract) -> DataFrame:
             for f in contract.schema
         ]
     )
+
+
+def _rules(contract: TableContract) -> list[tuple[str, str, str]]:
+    """Column, kind of breach and its text, in the contract's order."""
+    kinds = [("null_rows", "missing"), ("unfit_rows", "unfit")]
+    return [(f.name, kind, f"{f.name}: {word}") for f in contract.schema for kind, word in kinds if not (f.nullable and kind == "null_rows")]
+
+
+def judged(df: DataFrame, contract: TableContract) -> DataFrame:
+    """Every row with the rules it breaks, for a write that takes all of them in one pass.
+
+    A row that keeps all rules has the contract's columns, as :func:`conform` makes them,
+    and NULL in ``refused_reason`` and ``refused_row``. Any other has NULL in the contract's
+    columns, the first rule that it breaks, and itself as JSON. ``_broken`` lists all the
+    rules that a row breaks. Columns and types are matched as in :func:`conform`.
+    """
+    _require_columns(df, contract)
+    _require_zone(df, contract)
+    breaches: dict[tuple[str, str], Column] = {}
+    for f in contract.schema:
+        value = F.col(f"`{f.name}`")
+        breaches[f.name, "null_rows"] = value.isNull()
+        breaches[f.name, "unfit_rows"] = ~fits(value, df.schema[f.name].dataType, f.dataType)
+    found = [F.when(breaches[name, kind], F.lit(text)) for name, kind, text in _rules(contract)]
+    marked = df.withColumn(BROKEN, F.array_compact(F.array(*found)))
+    whole = F.size(BROKEN) == 0
+    values = [
+        F.when(whole, converted(F.col(f"`{f.name}`"), df.schema[f.name].dataType, f.dataType)).alias(f.name, metadata=f.metadata)
+        for f in contract.schema
+    ]
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    return marked.select(
+        *values, F.when(~whole, row).alias(REFUSED_ROW), F.try_element_at(BROKEN, F.lit(1)).alias(REFUSED_REASON), BROKEN
+    )
+
+
+def observed(rows: DataFrame, contract: TableContract, into: Observation) -> DataFrame:
+    """The rows of :func:`judged`, counted by rule as they pass."""
+    counts = [F.count_if(F.array_contains(BROKEN, text)).alias(text) for _, _, text in _rules(contract)]
+    return rows.observe(into, F.count(F.lit(1)).alias("rows"), F.count_if(F.size(BROKEN) > 0).alias("refused"), *counts)
+
+
+def observed_violations(spark: SparkSession, contract: TableContract, seen: Mapping[str, int]) -> DataFrame:
+    """What :func:`observed` counted, in the shape of :func:`violations`."""
+    counts = {(name, kind): seen[text] for name, kind, text in _rules(contract)}
+    names = contract.schema.fieldNames()
+    rows: Sequence[tuple] = [(n, counts.get((n, "null_rows"), 0), counts[n, "unfit_rows"]) for n in names]
+    return spark.createDataFrame(rows, "column_name string, null_rows bigint, unfit_rows bigint")

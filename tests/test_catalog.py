@@ -1,3 +1,4 @@
+import glob
 from dataclasses import replace
 from datetime import datetime
 
@@ -144,3 +145,120 @@ def test_all_contracts_in_one_call(spark, namespace):
     again = catalog.apply_contracts(spark, moved, [namespace], seeds).collect()
     assert [tuple(r) for r in again] == [(k.name, False, False) for k in moved]
     assert catalog.read_table(spark, f"{namespace}.orders").count() == 5
+
+
+# -- rows that a table refuses, kept beside the others -------------------------
+
+NOON = datetime(2024, 5, 1, 12)
+MIXED = [
+    (1.0, "a", 10.0, NOON),
+    (2.5, "b", 11.0, NOON),
+    (3.0, None, None, NOON),
+    (4.0, "d", 1e9, datetime(2024, 5, 2, 1)),
+    (None, "e", 1.5, None),
+    (6.0, "f", 2.0, datetime(2024, 5, 2, 1)),
+]
+
+
+def mixed(spark, rows=MIXED):
+    return spark.createDataFrame(rows, "order_id double, customer string, amount double, order_ts timestamp")
+
+
+def judged_table(spark, namespace, contract=c.SALES_ORDERS_V2):
+    name = f"{namespace}.judged"
+    assert catalog.apply_contract(spark, contract, name, keep_refused=True)
+    return name
+
+
+def test_refused_rows_are_stored_and_counted_in_the_write(spark, namespace):
+    name = judged_table(spark, namespace)
+    counts = catalog.append_judged(mixed(spark), name, c.SALES_ORDERS_V2)
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, c.violations(mixed(spark), c.SALES_ORDERS_V2).collect()))
+    kept = catalog.read_contract(spark, c.SALES_ORDERS_V2, name)
+    assert sorted(r["order_id"] for r in kept.collect()) == [1, 6]
+    assert c.matches(kept, c.SALES_ORDERS_V2, strict=False)
+    refused = catalog.read_refused(spark, name)
+    row = F.from_json("refused_row", mixed(spark).schema)
+    found = {(r["refused_reason"], r["order_id"]) for r in refused.select("refused_reason", row.alias("r")).select("refused_reason", "r.*").collect()}
+    assert found == {("order_id: unfit", 2.5), ("customer: missing", 3.0), ("amount: unfit", 4.0), ("order_id: missing", None)}
+    back = refused.select(row.alias("r")).select("r.*")
+    assert back.exceptAll(mixed(spark)).isEmpty() and back.count() == 4
+
+
+def test_a_judged_write_reads_its_input_once(spark, namespace):
+    name = judged_table(spark, namespace)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    many = mixed(spark, MIXED * 500).repartition(4)
+    source = many.mapInPandas(counted, many.schema)
+    counts = {r["column_name"]: (r["null_rows"], r["unfit_rows"]) for r in catalog.append_judged(source, name, c.SALES_ORDERS_V2).collect()}
+    assert read.value == 3000
+    assert counts == {"order_id": (500, 500), "customer": (500, 0), "amount": (500, 500), "order_ts": (500, 0)}
+    assert catalog.read_contract(spark, c.SALES_ORDERS_V2, name).count() == 1000
+    assert catalog.read_refused(spark, name).count() == 2000
+
+
+def test_reading_the_contract_opens_no_refused_partition(spark, namespace):
+    name = judged_table(spark, namespace)
+    catalog.append_judged(mixed(spark), name, c.SALES_ORDERS_V2)
+    files = catalog.read_contract(spark, c.SALES_ORDERS_V2, name).select(F.input_file_name().alias("f")).distinct().collect()
+    assert files and all("refused_reason=__HIVE_DEFAULT_PARTITION__" in r["f"] for r in files)
+    days = catalog.read_days(spark, c.SALES_ORDERS_V2, "2024-05-01", "2024-05-02", name)
+    assert days.columns == c.SALES_ORDERS_V2.schema.fieldNames() and days.count() == 2
+    plain = spark.createDataFrame([(7, "g", 3.0, NOON)], "order_id long, customer string, amount double, order_ts timestamp")
+    catalog.append_rows(plain, name, c.SALES_ORDERS_V2)
+    assert catalog.read_contract(spark, c.SALES_ORDERS_V2, name).count() == 3 and catalog.read_refused(spark, name).count() == 4
+
+
+def test_judged_writes_of_clean_refused_and_no_rows(spark, namespace):
+    name = judged_table(spark, namespace)
+    for rows, kept, refused in ((MIXED[:1], 1, 0), (MIXED[1:2], 1, 1), ([], 1, 1)):
+        counts = catalog.append_judged(mixed(spark, rows), name, c.SALES_ORDERS_V2)
+        assert counts.agg(F.sum(F.col("null_rows") + F.col("unfit_rows"))).first()[0] == (refused if rows == MIXED[1:2] else 0)
+        assert catalog.read_contract(spark, c.SALES_ORDERS_V2, name).count() == kept
+        assert catalog.read_refused(spark, name).count() == refused
+    with pytest.raises(ValueError, match="unknown"):
+        catalog.append_judged(mixed(spark).withColumn("more", F.lit(1)), name, c.SALES_ORDERS_V2)
+    plain = f"{namespace}.plain"
+    catalog.apply_contract(spark, c.SALES_ORDERS_V2, plain)
+    with pytest.raises(ValueError, match="keeps no refused rows"):
+        catalog.append_judged(mixed(spark), plain, c.SALES_ORDERS_V2)
+
+
+def test_a_contract_without_days_keeps_refused_rows_too(spark, namespace):
+    name = judged_table(spark, namespace, c.SALES_ORDERS)
+    rows = spark.createDataFrame([(1.0, "a", 1.0), (1.5, "b", 2.0)], "order_id double, customer string, amount double")
+    catalog.append_judged(rows, name, c.SALES_ORDERS)
+    assert [r["order_id"] for r in catalog.read_contract(spark, c.SALES_ORDERS, name).collect()] == [1]
+    assert [r["refused_reason"] for r in catalog.read_refused(spark, name).collect()] == ["order_id: unfit"]
+
+
+# -- days that another table names --------------------------------------------
+
+
+def test_listed_days_open_only_their_partitions(spark, namespace):
+    contract = c.SALES_ORDERS_V3
+    name = f"{namespace}.daily"
+    catalog.apply_contract(spark, contract, name)
+    rows = [(i, float(i), datetime(2024, 5, 1 + i % 20, 3)) for i in range(200)]
+    frame = spark.createDataFrame(rows, "order_id long, amount double, order_ts timestamp")
+    catalog.append_rows(frame, name, contract)
+    days = spark.createDataFrame([(datetime(2024, 5, 3), 9), (datetime(2024, 5, 3), 9), (datetime(2024, 5, 7), 9), (datetime(2024, 6, 1), 9), (None, 9), (datetime(2024, 5, 9), 1)], "at timestamp, n int")
+    found = catalog.read_listed_days(spark, contract, days.filter("n > 5"), "at", name)
+    assert found.columns == contract.schema.fieldNames()
+    assert sorted(r["order_id"] for r in found.collect()) == [i for i in range(200) if i % 20 in (2, 6)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+    # files of other days can be broken without harm
+    place = spark.sql(f"DESCRIBE EXTENDED {name}").filter("col_name = 'Location'").first()["data_type"].removeprefix("file:")
+    for path in glob.glob(f"{place}/order_day=2024-05-1*/*.parquet"):
+        with open(path, "wb") as broken:
+            broken.write(b"x" * 50)
+    spark.catalog.refreshTable(name)
+    assert catalog.read_listed_days(spark, contract, days.filter("n > 5"), "at", name).count() == 20
+    assert catalog.read_listed_days(spark, contract, days.filter("n > 50"), "at", name).count() == 0
