@@ -2,16 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
-
-
-def register_views(spark: SparkSession, folder: str, tables: Iterable[str]) -> None:
-    """Make tables available to ``spark.sql`` under their own names."""
-    for table in tables:
-        scan(spark, folder, table).createOrReplaceTempView(table)

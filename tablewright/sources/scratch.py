@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from uuid import uuid4
 
 from pyspark.sql import SparkSession
@@ -25,8 +26,21 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Drops the namespaces that queries made there, then deletes everything below the root."""
-    for row in spark.sql("SHOW NAMESPACES LIKE 'run_*'").collect():
-        spark.sql(f"DROP NAMESPACE IF EXISTS `{row[0]}` CASCADE")
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Drops the namespaces that are stored below the scratch folders, then deletes those folders.
+
+    A namespace of the caller's stays, whatever its name.
+    """
+    roots = [scratch_root(spark), f"{scratch_root(spark)}-llm"]
+    for row in spark.sql("SHOW NAMESPACES").collect():
+        facts = {r[0]: r[1] for r in spark.sql(f"DESCRIBE NAMESPACE `{row[0]}`").collect()}
+        if any(_below(facts.get("Location", ""), root) for root in roots):
+            spark.sql(f"DROP NAMESPACE IF EXISTS `{row[0]}` CASCADE")
+    for root in roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _below(location: str, root: str) -> bool:
+    """Whether a place lies in a folder; ``file:/x``, ``file:///x`` and ``/x`` are one place."""
+    plain = lambda place: re.sub(r"^file:/*", "/", place).rstrip("/")
+    return plain(location).startswith(f"{plain(root)}/")

@@ -26,3 +26,19 @@ def test_scratch_can_be_dropped(spark):
     drop_scratch(spark)
     spark.range(1).write.parquet(path)  # the folder is free again
     assert scratch_root(spark) in path
+
+
+def test_only_namespaces_of_the_library_are_dropped(spark, tmp_path):
+    spark.sql(f"CREATE NAMESPACE run_reports LOCATION '{tmp_path}/reports'")
+    spark.sql("CREATE TABLE run_reports.t USING parquet AS SELECT 1 AS a")
+    spark.sql(f"CREATE NAMESPACE run_own LOCATION '{scratch_folder(spark, 'tables')}'")
+    left = f"{scratch_root(spark)}-llm/rows-1"
+    spark.range(3).write.parquet(left)
+    try:
+        drop_scratch(spark)
+        names = {r[0] for r in spark.sql("SHOW NAMESPACES").collect()}
+        assert "run_reports" in names and "run_own" not in names
+        assert spark.table("run_reports.t").count() == 1
+        spark.range(1).write.parquet(left)
+    finally:
+        spark.sql("DROP NAMESPACE run_reports CASCADE")
