@@ -45,6 +45,24 @@ ORACLES = {
     "q_totals_double": """
         SELECT l_orderkey AS order_id, ROUND(SUM(l_extendedprice), 2) AS total_amount
         FROM lineitem GROUP BY l_orderkey""",
+    # the values have no bit below 2^-43: as whole numbers of that the sums are exact, and cut
+    # in two that a double holds, so that one addition rounds, once
+    "q_exact_totals": """
+        WITH sums AS (
+            SELECT l_orderkey, SUM(CAST(l_extendedprice * 8796093022208 AS HUGEINT)) AS units
+            FROM lineitem GROUP BY l_orderkey)
+        SELECT l_orderkey AS order_id,
+               (CAST(CAST(units // 4294967296 AS BIGINT) AS DOUBLE) * 4294967296
+                + CAST(CAST(units % 4294967296 AS BIGINT) AS DOUBLE)) / 8796093022208 AS total_amount
+        FROM sums""",
+    "q_exact_total": """
+        WITH sums AS (
+            SELECT l_linestatus, SUM(CAST(l_extendedprice * (1 - l_discount) * 8796093022208 AS HUGEINT)) AS units
+            FROM lineitem GROUP BY l_linestatus)
+        SELECT l_linestatus,
+               (CAST(CAST(units // 4294967296 AS BIGINT) AS DOUBLE) * 4294967296
+                + CAST(CAST(units % 4294967296 AS BIGINT) AS DOUBLE)) / 8796093022208 AS total_paid
+        FROM sums""",
     "q_row_count": """
         SELECT COUNT(*) AS row_count FROM lineitem""",
     "q_total_order": """
@@ -68,6 +86,23 @@ ORACLES = {
         FROM candidate
         UNION ALL SELECT 'amount', COUNT(*) - COUNT(l_extendedprice), 0 FROM candidate
         UNION ALL SELECT 'order_ts', COUNT(*) - COUNT(l_shipdate), 0 FROM candidate""",
+    "q_write_counts": """
+        WITH candidate AS (
+            SELECT o_orderkey + COALESCE(l_discount, 0) AS order_id, l_extendedprice, l_shipdate
+            FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey)
+        SELECT 'order_id' AS column_name, COUNT(*) - COUNT(order_id) AS null_rows,
+               COUNT(*) FILTER (WHERE order_id <> FLOOR(order_id)) AS unfit_rows
+        FROM candidate
+        UNION ALL SELECT 'amount', COUNT(*) - COUNT(l_extendedprice), 0 FROM candidate
+        UNION ALL SELECT 'order_ts', COUNT(*) - COUNT(l_shipdate), 0 FROM candidate""",
+    "q_kept_lines": """
+        SELECT o_orderkey AS order_id, l_extendedprice AS amount, CAST(l_shipdate AS DATE) AS order_day
+        FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_discount = 0""",
+    "q_refused_lines": """
+        SELECT CASE WHEN l_orderkey IS NULL THEN 'amount: missing' ELSE 'order_id: unfit' END AS refused_reason,
+               o_orderkey + COALESCE(l_discount, 0) AS order_id, l_extendedprice AS amount,
+               CAST(l_shipdate AS DATE) AS order_day
+        FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE l_orderkey IS NULL OR l_discount <> 0""",
     "q_namespaces": """
         SELECT TRUE AS namespace_listed, TRUE AS created_first, FALSE AS created_again, TRUE AS table_exists,
                TRUE AS shape_matches, COUNT(*) AS row_count
@@ -84,6 +119,22 @@ ORACLES = {
         SELECT CAST(l_shipdate AS DATE) AS order_day, COUNT(*) AS row_count FROM lineitem
         WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1996-02-01 00:00:00'
         GROUP BY CAST(l_shipdate AS DATE)""",
+    "q_listed_days": """
+        WITH busy AS (
+            SELECT CAST(o_orderdate AS DATE) AS order_day FROM orders WHERE o_orderpriority = '1-URGENT'
+            GROUP BY CAST(o_orderdate AS DATE) HAVING COUNT(*) > 1)
+        SELECT l_orderkey AS order_id, l_extendedprice AS amount, CAST(l_shipdate AS DATE) AS order_day
+        FROM lineitem WHERE CAST(l_shipdate AS DATE) IN (SELECT order_day FROM busy)""",
+    "q_adhoc_relations": """
+        SELECT 'customer' AS table_name, COUNT(*) AS row_count FROM customer
+        UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem
+        UNION ALL SELECT 'orders', COUNT(*) FROM orders""",
+    "q_adhoc_authorised": """
+        SELECT c_mktsegment AS segment, COUNT(*) AS big_orders
+        FROM customer JOIN orders ON c_custkey = o_custkey
+        WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)
+          AND o_orderkey IN (SELECT l_orderkey FROM lineitem)
+        GROUP BY c_mktsegment""",
     "q_file_inventory": "\nUNION ALL ".join(
         f"SELECT '{table}' AS table_name, TRUE AS all_sized, COUNT(*) AS record_count FROM {table}"
         for table in (
@@ -91,6 +142,18 @@ ORACLES = {
             "documents embeddings pages benchmark labels conversations"
         ).split()
     ),
+    "q_empty_files": """
+        WITH files AS (
+            SELECT CAST(0 AS BIGINT) AS record_count
+            UNION ALL SELECT COUNT(*) FROM lineitem GROUP BY l_linenumber)
+        SELECT record_count, COUNT(*) AS files FROM files GROUP BY record_count""",
+    "q_compact_proof": """
+        SELECT o_orderstatus, COUNT(*) AS row_count, TRUE AS unchanged FROM orders GROUP BY o_orderstatus""",
+    "q_changed_rows": """
+        SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice, CAST(-1 AS BIGINT) AS surplus FROM orders
+        WHERE o_orderstatus = 'P' OR (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')
+        UNION ALL
+        SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice + 1, 1 FROM orders WHERE o_orderstatus = 'P'""",
     "q_compact_rows": """
         SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""",
     "q_compact_stats": """
@@ -156,6 +219,15 @@ ORACLES = {
                CASE WHEN g.n_nationkey % 5 = 0 THEN 'modify' ELSE 'select' END AS permission
         FROM customer JOIN nation g ON c_nationkey = g.n_nationkey
         JOIN nation t ON t.n_regionkey = g.n_regionkey AND (g.n_nationkey % 5 = 0 OR t.n_nationkey = g.n_nationkey)""",
+    "q_grant_reach": """
+        WITH held AS (
+            SELECT c_custkey, t.n_name AS table_name,
+                   CASE WHEN g.n_nationkey % 5 = 0 THEN 'modify' ELSE 'select' END AS permission
+            FROM customer JOIN nation g ON c_nationkey = g.n_nationkey
+            JOIN nation t ON t.n_regionkey = g.n_regionkey AND (g.n_nationkey % 5 = 0 OR t.n_nationkey = g.n_nationkey)
+            UNION ALL
+            SELECT o_custkey, n_name, 'select' FROM orders, nation WHERE o_orderstatus = 'F')
+        SELECT table_name, permission, COUNT(DISTINCT c_custkey) AS principals FROM held GROUP BY table_name, permission""",
     "q_access_check": """
         WITH requests AS (
             SELECT o_orderkey AS request_id,

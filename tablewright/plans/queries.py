@@ -32,7 +32,8 @@ from tablewright.plans.inputs import (
     sales_orders,
 )
 from tablewright.sources import catalog
-from tablewright.sources.parquet import register_views, scan
+from tablewright.sources.guarded import authorised, folder_session, read_only, relations_read
+from tablewright.sources.parquet import scan
 from tablewright.sources.scratch import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,8 +104,7 @@ def scan_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def select_all(spark: SparkSession, folder: str) -> DataFrame:
-    register_views(spark, folder, ["conversations"])
-    return spark.sql("SELECT * FROM conversations")
+    return read_only(folder_session(spark, folder, ["conversations"]), "SELECT * FROM conversations")
 
 
 @registered
@@ -201,13 +201,27 @@ def totals(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def totals_double(spark: SparkSession, folder: str) -> DataFrame:
-    register_views(spark, folder, ["lineitem"])
-    return spark.sql(
+    return folder_session(spark, folder, ["lineitem"]).sql(
         "SELECT l_orderkey AS order_id, ROUND(SUM(l_extendedprice), 2) AS total_amount "
         "FROM lineitem GROUP BY l_orderkey"
     )
 
 
+@registered
+def exact_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """The same total as a double, rounded once: whatever order the rows come in."""
+    lines = scan(spark, folder, "lineitem").select(F.col("l_orderkey").alias("order_id"), "l_extendedprice")
+    return relational.exact_sum_by(lines, "order_id", "l_extendedprice", "total_amount")
+
+
+@registered
+def exact_total(spark: SparkSession, folder: str) -> DataFrame:
+    """Per status of the lines, discounted prices with all their bits: few keys that hold all rows."""
+    paid = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    lines = scan(spark, folder, "lineitem").select("l_linestatus", paid.alias("paid"))
+    return relational.exact_sum_by(lines, "l_linestatus", "paid", "total_paid")
+
+
 @registered
 def row_count(spark: SparkSession, folder: str) -> DataFrame:
     return relational.row_count(scan(spark, folder, "lineitem"))
@@ -251,14 +265,49 @@ def violations(spark: SparkSession, folder: str) -> DataFrame:
     Orders without line items have no amount and no time; a number made of order and
     discount has a fraction, which the order's number cannot hold.
     """
+    return contracts.violations(_candidate_lines(spark, folder), DAILY_LINES)
+
+
+def _candidate_lines(spark: SparkSession, folder: str) -> DataFrame:
     orders = scan(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
     lines = scan(spark, folder, "lineitem").select("l_orderkey", "l_discount", "l_extendedprice", "l_shipdate")
-    candidate = orders.join(lines, "l_orderkey", "left").select(
+    return orders.join(lines, "l_orderkey", "left").select(
         (F.col("l_orderkey") + F.coalesce("l_discount", F.lit(0.0))).alias("order_id"),
         F.col("l_extendedprice").alias("amount"),
         F.col("l_shipdate").alias("order_ts"),
     )
-    return contracts.violations(candidate, DAILY_LINES)
+
+
+def _with_day(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("order_day", day_of("order_ts")).drop("order_ts")
+
+
+def _judged_lines(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    """The candidate lines appended to a table that keeps what it refuses, and the counts of that write."""
+    name = f"{_new_namespace(spark)}.daily_lines"
+    catalog.apply_contract(spark, DAILY_LINES, name, keep_refused=True)
+    return name, catalog.append_judged(_candidate_lines(spark, folder), name, DAILY_LINES)
+
+
+@registered
+def write_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The breaches of each rule, counted while kept and refused lines are written."""
+    return _judged_lines(spark, folder)[1]
+
+
+@registered
+def kept_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """What the table of that write holds: the lines that keep every rule."""
+    name, _ = _judged_lines(spark, folder)
+    return _with_day(catalog.read_contract(spark, DAILY_LINES, name))
+
+
+@registered
+def refused_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """What it refused, with the first rule that each line breaks."""
+    name, _ = _judged_lines(spark, folder)
+    row = F.from_json("refused_row", "order_id double, amount double, order_ts timestamp_ntz")
+    return _with_day(catalog.read_refused(spark, name).select("refused_reason", row.alias("row")).select("refused_reason", "row.*"))
 
 
 @registered
@@ -322,6 +371,59 @@ def day_partitions(spark: SparkSession, folder: str) -> DataFrame:
     return month.groupBy(day_of("order_ts").alias("order_day")).agg(F.count(F.lit(1)).alias("row_count"))
 
 
+@registered
+def listed_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items of the days on which more than one urgent order came in."""
+    name = f"{_new_namespace(spark)}.daily_lines"
+    catalog.apply_contract(spark, DAILY_LINES, name)
+    catalog.append_rows(_line_items(spark, folder), name, DAILY_LINES)
+    urgent = scan(spark, folder, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    busy = urgent.groupBy(day_of("o_orderdate").alias("order_day")).agg(F.count(F.lit(1)).alias("orders"))
+    days = busy.filter(F.col("orders") > 1)
+    return _with_day(catalog.read_listed_days(spark, DAILY_LINES, days, "order_day", name))
+
+
+# -- ad-hoc SQL ---------------------------------------------------------------
+
+ADHOC = """
+    WITH big AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders))
+    SELECT c_mktsegment AS segment, COUNT(*) AS big_orders
+    FROM customer JOIN big ON c_custkey = o_custkey
+    WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)
+    GROUP BY c_mktsegment
+"""
+
+
+def _paths(folder: str, tables: list[str]) -> dict[str, str]:
+    """The tables of a folder as paths of the access declarations, by the names that Spark reads them under."""
+    return {f"{folder.rstrip('/')}/{t}.parquet": f"{WAREHOUSE}.sales.{t}" for t in tables}
+
+
+@registered
+def adhoc_relations(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables that a query reads, in a common table expression and in subqueries too, with their rows."""
+    tables = ["customer", "lineitem", "nation", "orders"]
+    own = folder_session(spark, folder, tables)
+    read = [path.rsplit("/", 1)[-1].removesuffix(".parquet") for path in relations_read(read_only(own, ADHOC))]
+    counts = [relational.row_count(scan(spark, folder, t)).select(F.lit(t).alias("table_name"), "row_count") for t in read]
+    return reduce(DataFrame.unionAll, counts)
+
+
+@registered
+def adhoc_authorised(spark: SparkSession, folder: str) -> DataFrame:
+    """A query by a member of the nation whose group may modify the whole namespace."""
+    tables = ["customer", "lineitem", "orders"]
+    own = folder_session(spark, folder, tables)
+    names = {f"file:{path}" if path.startswith("/") else path: name for path, name in _paths(folder, tables).items()}
+    grants = scan(own, folder, "nation").select(
+        F.col("n_name").alias("group_name"),
+        F.lit("namespace").alias("resource_type"),
+        F.lit(f"{WAREHOUSE}.sales").alias("resource_path"),
+        F.lit("modify").alias("permission"),
+    )
+    return authorised(own, ADHOC, "email", 1, grants, customer_groups(own, folder), names)
+
+
 # -- files, compaction, history -----------------------------------------------
 
 
@@ -329,15 +431,27 @@ def day_partitions(spark: SparkSession, folder: str) -> DataFrame:
 def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of every table by its data files, and whether all files have a size."""
 
-    scans = [
-        scan(spark, folder, table).select(F.lit(table).alias("table_name"), "_metadata") for table in TABLES
-    ]
-    files = maintenance.file_inventory(reduce(DataFrame.unionAll, scans), "table_name")
+    paths = {table: f"{folder.rstrip('/')}/{table}.parquet" for table in TABLES}
+    scans = [scan(spark, folder, table).select("_metadata") for table in TABLES]
+    listings = [maintenance.file_listing(spark, path).withColumn("table_name", F.lit(table)) for table, path in paths.items()]
+    files = maintenance.file_inventory(
+        reduce(DataFrame.unionAll, scans), "table_name", listing=reduce(DataFrame.unionAll, listings)
+    )
     return files.groupBy("table_name").agg(
         F.min(F.col("file_size_in_bytes") > 0).alias("all_sized"), F.sum("record_count").alias("record_count")
     )
 
 
+@registered
+def empty_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files by their rows: line items written by line number, of which there is no 0, so one file is empty."""
+    path = scratch_folder(spark, "lines")
+    lines = scan(spark, folder, "lineitem").select("l_orderkey", "l_linenumber")
+    lines.repartitionById(8, F.col("l_linenumber")).write.parquet(path)
+    files = maintenance.file_inventory(spark.read.schema(lines.schema).parquet(path), listing=maintenance.file_listing(spark, path))
+    return files.groupBy("record_count").agg(F.count(F.lit(1)).alias("files"))
+
+
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]  # and the rest
 BATCHES = len(PRIORITIES) + 1
 
@@ -367,7 +481,7 @@ def compact_stats(spark: SparkSession, folder: str) -> DataFrame:
     result = maintenance.compact(spark, root)
     before = maintenance.read_state(spark, root, BATCHES)
     after = maintenance.read_state(spark, root)
-    changed = maintenance.row_differences(before, after)
+    changed = maintenance.table_differences(before, after)
     fewer = F.col("rewritten_data_files_count") > F.col("added_data_files_count")
     numbers = [
         result.select(F.lit("fewer files"), fewer.cast("long")),
@@ -393,6 +507,30 @@ def compact_partitions(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("o_orderstatus", "before_rows", "after_rows", fewer)
 
 
+@registered
+def compact_proof(spark: SparkSession, folder: str) -> DataFrame:
+    """Per partition, whether a compaction left the sums of two row hashes as they were."""
+    root = _orders_in_batches(spark, folder, ["o_orderstatus"])
+    maintenance.compact(spark, root)
+    before, after = (
+        maintenance.fingerprint(maintenance.read_state(spark, root, run), "o_orderstatus") for run in (BATCHES, None)
+    )
+    same = (before["rows"] == after["rows"]) & (before["sum_a"] == after["sum_a"]) & (before["sum_b"] == after["sum_b"])
+    return before.join(after, before["o_orderstatus"].eqNullSafe(after["o_orderstatus"])).select(
+        before["o_orderstatus"], before["rows"].alias("row_count"), same.alias("unchanged")
+    )
+
+
+@registered
+def changed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What became of the orders when pending ones cost more and urgent finished ones went: found by fingerprints."""
+    before = scan(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    gone = (F.col("o_orderstatus") == "F") & (F.col("o_orderpriority") == "1-URGENT")
+    price = F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    after = before.filter(~gone).withColumn("o_totalprice", price)
+    return maintenance.table_differences(before, after, "o_orderstatus")
+
+
 @registered
 def history(spark: SparkSession, folder: str) -> DataFrame:
     """The runs of a table with its rows after each, and whether a run left it more files."""
@@ -504,6 +642,32 @@ def effective_access(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@registered
+def grant_reach(spark: SparkSession, folder: str) -> DataFrame:
+    """Principals per table and permission, those of q_effective_access, counted by bitmaps.
+
+    Customers with a finished order are in a group for all of them too, and that group
+    reads every table.
+    """
+    finished = scan(spark, folder, "orders").filter(F.col("o_orderstatus") == "F")
+    also = finished.select(F.lit("finished").alias("group_name"), F.lit("email").alias("kind"), F.col("o_custkey").alias("principal"))
+    everywhere = spark.range(1).select(
+        F.lit("finished").alias("group_name"),
+        F.lit("warehouse").alias("resource_type"),
+        F.lit(WAREHOUSE).alias("resource_path"),
+        F.lit("select").alias("permission"),
+    )
+    members = customer_groups(spark, folder).unionByName(also)
+    path = scratch_folder(spark, "numbers")
+    access.numbered_members(members).write.parquet(path)
+    reach = access.grant_reach(
+        nation_tables(spark, folder).select("table_path"),
+        nation_grants(spark, folder).unionByName(misplaced_grants(spark, folder)).unionByName(everywhere),
+        access.member_bitmaps(spark.read.parquet(path)),
+    )
+    return reach.select(leaf_name("table_path").alias("table_name"), "permission", "principals")
+
+
 @registered
 def access_check(spark: SparkSession, folder: str) -> DataFrame:
     """Each order asks for one nation's table, its status says what for.
