@@ -6,60 +6,60 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, jaccard, packing, secrets, simhash, toxicity
-from tablewright.llm.queries import TOXIC, WORD_BPE, toxicity_model
+from tablewright.llm import exact_dedup, packing, secrets, simhash, toxicity
+from tablewright.llm.queries import RADIUS, SHINGLE, SIMHASH_PARTS, TOXIC, WORD_BPE, toxicity_model
 from tablewright.llm.shared import stored
 from tablewright.sources.parquet import scan
 
-ROW = "_pipeline_row"
 SECRET = "[secret]"
-# shingles of five words, of which 80 % must be shared; fingerprints of 256 bits only
-# propose links, jaccard checks them and finds the rest
-SHINGLE, WORDS, RADIUS = 5, 4, 44
-KEYS = simhash.drawn(count=48, size=16, bits=64 * WORDS)
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """Rows with a number of their own that every later read repeats."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    """``row``, all columns as one so that no name meets another, and ``id``, which every later read repeats."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return stored(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("id")), "rows")
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Rows whose text scores below the threshold; labels are learned from rows that remain."""
+    """Rows whose text scores below the threshold; learned from the labelled rows of ``docs``.
+
+    NULL and empty texts score as texts without a sign; repeated rows stay or go together.
+    """
     return toxicity.below(docs, toxicity_model(spark, folder, docs), TOXIC)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One row of each group of equal texts."""
+    """One row of each group of texts that are equal without white space: the longest, then the smallest doc_id, then one of them.
+
+    NULL texts are equal to empty ones; a NULL doc_id comes after all others.
+    """
     rows = _numbered(docs)
-    verdict = exact_dedup.duplicates(rows, carry=[ROW])
-    return rows.join(verdict.filter(~F.col("kept")).select(ROW), ROW, "left_anti").drop(ROW)
+    verdict = exact_dedup.duplicates(rows.select("row.doc_id", "row.text", "id"), carry=["id"])
+    return rows.join(verdict.filter(~F.col("kept")).select("id"), "id", "left_anti").select("row.*")
 
 
 def distinct_fingerprints(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One row of each class of near-duplicates: the smallest doc_id, then the first row.
+    """One row of each class of fingerprints that are linked: the smallest doc_id (NULL after all others), then the first row.
 
-    Texts are linked that share 80 % of their shingles, all of them and no others.
+    Shingles and bit distance are those of op6. Texts without words, NULL among them, are
+    of one class.
     """
     rows = _numbered(docs)
-    nodes = jaccard.set_nodes(rows, ROW, SHINGLE)
-    texts = rows.select(F.col(ROW).alias("node"), "doc_id", "text").join(nodes.select("node").distinct(), "node")
-    marked = simhash.fingerprints(texts, shingle=SHINGLE, words=WORDS, carry=["node"])
-    proposed = stored(simhash.proposals(stored(marked, "marked"), RADIUS, KEYS), "proposed")
-    roots = jaccard.classes(texts, proposed, SHINGLE)
-    classes = nodes.join(roots, "node", "left").select(ROW, F.coalesce("root", "node").alias("root"))
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("best")
-    kept = rows.select("doc_id", ROW).join(classes, ROW).groupBy("root").agg(best).select(F.col(f"best.{ROW}").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").drop(ROW)
+    marked = simhash.fingerprints(rows.select("row.doc_id", "row.text", "id"), shingle=SHINGLE, carry=["id"])
+    keys = simhash.all_within(radius=RADIUS, parts=SIMHASH_PARTS)
+    classes = stored(simhash.near_duplicates(marked, radius=RADIUS, keys=keys, own_id="id"), "classes")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("best")
+    kept = classes.groupBy("component_id").agg(best).select(F.col("best.id").alias("id"))
+    return rows.join(kept.hint("shuffle_hash"), "id", "left_semi").select("row.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All rows, with every secret replaced by a mark; n_chars follows the text."""
+    """All rows, with every secret replaced by a mark; n_chars follows the text. NULL stays NULL."""
     return secrets.mask_secrets(docs, secrets.learn(docs), SECRET)
 
 
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens; NULL texts are empty documents."""
     return packing.pack(docs, public_tokenizers.path(WORD_BPE), end_id=1, window=2048)
 
 
