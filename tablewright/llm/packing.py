@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from tablewright.llm.token_ids import encoder
 
 K1, B = 1.2, 0.75
 SHARD_TOKENS = 1_000_000
+SIGNS, RUN = 2, 6  # samples by which documents are sorted, and ids in a run
 CUTS = "doc_id bigint, start bigint, doc_tokens bigint, length bigint, ids binary"
 PIECES = "doc_id bigint, start bigint, doc_tokens bigint, length bigint, sequence_id bigint, offset bigint, ids binary"
 
@@ -23,13 +25,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int, shard_tokens
 
     A document's ids end with ``end_id``. Every full window's worth of them is a
     sequence of its own. What is left of each document, shorter than a window, is
-    packed: documents are dealt evenly over shards, each shard builds an inverted
-    index with BM25 weights, and a seed document takes its best unused neighbours
-    until its window is full. The last neighbour is cut where the window ends; what
-    remains of it is the next seed. What a shard has left at the end is cut into
-    powers of two, so there is no padding. Document frequencies and the mean length
-    cover all that is packed, over all shards; they are one number per token id, so
-    the vocabulary bounds them.
+    packed: documents are sorted over the cluster by samples of their terms
+    (:func:`_signature`), so that those which share much stand together, and cut into
+    shards of about ``shard_tokens``. Each shard builds an inverted index with BM25
+    weights, and a seed document takes its best unused neighbours until its window is
+    full. The last neighbour is cut where the window ends; what remains of it is the next
+    seed. What a shard has left at the end is cut into powers of two, so there is no
+    padding. Document frequencies and the mean length cover all that is packed, over all
+    shards; they are one number per token id, so the vocabulary bounds them. A group of
+    copies of any size is cut over as many shards as it fills.
 
     One row per piece: ``doc_id, start`` (the document's ids before it), ``doc_tokens,
     length, sequence_id, offset`` (ids before it in the sequence), ``ids`` (4 bytes
@@ -58,11 +62,23 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int, shard_tokens
     idf = np.log((count - frequencies + 0.5) / (frequencies + 0.5))
     mean = tokens / count
 
-    def packed(shard: pa.Table) -> pa.Table:
-        return _packed(shard, idf, mean, window)
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = _signature(*_arrays(batch.column("ids")), idf)
+            columns = [*batch.columns, *[pa.array(signs[:, i]) for i in range(SIGNS)]]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *signed_by])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            number = TaskContext.get().partitionId()
+            yield from _packed(pa.Table.from_batches(held), number, idf, mean, window).to_batches()
 
-    dealt = rest.withColumn("shard", F.pmod(F.xxhash64(row), F.lit(shards)))
-    return alone.unionAll(dealt.groupBy("shard").applyInArrow(packed, PIECES))
+    signed_by = [f"sign{i}" for i in range(SIGNS)]
+    marked = rest.mapInArrow(signed, CUTS + "".join(f", {name} bigint" for name in signed_by))
+    # stored, because the ranges are found by a look at all rows before
+    dealt = stored(marked.withColumn("row", row), "signed").repartitionByRange(shards, *signed_by, "row")
+    return alone.unionAll(dealt.select(*[name.split()[0] for name in CUTS.split(", ")]).mapInArrow(packed, PIECES))
 
 
 def _cut(part: pa.RecordBatch, tokenizer: str, end_id: int, window: int) -> pa.RecordBatch:
@@ -111,11 +127,48 @@ def _statistics(rest: DataFrame) -> tuple[np.ndarray, int, int]:
     return frequencies, rows, tokens
 
 
-def _packed(shard: pa.Table, idf: np.ndarray, mean: float, window: int) -> pa.Table:
+def _signature(ids: np.ndarray, lengths: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Two samples of what each document holds: a term, and a run of ``RUN`` ids.
+
+    Two documents agree on a sample as often as they share what it is drawn from, because
+    it is that whose hash is least after division by its weight. Rare terms weigh more, so
+    the first sample brings documents on one subject together, and common terms, of a
+    weight below 0, are not drawn; the second brings near copies together among them.
+    -1 where there is nothing to draw.
+    """
+    owners = np.repeat(np.arange(len(lengths)), lengths)
+    terms = ids.astype(np.int64)
+    runs = terms.copy()
+    for ahead in range(1, RUN):
+        follows = np.zeros_like(terms)
+        follows[: max(len(terms) - ahead, 0)] = terms[ahead:] + 1
+        follows[: max(len(terms) - ahead, 0)][owners[ahead:] != owners[: max(len(terms) - ahead, 0)]] = 0
+        runs = (runs * 1_000_003) ^ follows
+    drawn = [_least(terms, owners, np.maximum(idf, 0.0)[ids] ** 3, len(lengths)), _least(runs, owners, np.ones(len(ids)), len(lengths))]
+    return np.stack(drawn, axis=1)
+
+
+def _least(things: np.ndarray, owners: np.ndarray, weights: np.ndarray, count: int) -> np.ndarray:
+    """Of each owner's things the one of least hash by weight."""
+    held = weights > 0
+    things, owners, weights = things[held], owners[held], weights[held]
+    mixed = things.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    chance = ((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) + 0.5
+    cost = -np.log(chance / 2.0**53) / weights
+    found = np.full(count, -1, np.int64)
+    if len(owners):
+        starts = np.flatnonzero(np.diff(owners, prepend=-1))
+        least = np.minimum.reduceat(cost, starts)
+        at = np.flatnonzero(cost == np.repeat(least, np.diff(np.append(starts, len(owners)))))
+        found[owners[at]] = things[at]
+    return found
+
+
+def _packed(shard: pa.Table, number: int, idf: np.ndarray, mean: float, window: int) -> pa.Table:
     """Greedy windows over one shard."""
     shard = shard.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("length", "ascending"), ("ids", "ascending")])
     ids, lengths = _arrays(shard.column("ids"))
-    number = shard.column("shard")[0].as_py()
     first = bounds(lengths)
     terms, owners, weights = _weights(ids, lengths, idf, mean)
     by_term = np.argsort(terms, kind="stable")
