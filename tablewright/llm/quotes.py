@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tablewright.llm.shared import schema_of, stored, text_or_empty, text_slices
 
 MARK = re.compile(r"\s*((?:>\s?)+)")
-LEAST = 3  # letters and digits; shorter passages point to no message
+SENTENCE = re.compile(r"""(?<=[.!?…])["'”’»)\]]*\s+|(?<=[。！？])""")
 MESSAGE = ["conv_id", "turn"]
 PASSAGES = "level int, letters bigint, hash string"
 
@@ -52,9 +52,15 @@ def _hashed(passage: str) -> tuple[int, str]:
     return len(plain), hashlib.sha256(plain.encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def _sentences(passage: str) -> list[str]:
+    """The sentences of each paragraph, whose lines are joined: however they are wrapped."""
+    paragraphs = re.split(r"\n\s*\n", passage)
+    return [x for paragraph in paragraphs for x in SENTENCE.split(" ".join(paragraph.split("\n")))]
+
+
 def _units(passage: str) -> list[str]:
-    """What may be quoted of a passage: all of it, its paragraphs, its lines."""
-    return [passage, *re.split(r"\n\s*\n", passage), *passage.split("\n")]
+    """What may be quoted of a passage: all of it, its paragraphs, its lines, its sentences."""
+    return [passage, *re.split(r"\n\s*\n", passage), *passage.split("\n"), *_sentences(passage)]
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -64,12 +70,14 @@ def link(messages: DataFrame) -> DataFrame:
     text`` (the quotes taken out), ``n_quotes`` (quoted passages), ``reply_to`` (a turn,
     NULL for none), ``root`` and ``depth`` (first message of its thread, and steps to it).
 
-    Quoted passages, and what each message says itself (whole, by paragraph, by line),
-    are normalised and hashed; a passage's origin is the earliest message of its
-    conversation that says it. A passage nowhere found whole is looked up by its lines.
-    A message answers the origin of most of its quoted letters on the outermost level
-    that has any, the latest of equals; only earlier turns count. Sorted by conv_id,
-    root, depth and turn, a conversation reads in reply order.
+    Quoted passages, and what each message says itself (whole, by paragraph, by line, by
+    sentence), are normalised and hashed; a passage's origin is the earliest message of
+    its conversation that says it. A passage nowhere found whole is looked up by its
+    lines and by its sentences, which a new wrapping leaves as they are; of an origin
+    that both find the way counts that finds more letters. Passages of any length count
+    that have a letter or digit. A message answers the origin of most of its quoted
+    letters on the outermost level that has any, the latest of equals; only earlier turns
+    count. Sorted by conv_id, root, depth and turn, a conversation reads in reply order.
 
     NULL text counts as empty. Rows that repeat conv_id and turn say what all of them
     say and get one answer each. Messages without conv_id or turn are kept, unlinked.
@@ -87,7 +95,7 @@ def link(messages: DataFrame) -> DataFrame:
                 body, passages = parse(text)
                 bodies.append(body)
                 counts.append(len(passages))
-                said.append([h for n, h in dict.fromkeys(map(_hashed, _units(body))) if n >= LEAST])
+                said.append([h for n, h in dict.fromkeys(map(_hashed, _units(body))) if n])
                 quoted.append([_quote(level, p) for level, p in passages])
             columns = [pa.array(bodies), pa.array(counts, pa.int64()), pa.array(said, pa.list_(pa.string())), pa.array(quoted, QUOTED)]
             yield pa.record_batch([*map(part.column, kept), *columns], [*kept, "text", "n_quotes", "said", "quoted"])
@@ -95,7 +103,7 @@ def link(messages: DataFrame) -> DataFrame:
     passage = f"struct<{PASSAGES.replace(' ', ':').replace(',:', ',')}>"
     schema = (
         f"{schema_of(messages, *kept)}, text string, n_quotes bigint, said array<string>, "
-        f"quoted array<struct<whole:{passage}, lines:array<{passage}>>>"
+        f"quoted array<struct<whole:{passage}, lines:array<{passage}>, sentences:array<{passage}>>>"
     )
     read = stored(rows.mapInArrow(parsed, schema), "messages")
     placed = read.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
@@ -112,7 +120,7 @@ def link(messages: DataFrame) -> DataFrame:
 
 
 HASHED = pa.struct([("level", pa.int32()), ("letters", pa.int64()), ("hash", pa.string())])
-QUOTED = pa.list_(pa.struct([("whole", HASHED), ("lines", pa.list_(HASHED))]))
+QUOTED = pa.list_(pa.struct([("whole", HASHED), ("lines", pa.list_(HASHED)), ("sentences", pa.list_(HASHED))]))
 
 
 def _quote(level: int, passage: str) -> dict:
@@ -120,14 +128,14 @@ def _quote(level: int, passage: str) -> dict:
         letters, digest = _hashed(text)
         return {"level": level, "letters": letters, "hash": digest}
 
-    lines = [h for h in map(hashed, passage.split("\n")) if h["letters"] >= LEAST]
-    return {"whole": hashed(passage), "lines": lines}
+    lines, sentences = ([h for h in map(hashed, parts) if h["letters"]] for parts in (passage.split("\n"), _sentences(passage)))
+    return {"whole": hashed(passage), "lines": lines, "sentences": sentences}
 
 
 def _origins(placed: DataFrame, asked: DataFrame) -> DataFrame:
     """``conv_id, hash, origin``: the earliest turn that says each passage that someone quotes."""
     wanted = asked.select(
-        "conv_id", F.explode(F.concat(F.array("quote.whole"), "quote.lines")).alias("passage")
+        "conv_id", F.explode(F.concat(F.array("quote.whole"), "quote.lines", "quote.sentences")).alias("passage")
     ).select("conv_id", F.col("passage.hash").alias("hash"))
     said = placed.select(*MESSAGE, F.explode("said").alias("hash"))
     first = said.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
@@ -136,17 +144,20 @@ def _origins(placed: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _answers(asked: DataFrame, origins: DataFrame) -> DataFrame:
     """``conv_id, turn, reply_to`` of the messages that answer another."""
-    whole = asked.select(*MESSAGE, "place", F.col("quote.whole").alias("p"), F.col("quote.lines").alias("lines"))
+    whole = asked.select(*MESSAGE, "place", F.col("quote.whole").alias("p"), "quote.lines", "quote.sentences")
     known = origins.withColumnRenamed("hash", "known")
     met = stored(
         whole.withColumn("known", F.col("p.hash")).join(known, ["conv_id", "known"], "left").drop("known"), "whole"
     )
-    by_line = met.filter("origin IS NULL").select(*MESSAGE, F.explode("lines").alias("p"))
-    lines = by_line.withColumn("known", F.col("p.hash")).join(known, ["conv_id", "known"])
-    found = met.filter("origin IS NOT NULL").select(*MESSAGE, "p", "origin").unionByName(lines.select(*MESSAGE, "p", "origin"))
-    sums = found.filter("origin < turn").groupBy(*MESSAGE, F.col("p.level").alias("level"), "origin").agg(
-        F.sum("p.letters").alias("letters")
-    )
+    passage = [*MESSAGE, "place", "origin", F.col("p.level").alias("level")]
+    unmet = met.filter("origin IS NULL").drop("origin")
+    parts = F.array(*[F.struct(F.lit(way).alias("way"), F.col(way).alias("of")) for way in ("lines", "sentences")])
+    by_way = unmet.select(*MESSAGE, "place", F.inline(parts)).select(*MESSAGE, "place", "way", F.explode("of").alias("p"))
+    in_part = by_way.withColumn("known", F.col("p.hash")).join(known, ["conv_id", "known"]).filter("origin < turn")
+    ways = in_part.groupBy(*passage, "way").agg(F.sum("p.letters").alias("letters"))
+    most = ways.groupBy(*MESSAGE, "place", "origin", "level").agg(F.max("letters").alias("letters"))
+    found = met.filter("origin < turn").select(*passage, F.col("p.letters").alias("letters")).unionByName(most)
+    sums = found.groupBy(*MESSAGE, "level", "origin").agg(F.sum("letters").alias("letters"))
     best = F.max(F.struct((-F.col("level")).alias("outer"), "letters", "origin")).alias("best")
     return sums.groupBy(*MESSAGE).agg(best).select(*MESSAGE, F.col("best.origin").alias("reply_to"))
 
