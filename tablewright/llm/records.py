@@ -45,12 +45,13 @@ def write_records(
     ``data`` holds record files in ascending doc_id order, file by file and within
     each; ``index`` has one row per record. NULL text counts as empty and gives the
     end id alone; a NULL doc_id comes first and is kept as NULL; repeated ids stand
-    side by side in the order of their texts. Other columns are not looked at. An
-    empty table gives no records.
+    side by side, and a doc_id that many rows have is cut over files. Other columns are
+    not looked at. An empty table gives no records.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
-    ordered = rows.repartitionByRange(max(1, -(-size * 2 // file_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    among = [F.substring("text", 1, 32), F.monotonically_increasing_id()]
+    ordered = rows.repartitionByRange(max(1, -(-size * 2 // file_bytes)), "doc_id", *among).sortWithinPartitions("doc_id", "text")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
@@ -159,20 +160,46 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
 def read_shuffled(spark: SparkSession, folder: str, seed: int) -> DataFrame:
     """``doc_id, ids`` of all records in an order drawn by ``seed``.
 
-    The index is put in random order file by file, and each file is opened once per task.
+    The index says where each record is. Its rows of a file are put in random order and
+    the frames fetched at their offsets, each with its lengths and checksums verified; no
+    frame is looked for. A file's rows of the index are bounded as the file is. What the
+    files give is then put in one random order.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/data")
     number = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^part-(\d+)", 1).cast("int")
+    places = F.collect_list(F.struct("offset", "frame_bytes", "doc_id")).alias("places")
+    wanted = spark.read.schema(INDEX).parquet(f"{folder}/index").groupBy("file").agg(places)
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, content in zip(batch.column("file").to_pylist(), batch.column("content")):
-                data = content.as_py()
-                rows = _parsed(number, np.frombuffer(data, np.uint8))
-                order = np.random.default_rng([seed, number]).permutation(rows.num_rows)
-                at, size = rows.column("offset").to_pylist(), rows.column("frame_bytes").to_pylist()
-                ids = [_ids(data[at[i] + HEAD : at[i] + size[i] - TAIL]) for i in order]
-                yield pa.record_batch([rows.column("doc_id").take(pa.array(order)), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
-
-    read = files.select(number.alias("file"), "content").mapInArrow(drawn, "doc_id bigint, ids array<bigint>")
-    return read.orderBy(F.rand(seed))
+            for number, content, places in zip(batch.column("file").to_pylist(), batch.column("content"), batch.column("places")):
+                data, rows = content.as_buffer(), places.values
+                at, sizes = (rows.field(name).to_numpy() for name in ("offset", "frame_bytes"))
+                by_place = np.argsort(at)
+                order = by_place[np.random.default_rng([seed, number]).permutation(len(at))]
+                ids = _frames(number, np.frombuffer(data, np.uint8), at[order], sizes[order])
+                yield pa.record_batch([rows.field("doc_id").take(pa.array(order)), ids], ["doc_id", "ids"])
+
+    read = files.select(number.alias("file"), "content").join(wanted, "file")
+    return read.mapInArrow(drawn, "doc_id bigint, ids array<bigint>").orderBy(F.rand(seed))
+
+
+def _frames(number: int, data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The ids of the records at these places, in their order."""
+    lengths = sizes - HEAD - TAIL
+    outside = (at < 0) | (lengths < PREFIX) | (at + sizes > len(data))
+    if outside.any():
+        raise ValueError(f"file {number}: no whole record at byte {at[np.flatnonzero(outside)[0]]}")
+
+    def held(where: np.ndarray, kind: str) -> np.ndarray:
+        return data[where[:, None] + np.arange(np.dtype(kind).itemsize)].view(kind).reshape(-1)
+
+    wrong = held(at, "<u8") != lengths.astype(np.uint64)
+    wrong |= held(at + 8, "<u4") != masked(crc32c(data, at, np.full(len(at), 8)))
+    wrong |= held(at + HEAD + lengths, "<u4") != masked(crc32c(data, at + HEAD, lengths))
+    if wrong.any():
+        raise ValueError(f"file {number}: wrong checksum at byte {at[np.flatnonzero(wrong)[0]]}")
+    raw = data.data
+    ids = [_ids(raw[a + HEAD : a + HEAD + n]) for a, n in zip(at.tolist(), lengths.tolist())]
+    ends = pa.array(bounds(np.array([len(i) for i in ids], np.int64)), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)))
