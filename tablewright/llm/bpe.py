@@ -18,7 +18,8 @@ from tablewright.llm.token_ids import byte_letters
 
 # the tokenizer family's fixed rule for cutting a text into words
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MAX_WORDS = 600_000
+MAX_WORDS, MAX_IDS = 600_000, 4_000_000  # that a task remembers
+BLOCK_BYTES = 1 << 20  # of words, each filled up to its width, whose trees stand side by side
 LONG = 256  # bytes; longer words have a tree of their own
 NEVER = np.int64(1) << 62
 
@@ -63,7 +64,7 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the bounds of each text's ids."""
-        if len(self.known) > MAX_WORDS:
+        if len(self.known) > MAX_WORDS or len(self.flat) > MAX_IDS:
             self._forget()
         words, counts = [], []
         for text in texts:
@@ -92,8 +93,9 @@ class Bpe:
         width = 1
         while width <= LONG:
             rows = np.flatnonzero((sizes > width // 2) & (sizes <= width))
-            for k in range(0, len(rows), 65_536):
-                chosen = rows[k : k + 65_536]
+            step = max(BLOCK_BYTES // width, 1)
+            for k in range(0, len(rows), step):
+                chosen = rows[k : k + step]
                 ids, ends = self._merge_many([raw[i] for i in chosen], width)
                 for i, a, b in zip(chosen.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
                     encoded[i] = ids[a:b]
