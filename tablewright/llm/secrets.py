@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import re
 import string
 import zlib
@@ -11,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.shared import bounds, schema_of, text_or_empty, text_slices
+from tablewright.llm.shared import bounds, schema_of, stored, text_or_empty, text_slices
 
 # fixed patterns: what counts as a secret in any case, and the least length
 ASSIGN = re.compile(
@@ -107,38 +110,55 @@ class Crf:
 
 
 def learn(docs: DataFrame, fit_windows: int = FIT_WINDOWS) -> Crf:
-    """A CRF that has learned from the fixed patterns where secrets stand.
+    """A CRF that has learned from the fixed patterns where secrets stand, and not by their names alone.
 
     Windows of tokens around every match of ``docs(text)``, and around places without
-    one, are cut where the text is. At most ``fit_windows`` of either sort, in the order
-    of a hash, reach the driver and are fitted there by conditional likelihood; a
-    window is bounded, so the sample is. Features are hashed to FEATURES numbers.
-    Without any match the model tags nothing.
+    one, are cut where the text is; a text offers one of its places without a match for
+    each ``EVERY`` steps of ``STEP`` characters, on average. Around half of the matches the
+    word that names the secret gives way to another word of the window, so that what
+    stands in the place of a secret and looks like one is learned too. At most
+    ``fit_windows`` of either sort, in the order of a hash, reach the driver and are
+    fitted there by conditional likelihood. A task passes on no more than that, and
+    copies of a window are one. Features are hashed to FEATURES numbers. Without any
+    match the model tags nothing.
     """
     rows = docs.select(text_or_empty().alias("text"))
     schema = "hash bigint, secret boolean, tags array<int>, features array<array<int>>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, dict[int, tuple]] = {True: {}, False: {}}
         for part in text_slices(batches, "text"):
-            found = [w for text in part.column("text").to_pylist() for w in _windows(text)]
-            if found:
-                columns = [pa.array(c, t) for c, t in zip(zip(*found), WINDOW_TYPES)]
-                yield pa.record_batch(columns, ["hash", "secret", "tags", "features"])
-
-    windows = rows.mapInArrow(cut, schema)
+            for text in part.column("text").to_pylist():
+                for window in _windows(text):
+                    held[window[1]][window[0]] = window
+            for secret, found in held.items():
+                if len(found) > 2 * fit_windows:
+                    held[secret] = {h: found[h] for h in sorted(found)[:fit_windows]}
+        best = [found[h] for found in held.values() for h in sorted(found)[:fit_windows]]
+        if best:
+            columns = [pa.array(c, t) for c, t in zip(zip(*best), WINDOW_TYPES)]
+            yield pa.record_batch(columns, ["hash", "secret", "tags", "features"])
+
+    windows = stored(rows.mapInArrow(cut, schema), "windows").dropDuplicates(["hash", "secret"])
     pick = lambda secret: windows.filter(F.col("secret") == secret).orderBy("hash").limit(fit_windows)
     sample = pick(True).unionAll(pick(False)).toArrow()
     return _fitted(sample.column("tags").to_pylist(), sample.column("features").to_pylist())
 
 
 WINDOW_TYPES = (pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())))
-EVERY = 64  # of places without a match, one in so many is offered
+STEP, EVERY = 2048, 64  # where places without a match may be, and how many of them are offered
 
 
 def _windows(text: str) -> list[tuple]:
+    """``hash, secret, tags, features`` of a text's windows; the hash is that of words and tags."""
     spans = base_spans(text)
+    file = _file_signs(text)
     places = [m.start(2) if kind == "assign" and (m := ASSIGN.match(text, start)) else start for kind, start, _ in spans]
-    offered = [i for i in range(0, len(text), 2048) if zlib.crc32(text[i : i + 64].encode()) % EVERY == 0]
+    values = [(max(start, p), end) for (_, start, end), p in zip(spans, places)]
+    offered = [i for i in range(0, len(text), STEP) if zlib.crc32(text[i : i + 64].encode()) % EVERY == 0]
+    order = np.argsort([a for a, _ in values], kind="stable").tolist()
+    starts = [values[i][0] for i in order]
+    furthest = list(itertools.accumulate((values[i][1] for i in order), max))
     out = []
     for place, secret in [(p, True) for p in places] + [(p, False) for p in offered]:
         first = max(0, place - 16 * WINDOW)
@@ -147,18 +167,29 @@ def _windows(text: str) -> list[tuple]:
         tokens = tokens[max(0, middle - WINDOW) : middle + WINDOW]
         if not tokens:
             continue
-        values = [(max(start, p), end) for (_, start, end), p in zip(spans, places)]
         tags, within = [], False
         for start, end in tokens:
-            hit = any(start < b and a < end for a, b in values)
+            before = bisect.bisect_left(starts, end)  # values that begin before the token ends
+            hit = before > 0 and furthest[before - 1] > start
             tags.append((I if within else B) if hit else O)
             within = hit
         words = [text[a:b] for a, b in tokens]
-        hashed = zlib.crc32(" ".join(words).encode())
-        out.append((hashed, secret, tags, [list(f) for f in _features(words, _file_signs(text))]))
+        mark = xxhash.xxh3_64_intdigest(f"{' '.join(words)} {tags}".encode())
+        if secret and mark % 2:
+            words = _unnamed(words, tags, mark)
+        out.append((mark - (mark >> 63 << 64), secret, tags, [list(f) for f in _features(words, file)]))
     return out
 
 
+NAMES = re.compile(r"(?ai)password|passwd|secret|token|api_?key")
+
+
+def _unnamed(words: list[str], tags: list[int], mark: int) -> list[str]:
+    """The words with another of them in the place of each name of a secret."""
+    others = [w for w, tag in zip(words, tags) if tag == O and w[0].isalpha() and not NAMES.search(w)] or ["x"]
+    return [others[(mark + i) % len(others)] if tag == O and NAMES.search(w) else w for i, (w, tag) in enumerate(zip(words, tags))]
+
+
 def _features(words: list[str], file: tuple[int, ...]) -> list[tuple[int, ...]]:
     signs = [_signs(w) for w in words]
     return [
@@ -274,12 +305,15 @@ class Tagger:
         open_ = np.flatnonzero(scores[:, O] - scores[:, 1:].max(1) <= self.spread)
         owner = np.repeat(np.arange(len(texts)), counts)
         apart = np.flatnonzero((np.diff(open_) > 1) | (np.diff(owner[open_]) > 0)) + 1
+        placed, starts_of = -1, np.zeros(0, np.int64)
         for run in np.split(open_, apart) if len(open_) else []:
             text = int(owner[run[0]])
             tags = self._viterbi(scores[run], run[0] > ends[text], run[-1] + 1 < ends[text + 1])
             if any(tags):
-                found = self._placed(texts[text], int(run[0] - ends[text]), tags)
-                out[text] += found
+                if text != placed:  # runs come text by text: each is scanned for places once
+                    placed, starts_of = text, np.fromiter((m.start() for m in TOKEN.finditer(texts[text])), np.int64, counts[text])
+                first = int(run[0] - ends[text])
+                out[text] += _joined(starts_of[first : first + len(tags)].tolist(), pieces[text][first : first + len(tags)], tags)
         return out
 
     def _viterbi(self, scores: np.ndarray, led: bool, followed: bool) -> list[int]:
@@ -298,22 +332,18 @@ class Tagger:
             tags.append(int(ways[tags[-1]]))
         return tags[::-1]
 
-    def _placed(self, text: str, first: int, tags: list[int]) -> list[tuple[str, int, int]]:
-        places = []
-        for i, m in enumerate(TOKEN.finditer(text)):
-            if i >= first:
-                places.append((m.start(), m.end()))
-            if len(places) == len(tags):
-                break
-        spans: list[tuple[str, int, int]] = []
-        inside = False
-        for (start, end), tag in zip(places, tags):
-            if tag == I and inside:
-                spans[-1] = ("tagged", spans[-1][1], end)
-            elif tag != O:
-                spans.append(("tagged", start, end))
-            inside = tag != O
-        return spans
+
+def _joined(starts: list[int], tokens: list[str], tags: list[int]) -> list[tuple[str, int, int]]:
+    """Tagged tokens as spans: one from each begin, or inside tag after an outside one, to the last inside tag."""
+    spans: list[tuple[str, int, int]] = []
+    inside = False
+    for start, token, tag in zip(starts, tokens, tags):
+        if tag == I and inside:
+            spans[-1] = ("tagged", spans[-1][1], start + len(token))
+        elif tag != O:
+            spans.append(("tagged", start, start + len(token)))
+        inside = tag != O
+    return spans
 
 
 def merged(base: list[tuple[str, int, int]], tagged: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

@@ -274,7 +274,8 @@ def test_pruned_viterbi_is_viterbi():
         text = " ".join(words)
         scores = np.array([model.weights[list(f)].sum(0) for f in secrets._features(words, secrets._file_signs(text))])
         tags = tagger._viterbi(scores, False, False)
-        assert tagger.spans([text])[0] == tagger._placed(text, 0, tags)
+        starts = [m.start() for m in re.finditer(r"\S+", text)]
+        assert tagger.spans([text])[0] == secrets._joined(starts, words, tags)
 
 
 def test_topk_against_all_products(spark):
@@ -323,36 +324,70 @@ def test_pipeline_stages(spark):
     assert pieces.select("doc_id").distinct().count() == kept.count()
 
 
-def test_near_dedup_is_jaccard_of_all_pairs(spark):
-    """Pairs on both sides of 0.8, few and many shingles, a common passage, a group of near copies."""
+def near_texts():
+    """Groups of near copies, chains of them, exact copies, short and empty texts."""
     draw = random.Random(11)
-    passage = [f"p{i}" for i in range(12)]
     texts = []
     for i in range(60):
-        base = [f"w{draw.randrange(3000)}" for _ in range(draw.choice([10, 16, 40, 90]))] + passage * (i % 3 == 0)
-        texts.append(base)
-        for changes in range(4):
-            other = list(base)
-            for _ in range(changes):
-                other[draw.randrange(len(other))] = f"x{draw.randrange(3000)}"
-            texts.append(other[draw.randint(0, 2) :])
-    long = [f"q{i}" for i in range(200)]
-    texts += [[*long[:i], "y", *long[i + 1 :]] for i in range(0, 200, 4)] + [["a"], ["A"], ["a", "b"], []]
-    texts = [" ".join(t) for t in texts]
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-
-    def grams(text):
-        words = text.lower().split()
-        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
-
-    sets, root = [grams(t) for t in texts], list(range(len(texts)))
-    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+        base = [f"w{draw.randrange(3000)}" for _ in range(draw.choice([3, 10, 90, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            base = list(base)
+            base[draw.randrange(len(base))] = f"x{draw.randrange(3000)}"
+            texts.append(draw.choice([" ", "\t", "  "]).join(base))
+    return texts + ["a", "A", "a b", "", None, " \n", texts[0], texts[0].upper()]
+
+
+def test_near_dedup_stage_is_that_of_all_pairs(spark):
+    texts = near_texts()
+    rows = [(i, t, 1, "x") for i, t in enumerate(texts)] + [(None, texts[5], 2, "y"), (None, "quite alone", 3, "z"), (7, texts[7], 4, "w")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, id int, `row` string").repartition(3)
+
+    def print_of(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        grams = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    prints, root = [print_of(r[1]) for r in rows], list(range(len(rows)))
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 4]
     changed = True
     while changed:
         changed = False
-        for i, j in pairs:
+        for i, j in links:
             if root[i] != root[j]:
                 root[i] = root[j] = min(root[i], root[j])
                 changed = True
-    found = corpus_pipeline.distinct_fingerprints(spark, table, FOLDER).collect()
-    assert sorted(r["doc_id"] for r in found) == sorted(set(root))
+    groups = collections.defaultdict(list)
+    for i, r in enumerate(root):
+        groups[r].append(rows[i][0])
+    wanted = collections.Counter(min(ids, key=lambda i: (i is None, i or 0)) for ids in groups.values())
+    found = corpus_pipeline.distinct_fingerprints(spark, table, FOLDER)
+    assert found.schema == table.schema
+    assert collections.Counter(r["doc_id"] for r in found.collect()) == wanted
+    assert 100 < sum(wanted.values()) < len(rows) - 100
+    assert corpus_pipeline.distinct_fingerprints(spark, table.limit(0), FOLDER).schema == table.schema
+
+
+STAGES = [s for s in corpus_pipeline.STAGES if s[0] != "packing"]
+
+
+@pytest.mark.parametrize("name,stage", STAGES, ids=[n for n, _ in STAGES])
+def test_stages_take_any_names_and_odd_rows(spark, name, stage):
+    """Nulls, empty and repeated rows, no rows, and columns that have the names of what stages add."""
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    more = ["row", "id", "best", "none", "kept", "mark", "_whole_text", "_per_word", "_per_root", "_pipeline_row", "spans", "keep_id"]
+    plain = "Nothing but plain words in a row that nobody would mind at all"
+    rows = [(1, plain, "en", "a", 62), (1, plain, "en", "a", 62), (None, None, None, None, None), (None, "", None, None, 0)]
+    rows += [(4, None, "en", "a", None), (5, "x " * 40_000, "en", "b", 80_000), (6, plain, "en", "a", 62)]
+    table = spark.createDataFrame([(*r, *["v"] * len(more)) for r in rows], names + "".join(f", `{m}` string" for m in more))
+    found = stage(spark, table, FOLDER)
+    assert found.schema == table.schema
+    kept = collections.Counter(map(tuple, found.collect()))
+    assert kept <= collections.Counter(map(tuple, table.collect()))
+    sizes = {"toxicity": 7, "exact dedup": 3, "near dedup": 3, "secrets": 7}
+    assert sum(kept.values()) == sizes[name]
+    if "dedup" in name:
+        assert {r[0] for r in kept} == {1, 4, 5}
+    nothing = stage(spark, table.limit(0), FOLDER)
+    assert nothing.schema == table.schema and nothing.count() == 0
