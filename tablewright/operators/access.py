@@ -1,6 +1,7 @@
 """Access declarations as data: members, grants, what is missing, who may do what.
 
-Inputs are DataFrames:
+Inputs are DataFrames. Declarations may come nested, as they are written in a file
+(:data:`SPEC`, :func:`declared_groups`, :func:`declared_grants`); flat, they are:
 
 * groups       ``name, description, members array<string>, service_accounts array<string>``
 * grants       ``group_name, resource_type, resource_path, permission``
@@ -11,6 +12,8 @@ Inputs are DataFrames:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +25,32 @@ RESOURCE_TYPES = ["warehouse", "namespace", "table"]
 PERMISSIONS = ["describe", "select", "create", "modify", "ownership", "pass_grants", "manage_grants"]
 ALLOWED_ACTIONS = {"select": ["read"], "modify": ["read", "write", "compact"]}
 
+# The nested form of declarations.
+SPEC = (
+    "groups map<string, struct<description: string, members: array<string>, service_accounts: array<string>>>, "
+    "grants array<struct<group: string, resource_type: string, resource_path: string, permission: string>>"
+)
+
 GRANT_KEY = ["group_name", "resource_type", "resource_path", "permission"]
 MEMBER_KEY = ["group_name", "kind", "principal"]
 PRINCIPAL = ["kind", "principal"]
 LEVEL = ["resource_type", "resource_path"]
 
 
+def declared_groups(spec: DataFrame) -> DataFrame:
+    """The groups of nested declarations; any number of documents, each with any number of groups.
+
+    A group that several documents declare is one row for each. Documents without groups add none.
+    """
+    listed = spec.select(F.explode("groups").alias("name", "group"))
+    return listed.select("name", "group.description", "group.members", "group.service_accounts")
+
+
+def declared_grants(spec: DataFrame) -> DataFrame:
+    """The grants of nested declarations. Documents without grants add none."""
+    return spec.select(F.inline("grants")).withColumnRenamed("group", "group_name")
+
+
 def memberships(groups: DataFrame) -> DataFrame:
     """One row per group, kind of principal and principal; repeats are merged."""
     flat = groups.select(
@@ -92,6 +115,37 @@ def missing_grants(desired: DataFrame, existing: DataFrame) -> DataFrame:
     return missing(desired, existing, GRANT_KEY)
 
 
+PLAN = ["step", "action", *MEMBER_KEY, *GRANT_KEY[1:], "reason"]
+
+
+def reconciliation(
+    groups: DataFrame, grants: DataFrame, held_groups: DataFrame, held_members: DataFrame, held_grants: DataFrame
+) -> DataFrame:
+    """What brings a stored state to the declared one, as one table of steps; nothing is ever taken away.
+
+    ``step, action, group_name, kind, principal, resource_type, resource_path, permission,
+    reason``, NULL where an action has no such thing. Groups are created (1) before members
+    are added (2), both before grants are given (3); grants that cannot be applied are
+    listed with their reason (4) and given to nobody. Repeated declarations are one step,
+    and a second run on the state that the first one makes has no steps 1 to 3.
+    """
+    applied = grants.select(*GRANT_KEY)
+    refused = rejected_grants(applied, groups).select(*GRANT_KEY, "reason").distinct()
+    fine = missing(applied, refused, GRANT_KEY)
+    steps = [
+        (1, "create_group", missing_groups(groups, held_groups)),
+        (2, "add_member", missing_memberships(memberships(groups), held_members)),
+        (3, "grant", missing_grants(fine, held_grants)),
+        (4, "reject", refused),
+    ]
+    text = lambda df, name: F.col(name).cast("string").alias(name) if name in df.columns else F.lit(None).cast("string").alias(name)
+    rows = [
+        df.select(F.lit(step).alias("step"), F.lit(action).alias("action"), *[text(df, name) for name in PLAN[2:]])
+        for step, action, df in steps
+    ]
+    return reduce(DataFrame.unionAll, rows)
+
+
 def resolved_memberships(members: DataFrame, roles: DataFrame, identities: DataFrame) -> DataFrame:
     """Memberships with ids: ``roles(group_name, role_id)``, ``identities(kind, principal, subject_id)``.
 

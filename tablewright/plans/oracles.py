@@ -181,6 +181,30 @@ ORACLES = {
                CASE WHEN c_acctbal < 0 THEN 'service_account' ELSE 'email' END AS kind,
                CASE WHEN c_acctbal < 0 THEN c_name ELSE LOWER(c_name) || '@company.com' END AS principal
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "q_declared_memberships": """
+        SELECT n_name AS group_name, CASE WHEN c_acctbal < 0 THEN 'service_account' ELSE 'email' END AS kind,
+               c_name AS principal
+        FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "q_reconciliation": """
+        WITH declared AS (
+            SELECT n_name, r_name, c_name, CASE WHEN c_acctbal < 0 THEN 'service_account' ELSE 'email' END AS kind,
+                   CASE WHEN c_mktsegment = 'BUILDING' THEN 'warehouse' ELSE 'namespace' END AS resource_type,
+                   'local.' || r_name AS resource_path,
+                   CASE WHEN c_mktsegment = 'MACHINERY' THEN 'write' ELSE 'select' END AS permission
+            FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+        SELECT DISTINCT 1 AS step, 'create_group' AS action, n_name AS group_name, CAST(NULL AS VARCHAR) AS kind,
+               CAST(NULL AS VARCHAR) AS principal, CAST(NULL AS VARCHAR) AS resource_type,
+               CAST(NULL AS VARCHAR) AS resource_path, CAST(NULL AS VARCHAR) AS permission, CAST(NULL AS VARCHAR) AS reason
+        FROM declared WHERE r_name <> 'ASIA'
+        UNION ALL
+        SELECT 2, 'add_member', n_name, kind, c_name, NULL, NULL, NULL, NULL FROM declared WHERE r_name <> 'ASIA'
+        UNION ALL
+        SELECT DISTINCT 3, 'grant', n_name, NULL, NULL, resource_type, resource_path, permission, NULL FROM declared
+        WHERE r_name <> 'ASIA' AND resource_type = 'namespace' AND permission = 'select'
+        UNION ALL
+        SELECT DISTINCT 4, 'reject', n_name, NULL, NULL, resource_type, resource_path, permission,
+               CASE WHEN permission = 'write' THEN 'unknown permission' ELSE 'path does not fit the type' END
+        FROM declared WHERE resource_type = 'warehouse' OR permission = 'write'""",
     "q_resolved_memberships": """
         SELECT 'email' AS kind, c_custkey AS principal, n_name AS group_name, n_nationkey AS role_id, c_name AS subject_id
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",

@@ -561,6 +561,47 @@ def memberships(spark: SparkSession, folder: str) -> DataFrame:
     return access.memberships(group_declarations(spark, folder))
 
 
+def _declared(spark: SparkSession, folder: str) -> DataFrame:
+    """A document per customer, which declares its nation's group and, per nation's region, a grant to it."""
+    nations = nation_tables(spark, folder)
+    customers = scan(spark, folder, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
+    group = F.struct(
+        F.lit("Customers of one nation").alias("description"),
+        F.when(F.col("c_acctbal") >= 0, F.array("c_name")).alias("members"),
+        F.when(F.col("c_acctbal") < 0, F.array("c_name")).alias("service_accounts"),
+    )
+    grant = F.struct(
+        F.col("n_name").alias("group"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "warehouse").otherwise("namespace").alias("resource_type"),
+        F.col("namespace").alias("resource_path"),
+        F.when(F.col("c_mktsegment") == "MACHINERY", "write").otherwise("select").alias("permission"),
+    )
+    documents = relational.look_up(customers, nations, "n_nationkey")
+    return documents.select(F.create_map("n_name", group).alias("groups"), F.array(grant).alias("grants"))
+
+
+@registered
+def declared_memberships(spark: SparkSession, folder: str) -> DataFrame:
+    """The members of nested declarations, one document per customer."""
+    return access.memberships(access.declared_groups(_declared(spark, folder)))
+
+
+@registered
+def reconciliation(spark: SparkSession, folder: str) -> DataFrame:
+    """All steps from a state that holds the groups and grants of one region and no members elsewhere."""
+    spec = _declared(spark, folder)
+    groups, grants = access.declared_groups(spec), access.declared_grants(spec)
+    asia = nation_tables(spark, folder).filter(F.col("r_name") == "ASIA").select(F.col("n_name").alias("group_name"), "namespace")
+    members = access.memberships(groups).join(asia, "group_name", "left_semi")
+    held = asia.select(
+        "group_name",
+        F.lit("namespace").alias("resource_type"),
+        F.col("namespace").alias("resource_path"),
+        F.lit("select").alias("permission"),
+    )
+    return access.reconciliation(groups, grants, asia.select("group_name"), members, held)
+
+
 @registered
 def resolved_memberships(spark: SparkSession, folder: str) -> DataFrame:
     """Members with the id of their role and their own."""

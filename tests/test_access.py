@@ -1,7 +1,10 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators import access as a
+from tablewright.sources.declarations import read_declarations
 
 # The declared groups and grants.
 GROUPS = [
@@ -270,3 +273,49 @@ def test_reach_never_lists_members_per_table(spark, tmp_path):
     assert a.group_access(tables, grants).join(bitmaps, "group_name").count() == 1000 * per_group
     found = a.grant_reach(tables, grants, bitmaps)
     assert found.count() == 1000 and found.agg(F.min("principals"), F.max("principals")).first()[:] == (100_000, 100_000)
+
+
+# -- nested declarations ------------------------------------------------------
+
+SPEC = {
+    "groups": {
+        name: {k: v for k, v in (("description", text), ("members", people), ("service_accounts", machines)) if v}
+        for name, text, people, machines in GROUPS
+    },
+    "grants": [dict(zip(("group", "resource_type", "resource_path", "permission"), g)) for g in GRANTS],
+}
+
+
+def written(path, document):
+    path.write_text(json.dumps(document, indent=2))
+    return str(path)
+
+
+def test_nested_declarations_are_the_flat_ones(spark, tmp_path, groups, grants):
+    spec = read_declarations(spark, written(tmp_path / "access.json", SPEC))
+    assert sorted(map(str, a.declared_groups(spec).collect())) == sorted(map(str, groups.collect()))
+    assert sorted(a.declared_grants(spec).collect()) == sorted(grants.collect())
+    parts = [written(tmp_path / f"{k}.json", {k: v}) for k, v in SPEC.items()]
+    both = read_declarations(spark, *parts)
+    assert a.declared_groups(both).count() == 6 and a.declared_grants(both).count() == 7
+
+
+def test_what_is_no_declaration_fails_the_read(spark, tmp_path):
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+        read_declarations(spark, written(tmp_path / "wrong.json", {"groups": ["a"]})).collect()
+
+
+def test_reconciliation_of_an_empty_state_and_of_its_own_result(spark, groups, grants):
+    more = grants.unionByName(
+        spark.createDataFrame([("nobody", "table", "local.a.b", "select"), ("data-eng-writers", "table", "local.a", "select")], GRANT_SCHEMA)
+    )
+    nothing = (groups.select(F.col("name").alias("group_name")).limit(0), a.memberships(groups).limit(0), grants.limit(0))
+    plan = a.reconciliation(groups.unionAll(groups), more.unionAll(more), *nothing)
+    assert plan.columns == a.PLAN
+    steps = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
+    assert steps == {"create_group": 6, "add_member": 9, "grant": 7, "reject": 2}
+    reasons = {r["reason"] for r in plan.filter("step = 4").collect()}
+    assert reasons == {"unknown group", "path does not fit the type"}
+    state = [plan.filter(f"step = {i + 1}").select(*held.columns) for i, held in enumerate(nothing)]
+    again = a.reconciliation(groups, more, *state)
+    assert {r["step"] for r in again.collect()} == {4}
