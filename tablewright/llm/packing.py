@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +17,9 @@ from tablewright.llm.shared import bounds, ragged, stored, text_or_empty, text_s
 from tablewright.llm.token_ids import encoder
 
 K1, B = 1.2, 0.75
-SHARD_TOKENS = 1_000_000
-SIGNS, RUN = 2, 6  # samples by which documents are sorted, and ids in a run
-CUTS = "doc_id bigint, start bigint, doc_tokens bigint, length bigint, ids binary"
+SHARD_TOKENS, SHARDS_A_TASK = 500_000, 8
+RUN = 6  # ids in a run of which a document is sampled
+CUTS = "doc_id bigint, start bigint, doc_tokens bigint, length bigint, ids binary, term bigint, run bigint"
 PIECES = "doc_id bigint, start bigint, doc_tokens bigint, length bigint, sequence_id bigint, offset bigint, ids binary"
 
 
@@ -27,7 +30,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int, shard_tokens
     sequence of its own. What is left of each document, shorter than a window, is
     packed: documents are sorted over the cluster by samples of their terms
     (:func:`_signature`), so that those which share much stand together, and cut into
-    shards of about ``shard_tokens``. Each shard builds an inverted index with BM25
+    shards of about ``shard_tokens``, some to a task. Each shard builds an inverted index with BM25
     weights, and a seed document takes its best unused neighbours until its window is
     full. The last neighbour is cut where the window ends; what remains of it is the next
     seed. What a shard has left at the end is cut into powers of two, so there is no
@@ -58,27 +61,32 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int, shard_tokens
     frequencies, count, tokens = _statistics(rest)
     if not count:
         return alone
-    shards = -(-tokens // shard_tokens)
     idf = np.log((count - frequencies + 0.5) / (frequencies + 0.5))
     mean = tokens / count
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            signs = _signature(*_arrays(batch.column("ids")), idf)
-            columns = [*batch.columns, *[pa.array(signs[:, i]) for i in range(SIGNS)]]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *signed_by])
+    tasks = -(-tokens // (shard_tokens * SHARDS_A_TASK))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            number = TaskContext.get().partitionId()
-            yield from _packed(pa.Table.from_batches(held), number, idf, mean, window).to_batches()
+        first = TaskContext.get().partitionId() << 20
+        for number, shard in enumerate(_shards(batches, shard_tokens)):
+            yield from _packed(shard, first + number, idf, mean, window).to_batches()
+
+    sampled = ["term", "run"]
+    dealt = rest.repartitionByRange(tasks, *sampled, row).sortWithinPartitions(*sampled).drop(*sampled)
+    return alone.unionAll(dealt.mapInArrow(packed, PIECES))
+
 
-    signed_by = [f"sign{i}" for i in range(SIGNS)]
-    marked = rest.mapInArrow(signed, CUTS + "".join(f", {name} bigint" for name in signed_by))
-    # stored, because the ranges are found by a look at all rows before
-    dealt = stored(marked.withColumn("row", row), "signed").repartitionByRange(shards, *signed_by, "row")
-    return alone.unionAll(dealt.select(*[name.split()[0] for name in CUTS.split(", ")]).mapInArrow(packed, PIECES))
+def _shards(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.Table]:
+    """Rows in their order, cut where they make up so many ids."""
+    held, size = [], 0
+    for part in text_slices(batches, "ids", max(4 * tokens // 8, 1)):
+        held.append(part)
+        size += pc.sum(part.column("length")).as_py() or 0
+        if size >= tokens:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held and size:
+        yield pa.Table.from_batches(held)
 
 
 def _cut(part: pa.RecordBatch, tokenizer: str, end_id: int, window: int) -> pa.RecordBatch:
@@ -93,7 +101,8 @@ def _cut(part: pa.RecordBatch, tokenizer: str, end_id: int, window: int) -> pa.R
         pa.large_binary(), len(owner), [None, pa.py_buffer(bounds(length * 4)), pa.py_buffer(whole)]
     ).cast(pa.binary())
     columns = [part.column("doc_id").take(pa.array(owner)), pa.array(start), pa.array(counts[owner]), pa.array(length), data]
-    return pa.record_batch(columns, ["doc_id", "start", "doc_tokens", "length", "ids"])
+    samples = map(pa.array, _signature(whole, length))
+    return pa.record_batch([*columns, *samples], [name.split()[0] for name in CUTS.split(", ")])
 
 
 def _arrays(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +118,10 @@ def _statistics(rest: DataFrame) -> tuple[np.ndarray, int, int]:
         held, rows, tokens = np.zeros(0, np.int64), 0, 0
         for batch in batches:
             ids, counts = _arrays(batch.column("ids"))
-            distinct = np.unique(np.repeat(np.arange(len(counts)), counts) << 32 | ids)
-            new = np.bincount(distinct & 0xFFFFFFFF)
+            ends = bounds(counts).tolist()
+            # one document after the other: short sorts are quicker than one long one
+            distinct = [np.unique(ids[a:b]) for a, b in zip(ends, ends[1:])]
+            new = np.bincount(np.concatenate(distinct)) if distinct else held
             held = np.pad(held, (0, max(0, len(new) - len(held))))
             held[: len(new)] += new
             rows, tokens = rows + len(counts), tokens + len(ids)
@@ -127,42 +138,47 @@ def _statistics(rest: DataFrame) -> tuple[np.ndarray, int, int]:
     return frequencies, rows, tokens
 
 
-def _signature(ids: np.ndarray, lengths: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Two samples of what each document holds: a term, and a run of ``RUN`` ids.
+def _signature(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two samples of what each piece holds: a term, and a run of ``RUN`` ids.
 
-    Two documents agree on a sample as often as they share what it is drawn from, because
-    it is that whose hash is least after division by its weight. Rare terms weigh more, so
-    the first sample brings documents on one subject together, and common terms, of a
-    weight below 0, are not drawn; the second brings near copies together among them.
-    -1 where there is nothing to draw.
+    Two pieces agree on a sample as often as they share what it is drawn from, because it
+    is that whose hash is least, for terms after division by a weight. Vocabularies number
+    common terms first, so a term weighs more the larger its number is: the first sample
+    brings pieces on one subject together, the second near copies among them. A piece
+    shorter than a run has the hash of all its ids. Every piece has an id at least.
     """
-    owners = np.repeat(np.arange(len(lengths)), lengths)
-    terms = ids.astype(np.int64)
-    runs = terms.copy()
-    for ahead in range(1, RUN):
-        follows = np.zeros_like(terms)
-        follows[: max(len(terms) - ahead, 0)] = terms[ahead:] + 1
-        follows[: max(len(terms) - ahead, 0)][owners[ahead:] != owners[: max(len(terms) - ahead, 0)]] = 0
-        runs = (runs * 1_000_003) ^ follows
-    drawn = [_least(terms, owners, np.maximum(idf, 0.0)[ids] ** 3, len(lengths)), _least(runs, owners, np.ones(len(ids)), len(lengths))]
-    return np.stack(drawn, axis=1)
-
-
-def _least(things: np.ndarray, owners: np.ndarray, weights: np.ndarray, count: int) -> np.ndarray:
-    """Of each owner's things the one of least hash by weight."""
-    held = weights > 0
-    things, owners, weights = things[held], owners[held], weights[held]
-    mixed = things.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    chance = ((mixed ^ (mixed >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) + 0.5
-    cost = -np.log(chance / 2.0**53) / weights
-    found = np.full(count, -1, np.int64)
-    if len(owners):
-        starts = np.flatnonzero(np.diff(owners, prepend=-1))
-        least = np.minimum.reduceat(cost, starts)
-        at = np.flatnonzero(cost == np.repeat(least, np.diff(np.append(starts, len(owners)))))
-        found[owners[at]] = things[at]
-    return found
+    starts = bounds(lengths)[:-1]
+    place, term_at, spread = _drawn(max(1 << 16, int(ids.max()) + 1))
+    term = term_at[np.minimum.reduceat(place[ids], starts)]
+
+    def joined(first: np.ndarray, then: np.ndarray, ahead: int) -> np.ndarray:
+        """A hash of each place's ids and of those ``ahead``."""
+        out = first * np.uint64(0x9E3779B97F4A7C15)
+        out[:-ahead] += then[ahead:]
+        return out
+
+    one = spread[ids]
+    two = joined(one, one, 1)
+    runs = joined(joined(two, two, 2), two, 4)  # RUN ids
+    runs = (runs ^ (runs >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)
+    for behind in range(1, RUN):  # places from which a run would leave the piece
+        ends = starts + lengths - behind
+        runs[ends[lengths >= behind]] = np.iinfo(np.int64).max
+    found = np.minimum.reduceat(runs, starts).astype(np.int64)
+    for piece in np.flatnonzero(lengths < RUN).tolist():
+        own = ids[starts[piece] : starts[piece] + lengths[piece]]
+        found[piece] = zlib.crc32(np.ascontiguousarray(own, "<u4").tobytes())
+    return term, found
+
+
+@functools.lru_cache(maxsize=1)
+def _drawn(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of each term in the order of samples, the term at each place, and 64 random bits for each."""
+    draw = np.random.default_rng(5)
+    order = np.argsort(draw.exponential(size=size) / np.log2(np.arange(size) + 2.0) ** 6)
+    place = np.empty(size, np.int32)
+    place[order] = np.arange(size, dtype=np.int32)
+    return place, order, draw.integers(0, 1 << 63, size, np.uint64)
 
 
 def _packed(shard: pa.Table, number: int, idf: np.ndarray, mean: float, window: int) -> pa.Table:
@@ -221,7 +237,7 @@ def _packed(shard: pa.Table, number: int, idf: np.ndarray, mean: float, window:
             "start": base[doc] + start,
             "doc_tokens": shard.column("doc_tokens").take(pa.array(doc)),
             "length": size,
-            "sequence_id": (number << 32 | sequence_id) * 2,
+            "sequence_id": (number << 22 | sequence_id) * 2,
             "offset": offset,
             "ids": pa.Array.from_buffers(
                 pa.large_binary(), len(size), [None, pa.py_buffer(bounds(size * 4)), pa.py_buffer(data)]
@@ -235,8 +251,10 @@ def _weights(ids: np.ndarray, lengths: np.ndarray, idf: np.ndarray, mean: float)
 
     A term that most documents hold has a weight below 0 and is no sign of kinship.
     """
-    keys, counts = np.unique(np.repeat(np.arange(len(lengths)), lengths) << 32 | ids, return_counts=True)
-    terms, owners = keys & 0xFFFFFFFF, keys >> 32
+    ends = bounds(lengths).tolist()
+    each = [np.unique(ids[a:b], return_counts=True) for a, b in zip(ends, ends[1:])]
+    terms, counts = (np.concatenate([e[i] for e in each]).astype(np.int64) for i in (0, 1))
+    owners = np.repeat(np.arange(len(lengths)), [len(e[0]) for e in each])
     kept = idf[terms] > 0
     terms, owners, counts = terms[kept], owners[kept], counts[kept]
     norm = K1 * (1 - B + B * lengths[owners] / mean)
