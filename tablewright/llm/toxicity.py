@@ -23,6 +23,7 @@ LEAST_TEXTS, EXPRESSION_DISCOUNT = 3, 2.0  # toxic texts that make an expression
 SHARE = 0.01  # of a toxic text's words, those that the toxic model says
 FIT_ROWS, FIT_FOLDS = 20_000, 4
 ENTRIES = 4_000_000  # of a model that a task holds at once
+SLICE = 2 << 20  # bytes of text that a task looks at together
 SEED = 42  # of the hash that SQL and tasks share
 FEATURES = ["words_mean", "expressions_mean", "words_root"]
 CLASSES = (0, 1)
@@ -160,7 +161,7 @@ def _place(word: str) -> Column:
 
 def _levels(rows: DataFrame) -> tuple[DataFrame, ...]:
     def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SLICE):
             words, at, ends = _words(part.column("text"))
             toxic = np.repeat(part.column("toxic").to_numpy(), np.diff(ends))
             both = [pa.array(np.bincount(at[toxic == c], minlength=len(words))) for c in CLASSES]
@@ -207,7 +208,7 @@ def _counted_expressions(rows: DataFrame, entries: int) -> tuple[DataFrame, Data
     names = ["key", "context", "place", "context_place"]
 
     def toxic_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SLICE):
             for order in ORDERS:
                 found, _, places, before = _distinct(part, order)
                 yield pa.record_batch([*map(pa.array, (found.key, found.context, places, before))], names)
@@ -242,7 +243,7 @@ def _occurrences(texts: DataFrame, kept: DataFrame, before: DataFrame, parts: in
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros((len(wanted), 2), np.int64) for wanted in shared.value]
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             for order in ORDERS:
                 found, toxic, _, _ = _distinct(batch, order, shared.value[1])
                 for wanted, total, keys in zip(shared.value, sums, (found.key, found.context)):
@@ -388,7 +389,7 @@ def _summed(texts: DataFrame, model: ToxicityModel, part: tuple[int, int], kept:
             held = batch.column(kept)
             text = pc.struct_field(held, "text") if kept == "row" else batch.column("text")
             whole = pa.record_batch([held, text.cast(pa.string())], [kept, "text"])
-            for part_of in text_slices(iter([whole]), "text"):
+            for part_of in text_slices(iter([whole]), "text", SLICE):
                 sums = _sums(part_of.column("text"), shared.value)
                 yield pa.record_batch([part_of.column(kept), *map(pa.array, sums)], [kept, *SUMS])
 
