@@ -29,6 +29,7 @@ from tablewright.llm.shared import bounds, ragged, text_or_empty, text_slices
 from tablewright.llm.token_ids import encoder
 
 FILE_BYTES = 32 << 20
+SLICE = 2 << 20  # bytes of text that a task encodes together
 HEAD, TAIL, PREFIX = 12, 5, 9
 KNOWN, WIDE = 1, 2
 INDEX = (
@@ -50,11 +51,11 @@ def write_records(
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 16).alias("n")).first()["n"] or 0
-    among = [F.substring("text", 1, 32), F.monotonically_increasing_id()]
+    among = [F.monotonically_increasing_id()]
     ordered = rows.repartitionByRange(max(1, -(-size * 2 // file_bytes)), "doc_id", *among).sortWithinPartitions("doc_id", "text")
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SLICE):
             texts = encoder(tokenizer)
             ids, ends = texts.encode(part.column("text"))
             width = 2 if max(end_id + 1, texts.tokenizer.get_vocab_size()) <= 1 << 16 else 4
