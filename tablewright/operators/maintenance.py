@@ -414,13 +414,18 @@ def packed(spark: SparkSession, root: str, chosen: Sequence[Row], limit: int, ta
 
     The scan itself packs files into tasks of up to ``target_bytes``, and tasks beyond the
     planned number of outputs are joined: nothing is shuffled, a row stays with its file.
-    The sizes hold in a session of its own, which leaves the caller's as it is.
+    Partitions stay in tasks of their own, also where each is one task, and as every
+    task holds one partition its rows go to one open file each, not through a sort.
+    The settings hold in a session of its own, which leaves the caller's as it is.
     """
     own = own_session(
         spark,
         spark__sql__files__maxPartitionBytes=target_bytes,
         spark__sql__files__openCostInBytes=0,
         spark__sql__files__minPartitionNum=1,
+        spark__sql__unionOutputPartitioning=False,
+        spark__sql__optimizer__plannedWrite__enabled=False,
+        spark__sql__maxConcurrentOutputFileWriters=1,
     )
     head, schema = _need_head(own, root)
     state = _State(own, root, head, schema)

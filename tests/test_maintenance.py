@@ -411,3 +411,19 @@ def test_differences_open_only_the_partitions_that_differ(spark, root):
     found = m.table_differences(before, after, "day")
     assert sorted(map(tuple, found.collect())) == [(-5, 1, 1), (5, 1, -1)]
     assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_partitions_of_one_output_each_stay_in_tasks_of_their_own(spark, root):
+    """A union of single-task frames is not read as one task, which would sort all partitions in it."""
+    rows = spark.range(0, 9_000, 1, 3).withColumn("day", (F.col("id") % 3).cast("int"))
+    for i in range(5):
+        m.publish(rows.filter(F.col("id") % 5 == i), root, ["day"])
+    head, schema = m._need_head(spark, root)
+    chosen = m._chosen(m._State(spark, root, head, schema), m.TARGET_BYTES // 2, m.TARGET_BYTES, 2)
+    assert len(chosen) == 3 and all(c["outputs"] == 1 for c in chosen)
+    plan = m.packed(spark, root, chosen, m.TARGET_BYTES // 2, m.TARGET_BYTES)
+    assert plan.rdd.getNumPartitions() == 3
+    before = m.read_state(spark, root)
+    m.compact(spark, root)
+    assert same_rows(before, m.read_state(spark, root))
+    assert all(len(glob.glob(f"{root}/run=6/day={d}/*.parquet")) == 1 for d in range(3))
