@@ -15,6 +15,7 @@ file, and any store that Spark reaches can hold them.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -54,18 +55,28 @@ def write_records(
     among = [F.monotonically_increasing_id()]
     ordered = rows.repartitionByRange(max(1, -(-size * 2 // file_bytes)), "doc_id", *among).sortWithinPartitions("doc_id", "text")
 
-    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text", SLICE):
-            texts = encoder(tokenizer)
-            ids, ends = texts.encode(part.column("text"))
-            width = 2 if max(end_id + 1, texts.tokenizer.get_vocab_size()) <= 1 << 16 else 4
-            yield pa.record_batch([_framed(part.column("doc_id"), ids, ends, end_id, width)], ["frame"])
-
+    frames = functools.partial(_encoded, tokenizer=tokenizer, end_id=end_id)
     lines = ordered.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
     lines.write.option("lineSep", "\n").text(f"{folder}/data")
     scan_records(docs.sparkSession, folder).write.parquet(f"{folder}/index")
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """The frames of a task's ``doc_id, text`` rows.
+
+    The worker's encoder forgets the words of the task when it ends, so that what a
+    reused worker keeps does not grow with the tasks that it has run.
+    """
+    texts = encoder(tokenizer)
+    width = 2 if max(end_id + 1, texts.tokenizer.get_vocab_size()) <= 1 << 16 else 4
+    try:
+        for part in text_slices(batches, "text", SLICE):
+            ids, ends = texts.encode(part.column("text"))
+            yield pa.record_batch([_framed(part.column("doc_id"), ids, ends, end_id, width)], ["frame"])
+    finally:
+        texts.forget()
+
+
 def _framed(doc_ids: pa.Array, ids: np.ndarray, ends: np.ndarray, end_id: int, width: int) -> pa.Array:
     """The frames of a batch, without the byte that the writer adds."""
     counts = np.diff(ends) + 1

@@ -51,9 +51,10 @@ class TextEncoder:
         self.by_word = _drops_spaces(rules)
         self.model = self.tokenizer.model
         self.letters = str.maketrans({chr(b): s for b, s in enumerate(byte_letters())})
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drops the words kept so far, and their ids."""
         self.known: dict[str, int] = {}
         self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
@@ -63,7 +64,7 @@ class TextEncoder:
         if not self.by_word:
             return _joined([e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)])
         if len(self.known) > MAX_WORDS or len(self.flat) > MAX_IDS:
-            self._forget()
+            self.forget()
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
         if not odd.any():
             return self._common(texts)

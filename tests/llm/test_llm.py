@@ -150,6 +150,21 @@ def test_records_round_trip(spark, docs, empty, tmp_path):
         records.scan_records(spark, str(tmp_path / "r")).collect()
 
 
+def test_records_task_leaves_no_words_in_the_worker():
+    from tablewright.llm.token_ids import encoder
+
+    texts = [f"word{i} Other{i % 7} and more" for i in range(300)] + [None]
+    batch = pa.record_batch([pa.array(range(301), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    frames = pa.concat_arrays([b.column("frame") for b in records._encoded(iter([batch]), WORD, end_id=2)])
+    assert encoder(WORD).known == {} and len(encoder(WORD).flat) == 0
+    library = Tokenizer.from_file(WORD)
+    data = np.frombuffer(b"".join(f + b"\n" for f in frames.to_pylist()), np.uint8)
+    found = records._parsed(0, data)
+    own = [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert found.column("doc_id").to_pylist() == list(range(301))
+    assert found.column("ids_crc32").to_pylist() == [crc(i) for i in own]
+
+
 def test_checksum_has_the_known_value():
     data = np.frombuffer(b"123456789" + bytes(5000), np.uint8)
     assert hex(crc32c(data, np.array([0, 3]), np.array([9, 0]))[0]) == "0xe3069283"
